@@ -1,0 +1,44 @@
+from __future__ import annotations
+
+import datetime as dt
+import sys
+from decimal import Decimal
+from pathlib import Path
+
+import pytest
+from pyspark.sql import types as T
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from salesledger.session import local_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = local_session("8", partitions=4)
+    yield session
+    session.stop()
+
+
+def typed(value, dtype):
+    if value is None:
+        return None
+    if isinstance(dtype, T.DecimalType):
+        return Decimal(str(value))
+    if isinstance(dtype, T.DateType) and isinstance(value, str):
+        return dt.date.fromisoformat(value)
+    return value
+
+
+def frame(spark, schema: T.StructType, rows: list[dict], **defaults):
+    """Rows given as dicts; columns that are left out take the default or null."""
+    known = set(schema.names)
+    assert all(set(row) <= known for row in rows), "unknown column in a test row"
+    data = [tuple(typed(row.get(f.name, defaults.get(f.name)), f.dataType) for f in schema.fields) for row in rows]
+    return spark.createDataFrame(data, schema)
+
+
+def rows_of(df, *columns: str) -> list[tuple]:
+    """Collected rows with decimals as floats."""
+    picked = df.select(*columns) if columns else df
+    return [tuple(float(v) if isinstance(v, Decimal) else v for v in row) for row in picked.collect()]

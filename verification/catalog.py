@@ -130,7 +130,9 @@ def catalog() -> dict[str, Query]:
         "details_with_total": lambda s, d: export.details_with_totals(intermediate(s, d)),
         "miti_report": lambda s, d: reports.partner_report(export.details_with_totals(intermediate(s, d))),
         "accounting_report": _accounting,
-        "balance_violations": lambda s, d: postings.balance_violations(_accounting(s, d)),
+        "balance_violations": lambda s, d: postings.balance_violations(
+            export.accounting(star.edited(s, d, faulty=True))
+        ),
         "rounding_correction": lambda s, d: postings.rounding_correction(_accounting(s, d)),
         "posting_summary": lambda s, d: postings.posting_summary(_accounting(s, d)),
         "posting_details": lambda s, d: postings.posting_details(intermediate(s, d)),

@@ -21,7 +21,8 @@ star_orders AS (
 sides AS (SELECT unnest([FALSE, TRUE]) AS back),
 star_lines AS (
   SELECT o.*, s.back,
-         CAST(CASE WHEN l_linenumber = 7 THEN l_quantity ELSE l_extendedprice END AS {M}) AS price,
+         CAST(CASE WHEN l_discount = 0.1 AND l_tax = 0.08 THEN 0
+                   WHEN l_linenumber = 7 THEN l_quantity ELSE l_extendedprice END AS {M}) AS price,
          CASE WHEN NOT (l_discount = 0 AND l_tax = 0) THEN o.order_id END AS transaction_id,
          CAST(l_quantity AS BIGINT) AS quantity, p.p_name, p.p_size, p.p_type, p.p_brand,
          l_linestatus = 'O' AND l_returnflag = 'A' AS no_net
@@ -80,7 +81,8 @@ star_transactions AS (
          CASE WHEN back THEN NULL ELSE tip END AS tip,
          CAST(CASE WHEN back THEN NULL WHEN payment = 'Bar' THEN 0 ELSE round(amount * 0.015, 2) END AS {M}) AS fee,
          CASE WHEN NOT back AND payment = 'Bar' THEN amount END AS net
-  FROM star_booked)"""
+  FROM (SELECT * FROM star_booked UNION ALL
+        SELECT * FROM star_booked WHERE o_totalprice > 499000 AND NOT refunded))"""
 
 PREPARE = f"""
 norm_sales AS (
@@ -639,7 +641,7 @@ def oracle_sql() -> dict[str, str]:
               CAST(debt_to_miti AS DOUBLE) AS ueberweisung
             FROM full_details""",
         "accounting_report": f"{accounting} SELECT month, is_total, date, {_doubles(posting_names)} FROM accounting",
-        "balance_violations": f"""{accounting}
+        "balance_violations": f"""{_chain(STAR, PREPARE, _edited(True), FIGURES, DETAILS, TOTALS, ACCOUNTING)}
             SELECT month, date, is_total, account, CAST(net AS DOUBLE) AS net, severity FROM (
               SELECT month, date, is_total, '10920' AS account, n10920 AS net, 'error' AS severity FROM nets
               UNION ALL SELECT month, date, is_total, '20121', n20121, 'error' FROM nets

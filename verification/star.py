@@ -112,7 +112,8 @@ def build_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
             """CASE WHEN p_type = 'ECONOMY' THEN 'Mittagstisch'
                     WHEN p_type = 'PROMO' AND p_brand IN ('Brand#7', 'Brand#8') THEN 'Kultur Essen (PO)'
                     ELSE lower(p_type) END AS category""",
-            "CAST(CASE WHEN l_linenumber = 7 THEN l_quantity ELSE l_extendedprice END AS DECIMAL(18, 2)) AS price",
+            """CAST(CASE WHEN l_discount = 0.1 AND l_tax = 0.08 THEN 0 WHEN l_linenumber = 7 THEN l_quantity
+                         ELSE l_extendedprice END AS DECIMAL(18, 2)) AS price""",
             "l_linestatus = 'O' AND l_returnflag = 'A' AS no_net",
             "account",
             "CASE WHEN refunded THEN array(false, true) ELSE array(false) END AS sides",
@@ -140,7 +141,10 @@ def build_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transaction report: one revenue row per order, and one without status per refunded order."""
+    """Transaction report: one revenue row per order, and one without status per refunded order.
+
+    The largest orders are booked twice by mistake.
+    """
     money = "DECIMAL(18, 2)"
     booked = (
         _orders(spark, sf_dir)
@@ -148,7 +152,8 @@ def build_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
             "*",
             f"""CAST(CASE WHEN o_orderpriority = '2-HIGH' THEN 2.5
                           WHEN o_orderpriority <> '3-MEDIUM' THEN 0 END AS {money}) AS tip""",
-            "CASE WHEN refunded THEN array(false, true) ELSE array(false) END AS sides",
+            """CASE WHEN refunded THEN array(false, true) WHEN o_totalprice > 499000 THEN array(false, false)
+                    ELSE array(false) END AS sides""",
         )
         .selectExpr("*", f"CAST(CAST(o_totalprice AS {money}) + coalesce(tip, 0) AS {money}) AS amount")
         .selectExpr("*", "explode(sides) AS back")
