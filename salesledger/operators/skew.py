@@ -14,25 +14,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARE = 1024
-"""A key is heavy when it holds more than 1/SHARE of the rows, so there are fewer than SHARE heavy keys."""
+"""A key is heavy when it holds more than 1/SHARE of the rows of a lane, see ``hot_keys``."""
 
-_LANES = 64
+MIN_ROWS = 10_000
+"""A key with fewer rows is no burden for one task, at any size of the table."""
+
+LANES = 64
 _TRACKED = 8 * SHARE
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """Heavy values of ``key`` as a one-column table of fewer than ``SHARE`` rows."""
-    lanes = df.select(F.col(key).alias("item"), (F.spark_partition_id() % _LANES).alias("lane"))
-    sketches = lanes.groupBy("lane").agg(
-        F.expr(f"approx_top_k_accumulate(item, {_TRACKED})").alias("sketch"), F.count(F.lit(1)).alias("rows")
-    )
-    merged = sketches.agg(
-        F.expr(f"approx_top_k_combine(sketch, {_TRACKED})").alias("sketch"), F.sum("rows").alias("rows")
+def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_ROWS) -> DataFrame:
+    """Heavy values of ``key`` as a one-column table.
+
+    The input partitions are dealt to ``LANES`` lanes and each lane names the keys that hold more than 1/SHARE of its
+    rows. A key with more than 1/SHARE of all rows exceeds that in at least one lane, so none is missed, and
+    the table has fewer than LANES * SHARE rows whatever the input. Keys with few rows are left out.
+    """
+    lanes = df.select(F.col(key).alias("item"), (F.spark_partition_id() % LANES).alias("lane"))
+    tops = lanes.groupBy("lane").agg(
+        F.expr(f"approx_top_k(item, {SHARE}, {_TRACKED})").alias("top"), F.count(F.lit(1)).alias("rows")
     )
-    items = merged.select("rows", F.explode(F.expr(f"approx_top_k_estimate(sketch, {SHARE})")).alias("top"))
-    return items.where(
-        F.col("top.item").isNotNull() & (F.col("top.count") * SHARE > F.col("rows"))
-    ).select(F.col("top.item").alias(key))
+    items = tops.select("rows", F.explode("top").alias("top"))
+    heavy = items.where(F.col("top.item").isNotNull() & (F.col("top.count") * SHARE > F.col("rows")))
+    counted = heavy.groupBy(F.col("top.item").alias(key)).agg(F.sum("top.count").alias("rows"))
+    return counted.where(F.col("rows") >= min_rows).select(key)
 
 
 def spread_join(
@@ -50,7 +55,7 @@ def spread_join(
     """
     salts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
     hot = hot_keys(left, key) if hot is None else hot.distinct()
-    # Fewer than SHARE rows by construction, so every task can hold them.
+    # Fewer than LANES * SHARE short rows by construction, so every task can hold them.
     marks = F.broadcast(hot.select(F.col(key).alias("_hot")))
 
     spread_left = left.join(marks, F.col(key) == F.col("_hot"), "left").selectExpr(

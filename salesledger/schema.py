@@ -97,6 +97,7 @@ SALES = _struct(SALES_COLUMNS)
 TRANSACTIONS = _struct(TRANSACTION_COLUMNS)
 INTERMEDIATE = _struct(INTERMEDIATE_COLUMNS)
 JOURNAL = _struct(JOURNAL_COLUMNS)
+STORED_INTERMEDIATE = T.StructType([*INTERMEDIATE.fields, T.StructField("month", T.StringType())])
 
 POST = T.StructType(
     [

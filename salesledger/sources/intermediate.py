@@ -43,4 +43,4 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
 
 def read_intermediate(spark: SparkSession, path: str) -> DataFrame:
     """Intermediate table stored by ``write_intermediate``; a filter on ``month`` reads only those folders."""
-    return spark.read.schema(S.INTERMEDIATE.add("month", "string")).parquet(path)
+    return spark.read.schema(S.STORED_INTERMEDIATE).parquet(path)
