@@ -53,7 +53,8 @@ def spread_join(
     ``how`` is inner, left, left_semi or left_anti. ``hot`` is a table of heavy keys; without it they are looked
     up in ``left``. With ``null_safe`` a missing key equals a missing key.
     """
-    salts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    # More salts than partitions, because some salts hash to the same partition.
+    salts = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = hot_keys(left, key) if hot is None else hot.distinct()
     # Fewer than LANES * SHARE short rows by construction, so every task can hold them.
     marks = F.broadcast(hot.select(F.col(key).alias("_hot")))

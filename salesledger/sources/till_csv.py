@@ -4,24 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 
 from salesledger import schema as S
 from salesledger.operators.normalize import normalize_sales, normalize_transactions
 
 
 def _read(spark: SparkSession, path: str | list[str], columns: dict) -> DataFrame:
-    in_file = T.StructType([T.StructField(outer, dtype) for outer, (_, dtype) in columns.items()])
-    # The schema is matched by header, so columns a newer export adds or moves do not shift the others.
-    raw = (
-        spark.read.schema(in_file)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("multiLine", False)
-        .csv(path)
-    )
-    return raw.select(*[F.col(f"`{outer}`").alias(inner) for outer, (inner, _) in columns.items()])
+    # Columns are taken by header name, so an export with more columns or another order reads the same. A file whose
+    # header differs from the first one's is an error instead of a silent shift: read such months on their own.
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    return raw.select(*[F.col(f"`{outer}`").cast(kind).alias(inner) for outer, (inner, kind) in columns.items()])
 
 
 def read_sales(spark: SparkSession, path: str | list[str]) -> DataFrame:

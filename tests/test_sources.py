@@ -64,6 +64,22 @@ def test_csv(spark, till):
     assert rows_of(read_transactions(spark, till[1]).orderBy("transaction_id"), "net")[0] == (17.0,)
 
 
+def test_csv_with_other_columns(spark, tmp_path):
+    names = TRANSACTIONS_HEADER.split(",")
+    values = dict(zip(names, "2023-03-24 12:32:00,T1,Umsatz,Erfolgreich,foo,17.00,1.00,0.24,16.76".split(",")))
+    order = [names[1], "Kartentyp", *reversed(names[2:]), names[0]]
+    lines = [",".join(order), ",".join(values.get(n, "VISA") for n in order)]
+    (tmp_path / "a.csv").write_text("\n".join(lines))
+    out = read_transactions(spark, str(tmp_path / "a.csv"))
+    assert out.schema.names == S.TRANSACTIONS.names
+    assert rows_of(out, "booked_at", "transaction_id", "amount", "tip", "fee", "net") == [
+        ("2023-03-24 12:32:00", "T1", 17.0, 1.0, 0.24, 16.76)
+    ]
+    (tmp_path / "b.csv").write_text("\n".join([TRANSACTIONS_HEADER, ",".join(values[n] for n in names)]))
+    with pytest.raises(Exception, match="header|Header"):
+        read_transactions(spark, str(tmp_path)).collect()
+
+
 def test_prepare_and_export_jobs(spark, till, tmp_path):
     store, out = str(tmp_path / "intermediate"), str(tmp_path / "reports")
     assert jobs.run_prepare(spark, *till, store).count() == 0
