@@ -41,7 +41,7 @@ def is_weekend(date: Column) -> Column:
 
 
 def month_of(date: Column) -> Column:
-    return F.date_format(date, "yyyyMM")
+    return F.replace(F.left(date.cast("string"), F.lit(7)), F.lit("-"), F.lit(""))
 
 
 def first_of_month(month: Column) -> Column:

@@ -44,6 +44,14 @@ def file_months(spark: SparkSession, path: str, prefix: str, extension: str) ->
     return files.select("file_name", month_of_file(F.col("file_name"), prefix, extension).alias("month"))
 
 
+def month_of_journal(spark: SparkSession, path: str) -> str:
+    """The one month that the journal files under ``path`` are named after."""
+    months = file_months(spark, path, "konten", "xls").select("month").distinct().limit(2).collect()
+    if len(months) != 1 or months[0].month is None:
+        raise BookkeepingError(f"journal files must be named konten_<yyyymm>….xls for one month: {path}")
+    return months[0].month
+
+
 def run_prepare(
     spark: SparkSession,
     sales_path: str | list[str],
@@ -84,13 +92,17 @@ def run_export(spark: SparkSession, source: str, target: str, mode: str = "error
 
 def run_close(
     spark: SparkSession,
-    journal_path: str | list[str],
+    journal_path: str,
     budget: Budget,
-    month: str,
     target: str,
+    month: str | None = None,
     mode: str = "errorifexists",
 ) -> DataFrame:
-    """Close ``month``: fail on accounts outside the budget, else write and return the closing."""
+    """Close ``month``, by default the one in the file names.
+
+    Fails on accounts outside the budget, else writes and returns the closing.
+    """
+    month = month_of_journal(spark, journal_path) if month is None else month
     check_month(spark, month)
     journal = with_every_post(read_journal(spark, journal_path), budget, month)
     balances = stage(account_balances(journal, month))

@@ -229,13 +229,15 @@ def test_close_job(spark, tmp_path):
     (tmp_path / "budget.json").write_text(json.dumps(definition))
     budget = read_budget(spark, str(tmp_path / "budget.json"))
     workbook(tmp_path / "konten_202403.xls", NEW, ENTRIES[:1])
-    out = jobs.run_close(spark, str(tmp_path / "konten_202403.xls"), budget, "202403", str(tmp_path / "closing"))
+    out = jobs.run_close(spark, str(tmp_path / "konten_202403.xls"), budget, str(tmp_path / "closing"))
     assert rows_of(out, "group", "budget", "net", "remaining") == [("Ertrag", 3.5, 5.0, 1.5)]
     assert spark.read.parquet(str(tmp_path / "closing")).count() == 1
     extra = [dict(date="2024-01-31T00:00:00.000", debit="39999", credit="10000", amount="1")]
     workbook(tmp_path / "konten_202404.xls", NEW, extra)
     with pytest.raises(jobs.BookkeepingError, match="39999"):
-        jobs.run_close(spark, str(tmp_path / "konten_202404.xls"), budget, "202404", str(tmp_path / "never"))
+        jobs.run_close(spark, str(tmp_path / "konten_202404.xls"), budget, str(tmp_path / "never"), "202404")
+    with pytest.raises(jobs.BookkeepingError, match="one month"):
+        jobs.run_close(spark, str(tmp_path / "konten_*.xls"), budget, str(tmp_path / "never"))
 
 
 def test_staging_folder_is_the_one_of_the_session(spark):
