@@ -3,7 +3,7 @@
 1. Each text becomes its set of 5-word shingles, 256 minima of it, 48 bands of 5 minima, and a signature that keeps
    the low 2 bits of every minimum, packed into 8 longs. Texts with one shingle set form a class, seen from here on
    as its smallest doc_id.
-2. In every band bucket the members meet the smallest of them. The signatures' equal lanes, counted by bit operations
+2. In every band bucket the members meet the most central of them. The signatures' equal lanes, counted by bit operations
    and corrected for chance equality, estimate the similarity; a pair well below the threshold goes. The others are
    confirmed on the full sets, and the confirmed links give components.
 3. Buckets whose members are still in different components are searched whole: members outside the bucket's main
@@ -31,8 +31,8 @@ SHINGLE = 5
 PERCENT = 75
 HASHES, BANDS, ROWS = 256, 48, 5
 BITS = 2
-BLOCK = 256
-"""Members of a bucket that one row of step 3 carries."""
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000
+"""Members of a group, and their shingles, that step 3 compares at once."""
 
 _CHANCE = 2.0**-BITS
 _EVEN = 0x5555555555555555
@@ -145,6 +145,75 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
+def _few(rest: DataFrame, tried: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links from the outside of small groups: outsiders meet one row that holds the group."""
+    groups = rest.groupBy("main").agg(F.collect_list("m").alias("ys"))
+    near = f"e.label <> m.label AND (e.label = main OR e.id < m.id) AND {_alike(percent, 'e', 'm')}"
+    met = rest.where("outside").join(groups, "main").selectExpr("m.id AS x", f"explode(filter(ys, e -> {near})) AS e")
+    pairs = met.selectExpr("least(x, e.id) AS a", "greatest(x, e.id) AS b").distinct()
+    return _confirmed(pairs.join(tried, ["a", "b"], "left_anti"), texts, percent)
+
+
+def _crowd(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links from the outside of large groups: blocks of outsiders meet blocks of members, compared inside the task.
+
+    Only confirmed pairs leave a task. Signatures are compared first, then the sets of the block by one lookup per
+    outsider.
+    """
+    floor = _least_estimate(percent)
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        x, y = _block(left), _block(right)
+        sets = list(x["sets"]), list(y["sets"])
+        every = np.concatenate(sets[1])
+        owner = np.repeat(np.arange(len(sets[1])), [len(s) for s in sets[1]])
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        sizes = np.array([len(s) for s in sets[1]])
+        found: list[tuple[int, int]] = []
+        for i, shingles in enumerate(sets[0]):
+            delta = x["sig"][i] ^ y["sig"]
+            unequal = np.bitwise_count((delta | (delta >> np.uint64(1))) & np.uint64(_EVEN)).sum(axis=1)
+            close = ((1 - unequal / HASHES) - _CHANCE) / (1 - _CHANCE) >= floor
+            close &= (y["label"] != x["label"][i]) & ((y["label"] == y["main"]) | (y["id"] < x["id"][i]))
+            if not close.any():
+                continue
+            starts, ends = np.searchsorted(every, shingles, "left"), np.searchsorted(every, shingles, "right")
+            runs = ends - starts
+            at = np.repeat(starts - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+            common = np.bincount(owner[at], minlength=len(sizes))
+            good = close & (100 * common >= percent * (len(shingles) + sizes - common))
+            found += [tuple(sorted((int(x["id"][i]), int(j)))) for j in y["id"][good]]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    known = rest.join(texts.selectExpr("doc_id AS id", "text"), F.col("m.id") == F.col("id"))
+    flat = known.selectExpr("main", "outside", "blocks", "fronts", "m.id AS id", "m.label AS label", "m.sig AS sig", "text")
+    shown = ["main", "id", "label", "sig", "text"]
+    left = flat.where("outside").selectExpr(
+        *shown, "pmod(xxhash64(id), fronts) AS front", "explode(sequence(0, blocks - 1)) AS block"
+    )
+    right = flat.where("fronts > 0").selectExpr(
+        *shown, "pmod(xxhash64(id), blocks) AS block", "explode(sequence(0, fronts - 1)) AS front"
+    )
+    by = ["main", "front", "block"]
+    # Fresh column names on either side, as both come from one table.
+    left, right = (
+        side.select(*[F.col(c).cast("long").alias(c) if c in by else F.col(c).alias(c) for c in side.columns])
+        for side in (left, right)
+    )
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(check, "a long, b long")
+
+
+def _block(table: pa.Table) -> dict:
+    """Columns of a block as arrays, its texts as shingle sets."""
+    sig = np.array(table["sig"].to_pylist(), np.int64).view(np.uint64)
+    ids, labels, main = (table[c].to_numpy() for c in ("id", "label", "main"))
+    sets = (shingle_set(words, SHINGLE) for words in word_hashes(table["text"].to_pylist()))
+    return {"id": ids, "label": labels, "main": main, "sig": sig, "sets": sets}
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable over links), kept.
 
@@ -176,9 +245,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     info = reps.select("id", F.struct("n", "sig").alias("info"))
 
     bucket = reps.select("id", F.explode("bands").alias("band"))
-    first = bucket.groupBy("band").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = staged(bucket.join(first, "band"), "shared")
-    tried = staged(shared.where("id <> pivot").selectExpr("pivot AS a", "id AS b").distinct(), "tried")
+    sizes = bucket.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    crowded = staged(bucket.join(sizes, "band"), "crowded")
+    # Who shares many bands with many is the likeliest to be close to all of a bucket: the text that others vary.
+    central = crowded.groupBy("id").agg(F.sum("size").alias("rank"))
+    ranked = crowded.join(central, "id")
+    first = ranked.groupBy("band").agg(F.expr("max_by(id, struct(rank, -id)) AS pivot"))
+    shared = staged(crowded.join(first, "band"), "shared")
+    tried = staged(
+        shared.where("id <> pivot").selectExpr("least(id, pivot) AS a", "greatest(id, pivot) AS b").distinct(), "tried"
+    )
     met = tried.join(info.selectExpr("id AS a", "info AS ia"), "a").join(info.selectExpr("id AS b", "info AS ib"), "b")
     close = met.where(_alike(percent, "ia", "ib")).select("a", "b")
     links = staged(_confirmed(close, rep_texts, percent), "confirmed")
@@ -187,35 +263,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Step 3: buckets that still hold several components.
     labelled = staged(
         shared.where("size > 2").join(label.withColumnRenamed("node", "id"), "id", "left")
-        .selectExpr("band", "id", "size", "coalesce(component_id, id) AS label"),
+        .selectExpr("band", "id", "coalesce(component_id, id) AS label"),
         "labelled",
     )
     parts = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
     mains = parts.groupBy("band").agg(F.expr("max_by(label, struct(n, label)) AS main"), F.count(F.lit(1)).alias("k"))
-    mixed_bands = labelled.join(mains.where("k > 1").select("band", "main"), "band").join(info, "id")
-    mixed_bands = staged(mixed_bands, "mixed")
-    block = f"pmod(xxhash64(id), (size + {BLOCK - 1}) div {BLOCK})"
-    blocks = mixed_bands.groupBy("band", F.expr(block).alias("block")).agg(
-        F.collect_list(F.struct("id", "label", F.col("info.n").alias("n"), F.col("info.sig").alias("sig"))).alias("ys")
-    )
-    outside = mixed_bands.where("label <> main").selectExpr(
-        "band", "struct(id, label, info.n AS n, info.sig AS sig) AS x", "main"
-    )
-    hits = outside.join(blocks, "band").select(
-        F.col("x.id").alias("a"),
-        F.explode(
-            F.expr(
-                "filter(ys, e -> e.label <> x.label AND (e.label = main OR e.id < x.id) AND "
-                + _alike(percent, "e", "x") + ")"
-            )
-        ).alias("e"),
+    rest = labelled.join(mains.where("k > 1"), "band").select("main", "id", "label").distinct().join(info, "id")
+    rest = staged(rest.selectExpr("main", "label <> main AS outside", "struct(id, label, info.*) AS m"), "rest")
+    sizes = rest.groupBy("main").agg(
+        F.expr(f"int(ceil(greatest(count(1) / {BLOCK}, sum(m.n) / {BLOCK_SHINGLES}))) AS blocks"),
+        F.expr(f"int(ceil(greatest(sum(int(outside)) / {BLOCK}, sum(if(outside, m.n, 0)) / {BLOCK_SHINGLES}))) AS fronts"),
     )
-    late = staged(
-        hits.select(F.least("a", "e.id").alias("a"), F.greatest("a", "e.id").alias("b")).distinct()
-        .join(tried, ["a", "b"], "left_anti"),
-        "late",
+    rest = staged(rest.join(sizes, "main"), "sized")
+    more = _few(rest.where("blocks = 1"), tried, rep_texts, percent).unionByName(
+        _crowd(rest.where("blocks > 1"), rep_texts, percent)
     )
-    more = staged(_confirmed(late, rep_texts, percent), "confirmed")
+    more = staged(more, "confirmed")
     if not more.isEmpty():
         label = staged(components(label.selectExpr("node AS a", "component_id AS b").unionByName(more)), "label")
 
