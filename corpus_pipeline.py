@@ -2,27 +2,56 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from salesledger.llm import near_dedup
+from salesledger.llm import language_id, mixing, near_dedup, packing, substring_dedup
 from salesledger.llm.staging import shared_folder
 
 
+def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language, which replaces ``lang``; those without a letter go."""
+    profiles = language_id.fit(docs)
+    known = language_id.predict(docs, profiles).where(f"lang_pred <> '{language_id.UNKNOWN}'")
+    return known.withColumn("lang", known.lang_pred).select(*docs.columns)
+
+
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
     return near_dedup.drop_near_duplicates(docs)
 
 
-STAGES = [("near_dedup", _near_dedup)]
+def _substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out; documents left without a word go."""
+    return substring_dedup.drop_repeated_passages(docs)
+
+
+def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return mixing.mix(docs, mixing.label_weights(labels))
+
+
+def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", _language),
+    ("near_dedup", _near_dedup),
+    ("substring_dedup", _substring_dedup),
+    ("mixing", _mixing),
+    ("packing", _packing),
+]
 
 ORACLE_SQL = None
-"""Shingle similarity, chains and packing have no whole-table SQL; tests compare with brute force."""
+"""N-gram ranks, chains and packing have no whole-table SQL; the tests compare run() with a brute-force version."""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each written as Parquet and read again."""
-    import uuid
-
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:

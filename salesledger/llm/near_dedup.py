@@ -240,8 +240,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .selectExpr("doc_id AS id", "n_shingles AS n", "sig", "bands"),
         "reps",
     )
-    rep_texts = texts.dropDuplicates(["doc_id"]) if _repeats(texts) else texts
-    rep_texts = rep_texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
     info = reps.select("id", F.struct("n", "sig").alias("info"))
 
     bucket = reps.select("id", F.explode("bands").alias("band"))
@@ -252,6 +250,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ranked = crowded.join(central, "id")
     first = ranked.groupBy("band").agg(F.expr("max_by(id, struct(rank, -id)) AS pivot"))
     shared = staged(crowded.join(first, "band"), "shared")
+    # The texts of those that meet anyone are moved once; what compares them later moves only these.
+    meeting = crowded.selectExpr("id AS doc_id").distinct()
+    rep_texts = staged(
+        texts.where("text IS NOT NULL").join(meeting, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts"
+    )
     tried = staged(
         shared.where("id <> pivot").selectExpr("least(id, pivot) AS a", "greatest(id, pivot) AS b").distinct(), "tried"
     )

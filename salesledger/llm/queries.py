@@ -1,4 +1,4 @@
-"""The operators as queries over the generated tables."""
+"""The operators as queries over the whole generated tables, and the same in DuckDB's SQL where SQL can state it."""
 
 from __future__ import annotations
 
@@ -6,9 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesledger.llm import near_dedup
+from salesledger.llm import (
+    chat_perspectives,
+    language_id,
+    license_scan,
+    mixing,
+    near_dedup,
+    nearest,
+    packing,
+    quality_rules,
+    sharding,
+    substring_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
+SHARDS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +31,60 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = sharding.sizes(table(spark, sf_dir, "documents"))
+    return sharding.with_shards(sized, SHARDS).selectExpr(
+        "doc_id", "size", "text_crc32", "'key' AS law", "shard", "slot", "grown_shard"
+    )
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = language_id.fit(docs.where(~language_id.held_out()))
+    predicted = language_id.predict(docs.select("doc_id", "text"), profiles)
+    return predicted.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_perspectives.digest(chat_perspectives.perspectives(table(spark, sf_dir, "conversations")))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = mixing.label_weights(table(spark, sf_dir, "labels"))
+    taken = mixing.mixed(table(spark, sf_dir, "documents"), weights)
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: query for name, query in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_chat_perspectives": chat_perspectives.oracle_sql(),
+        "op7_quality_rules": quality_rules.oracle_sql(),
+        "op9_mixing": mixing.oracle_sql(),
+    }
