@@ -25,14 +25,15 @@ _WORD = r"[^\\x20\\x09-\\x0D]+"
 def target_sql(sources: str, total: str, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> str:
     """SQL of the targets from a table (source, source_size), one row per source; ``total`` is a table name for use inside.
 
-    With caps c and weights w, the sources in order of c / w: those before a level are capped, the others get the
-    level times their weight. The level is the first at which the next source's share stays under its cap; it is what
-    repeated resharing of the excess ends at.
+    A source gets the lesser of its cap and a common level times its weight; repeated resharing of the excess ends at the level
+    where these add up to the total. In order of cap / weight, holding the sources before one at their caps and sharing the
+    rest among the others by weight gives a level that is never above the right one, and reaches it at the right place:
+    the level is the greatest of these.
     """
     turn = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
     return f"""
-    SELECT source, source_size, CASE WHEN level IS NULL OR cap <= level * weight THEN cap ELSE level * weight END AS target
-    FROM (SELECT *, min(CASE WHEN candidate * weight <= cap THEN candidate END) OVER () AS level
+    SELECT source, source_size, CASE WHEN cap <= level * weight THEN cap ELSE level * weight END AS target
+    FROM (SELECT *, max(candidate) OVER () AS level
           FROM (SELECT *, ({share} * sum(source_size) OVER () - ((sum(cap) OVER up) - cap))
                           / (sum(weight) OVER () - ((sum(weight) OVER up) - weight)) AS candidate
                 FROM (SELECT *, {most} * source_size AS cap

@@ -11,6 +11,8 @@ Equal vectors are one entry with its smallest ids, so a very frequent vector cos
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,7 +24,9 @@ SAMPLE = 16_384
 """Most vectors that centres are fitted to, those with the least hash of their id."""
 
 PER_LIST, MOST_LISTS = 512, 1024
-PROBES = 24
+RECALL = 0.97
+"""Share of the true neighbours within the sample whose lists are to be probed; sets the number of probes."""
+
 COLUMNS = 16
 CERTAINTY = 2.1
 """Standard errors by which the scaled distance must exceed the k-th best to abandon a candidate."""
@@ -49,12 +53,27 @@ def centres(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     return at
 
 
+def probes_for(sample: np.ndarray, middle: np.ndarray, k: int, recall: float = RECALL, queries: int = 256) -> int:
+    """Lists to probe so that ``recall`` of the true k nearest in the sample lie in them, by brute force over the sample.
+
+    Neighbours are nearer in the whole table than in a sample of it, so their lists are no farther down.
+    """
+    asked = np.arange(0, len(sample), max(1, len(sample) // queries))
+    cosine = sample[asked] @ sample.T
+    cosine[np.arange(len(asked)), asked] = -2
+    true = np.argpartition(-cosine, min(k, len(sample) - 1) - 1, axis=1)[:, :k]
+    lists_of = (sample @ middle.T).argmax(axis=1)
+    place = np.argsort(np.argsort(-(sample[asked] @ middle.T), axis=1), axis=1)
+    ranks = np.sort(np.take_along_axis(place, lists_of[true], axis=1).ravel())
+    return int(ranks[min(len(ranks) - 1, int(recall * len(ranks)))]) + 1
+
+
 def scan(query: np.ndarray, block: np.ndarray, k: int, columns: int = COLUMNS, certainty: float = CERTAINTY) -> tuple[np.ndarray, np.ndarray]:
     """Rows of ``block`` among the k nearest to ``query`` and their squared distances, by the adaptive scan."""
     dim = block.shape[1]
     found, far = np.zeros(0, np.int64), np.zeros(0)
-    for at in range(0, len(block), 256):
-        rows = np.arange(at, min(at + 256, len(block)))
+    for at, end in itertools.pairwise([*range(0, min(len(block), 256), 64), *range(256, len(block), 2048), len(block)]):
+        rows = np.arange(at, end)
         limit = far[k - 1] if len(far) >= k else np.inf
         part = np.zeros(len(rows))
         for d in range(0, dim, columns):
@@ -89,7 +108,7 @@ def _usable(vectors: DataFrame) -> DataFrame:
 
 
 def nearest(
-    vectors: DataFrame, every: int = 50, k: int = 5, per_list: int = PER_LIST, most_lists: int = MOST_LISTS, probes: int = PROBES
+    vectors: DataFrame, every: int = 50, k: int = 5, per_list: int = PER_LIST, most_lists: int = MOST_LISTS, recall: float = RECALL
 ) -> DataFrame:
     """The k nearest vectors found for each query: query_id, rank from 1, vec_id, score (cosine).
 
@@ -107,14 +126,15 @@ def nearest(
     sample = usable.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toArrow()
     turn = rotation(dim)
     lists = max(1, min(most_lists, total // per_list))
-    middle = centres(_unit(sample["vec"], dim) @ turn, lists)
-    probes = min(probes, len(middle))
+    turned = _unit(sample["vec"], dim) @ turn
+    middle = centres(turned, lists)
+    probes = probes_for(turned, middle, k, recall)
 
     # Equal vectors: the first k + 1 ids serve any query, its own id left out.
     by_vector = Window.partitionBy("vec").orderBy("id")
     first = usable.withColumn("_n", F.row_number().over(by_vector)).where(F.col("_n") <= k + 1)
     entries = staged(
-        first.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("entry", F.col("ids")[0]), "entries"
+        first.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("entry", F.xxhash64("vec")), "entries"
     )
     asks = usable.where(F.pmod("id", F.lit(every)) == 0).withColumnRenamed("id", "query_id")
     asks = staged(asks.join(entries.select("vec", "entry"), "vec").select("query_id", "entry"), "asks")

@@ -1,0 +1,49 @@
+from __future__ import annotations
+
+from salesledger.llm import chat_perspectives as chat
+from salesledger.llm import queries
+from llm.conftest import SMALL, same
+
+
+def test_matches_sql(spark, duck):
+    same(queries.op5_chat_perspectives(spark, SMALL), duck.sql(queries.oracle_sql()["op5_chat_perspectives"]))
+
+
+def test_three_speakers(spark):
+    turns = [("c", 0, "system", "Be kind."), ("c", 1, "Ann", "Hi"), ("c", 2, "Bob", "Hello"), ("c", 3, "Cy", None)]
+    got = {r.perspective: r for r in chat.perspectives(spark.createDataFrame(turns, "conv_id string, turn int, role string, text string")).collect()}
+    assert set(got) == {"Ann", "Bob", "Cy"}
+    assert got["Bob"].text == (
+        "<|system|>\nBe kind.<|end|>\n<|user name=Ann|>\nHi<|end|>\n<|assistant|>\nHello<|end|>\n<|user name=Cy|>\n<|end|>\n"
+    )
+    for r in got.values():
+        learned = [r.text[m.start : m.end] for m in r["mask"]]
+        assert learned == [{"Ann": "Hi", "Bob": "Hello", "Cy": ""}[r.perspective] + chat.CLOSE]
+
+
+def test_odd_rows(spark):
+    turns = [
+        ("a", None, "x", "last"),
+        ("a", 700, "x", "far"),
+        ("a", 0, "y", "tie"),
+        ("a", 0, "x", "tie"),
+        ("a", 0, "x", "tie"),
+        ("a", 5, None, "who"),
+        (None, 1, "x", "no dialogue"),
+        ("s", 0, "system", "alone"),
+        ("e", 0, "x", "é🙂 " * 100_000),
+    ]
+    df = spark.createDataFrame([t + ("u",) for t in turns], "conv_id string, turn int, role string, text string, part string")
+    rows = chat.perspectives(df).collect()
+    own = [r for r in rows if r.conv_id == "a" and r.perspective == "x"]
+    whole = "".join(r.text for r in sorted(own, key=lambda r: r.part))
+    assert whole == (
+        "<|assistant|>\ntie<|end|>\n" * 2 + "<|user name=y|>\ntie<|end|>\n<|user name=unknown|>\nwho<|end|>\n"
+        "<|assistant|>\nfar<|end|>\n<|assistant|>\nlast<|end|>\n"
+    )
+    assert {r.perspective for r in rows if r.conv_id == "a"} == {"x", "y", "unknown"}
+    assert sum(r.conv_id is None for r in rows) == 1 and not any(r.conv_id == "s" for r in rows)
+    [long] = [r for r in rows if r.conv_id == "e"]
+    assert long.text[long["mask"][0].start : long["mask"][0].end] == "é🙂 " * 100_000 + chat.CLOSE
+    assert all(r["mask"] == [] for r in rows if r.conv_id == "a" and r.n_own == 0)
+    assert chat.digest(chat.perspectives(df.limit(0))).count() == 0

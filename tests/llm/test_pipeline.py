@@ -1,0 +1,70 @@
+from __future__ import annotations
+
+import importlib
+import subprocess
+import sys
+from collections import Counter
+
+import corpus_pipeline
+from salesledger.llm import packing
+from llm.conftest import ROOT, SMALL
+from llm.test_near_dedup import brute
+from llm.test_packing import PATH, ids_of
+from llm.test_substring_dedup import exact_repeats
+
+
+def test_stages_one_by_one(spark, documents, tmp_path):
+    """Each stage's output against brute force on its own input, and run() against the last one's."""
+    docs, seen = documents, {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        out.write.parquet(str(tmp_path / name))
+        seen[name] = (docs, spark.read.parquet(str(tmp_path / name)))
+        docs = seen[name][1]
+        if name != "packing":
+            assert docs.columns == documents.columns
+    before, after = seen["language_id"]
+    letters = {r.doc_id for r in before.collect() if any(c.isalpha() for c in r.text or "")}
+    assert {r.doc_id for r in after.collect()} == letters
+
+    before, after = seen["near_dedup"]
+    expected = brute({r.doc_id: r.text for r in before.collect()})
+    assert {r.doc_id for r in after.collect()} == {i for i, (_, component) in expected.items() if i == component}
+
+    before, after = seen["substring_dedup"]
+    texts, cut = {r.doc_id: r.text for r in before.collect()}, {r.doc_id: r.text for r in after.collect()}
+    repeats = exact_repeats(texts, 50)
+    for i, text in cut.items():
+        assert len(text.split()) <= len(texts[i].split()) - len(repeats[i])
+    assert all(cut[i] == texts[i] for i in texts if not exact_repeats(texts, 12)[i])
+    assert not exact_repeats(cut, 50)
+
+    before, after = seen["mixing"]
+    texts = {r.doc_id: r.text for r in before.collect()}
+    copies = Counter(r.doc_id for r in after.collect())
+    assert set(copies) <= set(texts) and max(copies.values()) <= 2
+    words = sum(len(texts[i].split()) * n for i, n in copies.items())
+    assert abs(words - 1.5 * sum(len(t.split()) for t in texts.values())) < 0.1 * words
+
+    before, after = seen["packing"]
+    tokens = sum(len(ids_of(r.text)) for r in before.collect())
+    assert sum(r.length for r in after.collect()) == tokens
+    assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()}
+    assert packing.default_tokenizer() == PATH
+    last = Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in after.collect())
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, SMALL).collect()) == last
+
+
+def test_queries_are_registered_and_the_rest_stands_alone(tmp_path):
+    entry = importlib.import_module("__spark_entry__")
+    names = list(entry.queries())
+    assert [n for n in names if n.startswith("op")] == sorted(
+        [n for n in names if n.startswith("op")], key=lambda n: int(n[2:].split("_")[0])
+    )
+    assert sum(n.startswith("op") for n in names) == 10 and "pipeline" in names
+    assert set(entry.oracle_sql()) < set(names)
+    code = (
+        "import sys; sys.modules['salesledger.llm'] = sys.modules['corpus_pipeline'] = None; "
+        "import __spark_entry__ as e; assert not any(n.startswith('op') for n in e.queries()); assert 'pipeline' not in e.queries()"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)

@@ -1,0 +1,127 @@
+from __future__ import annotations
+
+import re
+from collections import defaultdict
+
+import numpy as np
+
+from salesledger.llm import chaining, queries, substring_dedup
+from llm.conftest import SMALL
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def exact_repeats(texts: dict[int, str | None], n: int):
+    """Per document the words that lie in a run of n words which an earlier document holds too."""
+    first: dict[tuple, int] = {}
+    words = {i: [w.encode().lower() for w in WORD.findall(t or "")] for i, t in sorted(texts.items())}
+    out = defaultdict(set)
+    for i, own in words.items():
+        for at in range(len(own) - n + 1):
+            run = tuple(own[at : at + n])
+            if first.setdefault(run, i) < i:
+                out[i].update(range(at, at + n))
+    return out
+
+
+def check(docs, rows, n=50):
+    """Every exact repeat is found; what is found is nearly all covered by shorter exact repeats."""
+    texts = {r.doc_id: r.text for r in docs.where("doc_id IS NOT NULL").collect()}
+    long, short = exact_repeats(texts, n), exact_repeats(texts, 3)
+    found = defaultdict(set)
+    for r in rows:
+        assert r.n_words == r.end - r.start >= n and r.source_doc_id < r.doc_id
+        found[r.doc_id].update(range(r.start, r.end))
+        span = set(range(r.start, r.end))
+        assert len(span & short[r.doc_id]) >= 0.6 * len(span)
+    for i, words in long.items():
+        assert words <= found[i], i
+    return found
+
+
+def test_query_finds_what_brute_force_finds(spark, documents):
+    rows = queries.op6_substring_dedup(spark, SMALL).collect()
+    assert check(documents, rows)
+
+
+def prose(rng, n):
+    return [f"w{i}" for i in rng.integers(0, 5000, n)]
+
+
+def test_planted_passages_exact_and_changed(spark):
+    rng = np.random.default_rng(7)
+    passage, docs, planted = prose(rng, 80), [], set()
+    for i in range(120):
+        words = prose(rng, 200)
+        if i % 4 == 1:
+            copy = list(passage)
+            if i % 8 == 1:  # a word changed, one lost and one added
+                copy[20], copy[45:46], copy[60:60] = "changed", [], ["added"]
+            words[100:100] = copy
+            planted.add(i)
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = substring_dedup.repeated_passages(df).collect()
+    check(df, rows)
+    assert {r.doc_id for r in rows} == planted - {1}
+    assert all(98 <= r.start <= 102 and 178 <= r.end <= 184 for r in rows)
+    cut = {r.doc_id: r.text.split() for r in substring_dedup.drop_repeated_passages(df).collect()}
+    assert len(cut[1]) == 280 and all(len(cut[i]) <= 203 for i in planted - {1})
+    assert all(" ".join(cut[i]) == docs[i][1] for i in range(120) if i not in planted)
+
+
+def test_odd_rows(spark, odd_documents):
+    rows = substring_dedup.repeated_passages(odd_documents).collect()
+    assert [(r.doc_id, r.start, r.end, r.source_doc_id) for r in rows] == [(2, 0, 120, 1)]
+    kept = substring_dedup.drop_repeated_passages(odd_documents)
+    assert kept.columns == odd_documents.columns
+    ids = sorted((r.doc_id for r in kept.collect()), key=str)
+    assert ids == sorted([1, 3, 4, 5, 6, 7, 8, 9, 10, None, None], key=str)
+    assert substring_dedup.repeated_passages(odd_documents.limit(0)).count() == 0
+    assert substring_dedup.drop_repeated_passages(odd_documents.limit(0)).count() == 0
+
+
+def test_chars_follow_the_text(spark):
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, words, len(words)), (2, f"own start\n{words}\nown end", len(words) + 18)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in substring_dedup.drop_repeated_passages(df).collect()}
+    assert got == {1: (words, len(words)), 2: ("own start\nown end", 17)}
+
+
+def test_chain_is_the_best_one():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        found = sorted({(int(p), int(q), int(n)) for p, q, n in rng.integers(1, 30, (8, 3))})
+        best = 0.0
+        score = []
+        for p, q, n in found:
+            before = [
+                s - chaining.GAP_COST * (p - a - m + q - b - m)
+                for (a, b, m), s in zip(found, score)
+                if a + m <= p and b + m <= q
+            ]
+            score.append(n + max([0.0, *before]))
+            best = max(best, score[-1])
+        chain = chaining.chains(found)[0]
+        worth = chain[0][2]
+        for (a, b, m), (p, q, n) in zip(chain, chain[1:]):
+            assert a + m <= p and b + m <= q
+            worth += n - chaining.GAP_COST * (p - a - m + q - b - m)
+        assert abs(worth - best) < 1e-9
+
+
+def test_seeds_of_equal_runs_meet():
+    rng = np.random.default_rng(4)
+    shared = rng.integers(0, 1 << 60, 17, dtype=np.uint64)
+    for _ in range(50):
+        texts = [np.concatenate([rng.integers(0, 1 << 60, int(n), dtype=np.uint64), shared, rng.integers(0, 1 << 60, 30, dtype=np.uint64)]) for n in rng.integers(0, 40, 2)]
+        one, two = (set(substring_dedup.seeds_of(t)[0].tolist()) for t in texts)
+        assert one & two
+
+
+def test_cut_out_keeps_the_rest():
+    text = " a b\tc\n\nd  e "
+    assert substring_dedup.cut_out(text, [(1, 3)]) == " a d  e "
+    assert substring_dedup.cut_out(text, [(0, 1), (4, 5)]) == " b\tc\n\nd  "
+    assert substring_dedup.cut_out(text, [(0, 5)]) == " "
