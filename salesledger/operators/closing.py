@@ -50,6 +50,38 @@ def account_balances(journal: DataFrame, month: str, since_new_year: bool = Fals
     )
 
 
+def balances_by_month(journal: DataFrame, first: str, last: str, since_new_year: bool = False) -> DataFrame:
+    """Balance per account at the end of each month from ``first`` to ``last``, from one reading of the journal.
+
+    Movements are summed by month, at most 77,000 accounts a month, and each of these sums counts in its own and
+    every later month of the range; with ``since_new_year`` in those of its own year only.
+    """
+    month = F.date_trunc("month", F.col("date")).cast("date")
+    monthly = journal_movements(journal, last).groupBy("account", month.alias("of")).agg(F.sum("amount").alias("amount"))
+    low, high = (F.to_date(F.lit(m), "yyyyMM") for m in (first, last))
+    end = F.least(high, F.make_date(F.year("of"), F.lit(12), F.lit(1))) if since_new_year else high
+    start = F.greatest(F.col("of"), low)
+    counted = F.sequence(start, end, F.expr("INTERVAL 1 MONTH"))
+    spread = monthly.where(start <= end).select("account", "amount", F.explode(counted).alias("at"))
+    return spread.groupBy(F.date_format("at", "yyyyMM").alias("month"), "account").agg(
+        F.coalesce(F.sum("amount"), zero()).cast(S.MONEY).alias("balance")
+    )
+
+
+def closing_by_month(balances: DataFrame, budget: Budget) -> DataFrame:
+    """Budget, actual and remaining amount per post and month, from balances by month."""
+    known = _with_posts(balances, budget).where(F.col("post_key").isNotNull())
+    per_post = known.groupBy("month", "post_key", "name", "sort", "factor").agg(
+        F.sum(F.col("balance") * F.col("factor")).cast(S.MONEY).alias("net")
+    )
+    yearly = budget.post_budget.select("year", "post_key", F.col("amount").alias("budget"))
+    budgeted = per_post.withColumn("year", F.left("month", F.lit(4))).join(yearly, ["year", "post_key"], "left")
+    budgeted = budgeted.withColumn("budget", F.coalesce("budget", zero()))
+    closed = budgeted.groupBy("month", "name", "sort", "budget", "factor").agg(F.sum("net").cast(S.MONEY).alias("net"))
+    remaining: Column = ((F.col("budget") - F.col("net")) * F.col("factor")).cast(S.MONEY)
+    return closed.select("month", F.col("name").alias("group"), "sort", "budget", "net", remaining.alias("remaining"))
+
+
 def account_posts(budget: Budget) -> DataFrame:
     """The post of each account; an account listed in several posts belongs to the first by sort order."""
     listed = budget.post_account.where(F.col("account").rlike(BUDGET_ACCOUNT)).select("account", "post_key")

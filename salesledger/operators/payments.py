@@ -59,17 +59,18 @@ def tip_lines(
     With the grain "line" tips are distinct over all columns, so a transaction with lines in two categories gets two
     tip lines. With the grain "transaction" it gets one. ``base`` is the output of ``commission_base``.
     """
-    headers = sales.where(F.col("transaction_id").isNotNull()).select(TIP_HEADER)
-    if grain == "transaction":
-        rest = [c for c in TIP_HEADER if c != "transaction_id"]
-        first = F.min(F.struct(*rest)).alias("first")
-        headers = headers.groupBy("transaction_id").agg(first).select("transaction_id", "first.*")
-    elif grain == "line":
-        headers = headers.distinct()
-    else:
+    if grain not in ("line", "transaction"):
         raise ValueError(f"unknown grain: {grain}")
+    headers = sales.where(F.col("transaction_id").isNotNull()).select(TIP_HEADER)
     tips = base.where(F.col("tip") > 0).select("transaction_id", "tip").distinct()
+    # Most transactions have no tip: theirs go before anything is made distinct.
     tipped = spread_join(headers, tips, "transaction_id", "inner", hot)
+    if grain == "line":
+        tipped = tipped.distinct()
+    else:
+        rest = [c for c in TIP_HEADER if c != "transaction_id"]
+        first = F.min(F.struct(*rest)).alias("first")
+        tipped = tipped.groupBy("transaction_id", "tip").agg(first).select("transaction_id", "first.*", "tip")
     return tipped.select(
         "sold_at",
         "kind",

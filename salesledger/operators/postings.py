@@ -20,6 +20,9 @@ CORRECTED_ACCOUNT = "20051"
 CORRECTION_ACCOUNT = "68450"
 CORRECTION_TEXT = "SU Rundungskorrektur 20051"
 UNDATED_POSTING = ("10930", "10100")
+PAID_OUT_TEXT = "SU Kooperation Ausbezahlt"
+CARD_TEXT = "SU Kooperation Karte"
+CASH_TEXT = "SU Kooperation bar"
 
 # Account -> (columns that are added, columns that are subtracted, severity)
 BALANCES = {
@@ -65,48 +68,19 @@ def balance_violations(accounting: DataFrame) -> DataFrame:
     return rows.where(F.abs("net") > F.lit(TOLERANCE).cast(S.MONEY))
 
 
+BLANKS = ["beleg", "rechnung", "anzahl", "einheit", "preis_einheit"]
+"""Ledger columns that no posting fills: empty text, or null in the rounding correction."""
+
+
 def _ledger_row(**values: Column) -> list[Column]:
     blank = F.lit("")
     columns = {**{name: blank for name in S.LEDGER_REPORT}, **values}
     return [F.col("month"), *[columns[name].alias(name) for name in S.LEDGER_REPORT]]
 
 
-def rounding_correction(accounting: DataFrame) -> DataFrame:
-    """Posting that settles what rounding left on account 20051 in a month."""
-    net = F.col("net")
-    totals = accounting.where(F.col("is_total")).withColumn("net", _net(CORRECTED_ACCOUNT))
-    missing = F.lit(None).cast("string")
-    return totals.where(net != 0).select(
-        *_ledger_row(
-            datum=last_of_month(F.col("month")),
-            beleg=missing,
-            rechnung=missing,
-            beschreibung=F.lit(CORRECTION_TEXT),
-            kt_soll=F.when(net > 0, CORRECTED_ACCOUNT).otherwise(CORRECTION_ACCOUNT),
-            kt_haben=F.when(net < 0, CORRECTED_ACCOUNT).otherwise(CORRECTION_ACCOUNT),
-            anzahl=missing,
-            einheit=missing,
-            preis_einheit=missing,
-            betrag_chf=F.abs(net).cast(S.MONEY),
-        )
-    )
-
-
-def posting_summary(accounting: DataFrame) -> DataFrame:
-    """The total row of each month as postings, without those that amount to zero."""
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(debit).alias("kt_soll"),
-                F.lit(credit).alias("kt_haben"),
-                F.lit(PREFIX + text).alias("beschreibung"),
-                F.lit((debit, credit) != UNDATED_POSTING).alias("dated"),
-                F.col(S.posting_column(debit, credit)).alias("betrag_chf"),
-            )
-            for _, debit, credit, text in S.POSTINGS
-        ]
-    )
-    long = accounting.where(F.col("is_total")).select("month", F.inline(entries))
+def _posted(accounting: DataFrame, entries: list[Column]) -> DataFrame:
+    """Entries of the total row of each month as ledger rows, without those that amount to zero."""
+    long = accounting.where(F.col("is_total")).select("month", F.inline(F.array(*entries)))
     return long.where(F.col("betrag_chf") != 0).select(
         *_ledger_row(
             datum=F.when(F.col("dated"), last_of_month(F.col("month"))),
@@ -114,10 +88,58 @@ def posting_summary(accounting: DataFrame) -> DataFrame:
             kt_soll=F.col("kt_soll"),
             kt_haben=F.col("kt_haben"),
             betrag_chf=F.col("betrag_chf"),
+            **{name: F.col("blank") for name in BLANKS},
         )
     )
 
 
+def _entry(debit: Column, credit: Column, text: str, dated: bool, amount: Column, blank: str | None) -> Column:
+    return F.struct(
+        debit.alias("kt_soll"),
+        credit.alias("kt_haben"),
+        F.lit(text).alias("beschreibung"),
+        F.lit(dated).alias("dated"),
+        amount.cast(S.MONEY).alias("betrag_chf"),
+        F.lit(blank).cast("string").alias("blank"),
+    )
+
+
+def _summary_entries() -> list[Column]:
+    return [
+        _entry(
+            F.lit(debit),
+            F.lit(credit),
+            PREFIX + text,
+            (debit, credit) != UNDATED_POSTING,
+            F.col(S.posting_column(debit, credit)),
+            "",
+        )
+        for _, debit, credit, text in S.POSTINGS
+    ]
+
+
+def _correction_entry() -> Column:
+    net = _net(CORRECTED_ACCOUNT)
+    debit = F.when(net > 0, CORRECTED_ACCOUNT).otherwise(CORRECTION_ACCOUNT)
+    credit = F.when(net < 0, CORRECTED_ACCOUNT).otherwise(CORRECTION_ACCOUNT)
+    return _entry(debit, credit, CORRECTION_TEXT, True, F.abs(net), None)
+
+
+def rounding_correction(accounting: DataFrame) -> DataFrame:
+    """Posting that settles what rounding left on account 20051 in a month."""
+    return _posted(accounting, [_correction_entry()])
+
+
+def posting_summary(accounting: DataFrame) -> DataFrame:
+    """The total row of each month as postings, without those that amount to zero."""
+    return _posted(accounting, _summary_entries())
+
+
+def summary_with_correction(accounting: DataFrame) -> DataFrame:
+    """Both from one reading of the report."""
+    return _posted(accounting, [*_summary_entries(), _correction_entry()])
+
+
 def _money_account() -> Column:
     return F.when(F.col("payment_method") == "Card", CARD_ACCOUNT).otherwise(CASH_ACCOUNT)
 
@@ -152,9 +174,9 @@ def _paid_out(intermediate: DataFrame) -> DataFrame:
     return both.withColumn("month", month_of(F.col("date"))).select(
         *_ledger_row(
             datum=F.col("date"),
-            beschreibung=F.when(out, "SU Kooperation Ausbezahlt")
-            .when(card, "SU Kooperation Karte")
-            .otherwise("SU Kooperation bar"),
+            beschreibung=F.when(out, PAID_OUT_TEXT)
+            .when(card, CARD_TEXT)
+            .otherwise(CASH_TEXT),
             kt_soll=F.when(out, PAID_OUT_ACCOUNT).otherwise(_money_account()),
             kt_haben=F.when(out, CASH_ACCOUNT).otherwise(PAID_OUT_ACCOUNT),
             betrag_chf=F.coalesce(F.col("amount"), zero()).cast(S.MONEY),
@@ -162,16 +184,32 @@ def _paid_out(intermediate: DataFrame) -> DataFrame:
     )
 
 
+def detail_rows(intermediate: DataFrame) -> DataFrame:
+    """The rows that postings are kept for in detail, a small part of all."""
+    return intermediate.where((F.col("topic") == "Rental") | (F.col("owner") == "PaidOut"))
+
+
 def posting_details(intermediate: DataFrame) -> DataFrame:
     """Postings kept one by one or by day: room rentals and what belongs to cooperation partners."""
     return _rentals(intermediate).unionByName(_paid_out(intermediate))
 
 
+def _replaced(intermediate: DataFrame) -> DataFrame:
+    """Month and credit account of every posting of ``posting_details``, at most three accounts a month."""
+    accounts = f"""concat(IF(topic = 'Rental', array('{RENTAL_ACCOUNT}'), array()),
+                          IF(owner = 'PaidOut', array('{PAID_OUT_ACCOUNT}', '{CASH_ACCOUNT}'), array()))"""
+    rows = detail_rows(intermediate).withColumn("month", month_of(F.col("date")))
+    return rows.select("month", F.explode(F.expr(accounts)).alias("kt_haben")).distinct()
+
+
 def ledger(accounting: DataFrame, intermediate: DataFrame) -> DataFrame:
-    """Postings of each month: details replace the summary postings to the accounts they credit."""
+    """Postings of each month: details replace the summary postings to the accounts they credit.
+
+    ``intermediate`` may be cut down to its ``detail_rows``.
+    """
     details = posting_details(intermediate)
     # At most three credit accounts per calendar month, so the list is small however many rows there are.
-    replaced = F.broadcast(details.select("month", "kt_haben").distinct())
-    summary = posting_summary(accounting).unionByName(rounding_correction(accounting))
+    replaced = F.broadcast(_replaced(intermediate))
+    summary = summary_with_correction(accounting)
     kept = summary.where(F.col("kt_haben").isNotNull()).join(replaced, ["month", "kt_haben"], "left_anti")
     return kept.select(details.columns).unionByName(details)

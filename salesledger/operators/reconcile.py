@@ -46,9 +46,13 @@ def missing_in_transactions(sales: DataFrame, transactions: DataFrame) -> DataFr
     )
 
 
-def reconcile(sales: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Both directions in one pass: ``missing_in`` tells which report lacks the transaction."""
-    in_sales = _ids_in_sales(sales).withColumnRenamed("n_rows", "sales_rows")
+def reconcile(sales: DataFrame, transactions: DataFrame, summary: DataFrame | None = None) -> DataFrame:
+    """Both directions in one pass: ``missing_in`` tells which report lacks the transaction.
+
+    ``summary`` is a stored ``sales_summary`` of the same report.
+    """
+    ids = _ids_in_sales(sales) if summary is None else summary.select("transaction_id", "n_rows")
+    in_sales = ids.withColumnRenamed("n_rows", "sales_rows")
     in_transactions = _ids_in_transactions(transactions).withColumnRenamed("n_rows", "transaction_rows")
     both = in_sales.join(in_transactions, "transaction_id", "full_outer")
     missing = F.when(F.col("sales_rows").isNull(), "sales").when(
@@ -59,17 +63,23 @@ def reconcile(sales: DataFrame, transactions: DataFrame) -> DataFrame:
     ).where(F.col("missing_in").isNotNull())
 
 
-def refund_violations(sales: DataFrame) -> DataFrame:
-    """Refunded transactions whose lines do not add up to exactly zero."""
-    per_transaction = (
+def sales_summary(sales: DataFrame) -> DataFrame:
+    """One row per transaction of the sales report: number of lines, net sum, and whether a line refunds it."""
+    return (
         sales.where(F.col("transaction_id").isNotNull())
         .groupBy("transaction_id")
         .agg(
+            F.count(F.lit(1)).alias("n_rows"),
             F.coalesce(F.sum("price_net"), zero()).cast(S.MONEY).alias("total_net"),
             F.max(F.coalesce(is_refund(), F.lit(False))).alias("refunded"),
         )
     )
-    return per_transaction.where(F.col("refunded") & (F.col("total_net") != 0)).drop("refunded")
+
+
+def refund_violations(sales: DataFrame, summary: DataFrame | None = None) -> DataFrame:
+    """Refunded transactions whose lines do not add up to exactly zero."""
+    per_transaction = sales_summary(sales) if summary is None else summary
+    return per_transaction.where(F.col("refunded") & (F.col("total_net") != 0)).select("transaction_id", "total_net")
 
 
 def refunded_ids(sales: DataFrame) -> DataFrame:

@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from salesledger import schema as S
 
 EDITABLE = ["topic", "owner", "purpose", "comment"]
+KEYS = ("transaction_id", "description")
 
 
-def apply_overrides(
-    intermediate: DataFrame, overrides: DataFrame, on: tuple[str, ...] = ("transaction_id", "description")
-) -> DataFrame:
+def duplicate_overrides(overrides: DataFrame, on: tuple[str, ...] = KEYS) -> DataFrame:
+    """Keys that are named more than once, with their number of rows; each would repeat the rows it edits."""
+    return overrides.groupBy(*on).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)
+
+
+def apply_overrides(intermediate: DataFrame, overrides: DataFrame, on: tuple[str, ...] = KEYS) -> DataFrame:
     """Replace topic, owner, purpose and comment of the rows named in ``overrides``.
 
-    ``overrides`` holds the key columns and the four editable columns, one row per key. Spark broadcasts it while
+    ``overrides`` holds the key columns and the four editable columns, one row per key, which
+    ``duplicate_overrides`` checks. Spark broadcasts it while
     its measured size is below its threshold; beyond it both sides are shuffled and AQE splits heavy keys.
     """
     edits = overrides.select(*on, F.struct(*EDITABLE).alias("edit"))

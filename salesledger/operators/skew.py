@@ -19,12 +19,15 @@ SHARE = 1024
 MIN_ROWS = 10_000
 """A key with fewer rows is no burden for one task, at any size of the table."""
 
+ROWS_PER_SALT = 1_000
+"""Rows of a heavy key that share a salt: a key is repeated as often as its own rows ask for."""
+
 LANES = 64
 _TRACKED = 8 * SHARE
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Heavy values of ``key`` as a one-column table.
+    """Heavy values of ``key`` with their number of rows as seen by the sketch.
 
     The input partitions are dealt to ``LANES`` lanes and each lane names the keys that hold more than 1/SHARE of its
     rows. A key with more than 1/SHARE of all rows exceeds that in at least one lane, so none is missed, and
@@ -37,7 +40,7 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = MIN_ROWS) -> DataFrame:
     items = tops.select("rows", F.explode("top").alias("top"))
     heavy = items.where(F.col("top.item").isNotNull() & (F.col("top.count") * SHARE > F.col("rows")))
     counted = heavy.groupBy(F.col("top.item").alias(key)).agg(F.sum("top.count").alias("rows"))
-    return counted.where(F.col("rows") >= min_rows).select(key)
+    return counted.where(F.col("rows") >= min_rows)
 
 
 def spread_join(
@@ -48,25 +51,33 @@ def spread_join(
     hot: DataFrame | None = None,
     null_safe: bool = False,
 ) -> DataFrame:
-    """Join on ``key`` with the rows of heavy keys on the left spread over all shuffle partitions.
+    """Join on ``key`` with the rows of heavy keys on the left spread over several partitions.
 
-    ``how`` is inner, left, left_semi or left_anti. ``hot`` is a table of heavy keys; without it they are looked
-    up in ``left``. With ``null_safe`` a missing key equals a missing key.
+    ``how`` is inner, left, left_semi or left_anti. ``hot`` is a table of heavy keys, with their ``rows`` if known;
+    without it they are looked up in ``left``. Each heavy key gets one salt per ROWS_PER_SALT of its rows, and the right
+    side is repeated once per salt. With ``null_safe`` a missing key equals a missing key. Keys below the thresholds of
+    ``hot_keys`` are left to adaptive execution, which should be on.
     """
-    # More salts than partitions, because some salts hash to the same partition.
-    salts = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = hot_keys(left, key) if hot is None else hot.distinct()
-    # Fewer than LANES * SHARE short rows by construction, so every task can hold them.
-    marks = F.broadcast(hot.select(F.col(key).alias("_hot")))
+    if hot is None:
+        # Fewer than LANES * SHARE short rows by construction, so every task can hold them.
+        marks = F.broadcast(hot_keys(left, key))
+    else:
+        # A caller's table may have any size: Spark measures it and shuffles beyond its threshold.
+        rows = F.col("rows") if "rows" in hot.columns else F.lit(MIN_ROWS)
+        marks = hot.groupBy(key).agg(F.max(rows).alias("rows"))
+    marks = marks.selectExpr(f"{key} AS _hot", f"int(greatest(2, ceil(rows / {ROWS_PER_SALT}))) AS _salts")
 
+    # Rows without a key meet at most one row, so any number of salts serves them.
+    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread_left = left.join(marks, F.col(key) == F.col("_hot"), "left").selectExpr(
         *[f"`{name}`" for name in left.columns],
-        f"CASE WHEN _hot IS NOT NULL OR {key} IS NULL THEN spark_partition_id() % {salts} ELSE 0 END AS _salt",
+        f"""CASE WHEN _hot IS NOT NULL THEN spark_partition_id() % _salts
+                 WHEN {key} IS NULL THEN spark_partition_id() % {partitions} ELSE 0 END AS _salt""",
     )
     spread_right = right.join(marks, F.col(key) == F.col("_hot"), "left").selectExpr(
         *[f"`{name}` AS _key" if name == key else f"`{name}`" for name in right.columns],
-        f"""explode(CASE WHEN _hot IS NOT NULL OR {key} IS NULL THEN sequence(0, {salts - 1})
-                    ELSE array(0) END) AS _salt_r""",
+        f"""explode(CASE WHEN _hot IS NOT NULL THEN sequence(0, _salts - 1)
+                    WHEN {key} IS NULL THEN sequence(0, {partitions - 1}) ELSE array(0) END) AS _salt_r""",
     )
     if not null_safe:
         spread_right = spread_right.where("_key IS NOT NULL")

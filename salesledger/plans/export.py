@@ -30,11 +30,13 @@ def accounting(intermediate: DataFrame) -> DataFrame:
     return accounting_report(details_with_totals(intermediate))
 
 
-def reports(intermediate: DataFrame) -> Reports:
-    """All four reports. ``intermediate`` should be a stored table: it is read once per report."""
-    details = details_with_totals(intermediate)
+def reports(details: DataFrame, detail_rows: DataFrame) -> Reports:
+    """All four reports from the daily details with totals and the rows that are posted in detail.
+
+    Both should be stored tables, as each report reads them.
+    """
     posted = accounting_report(details)
-    return Reports(details, partner_report(details), posted, ledger(posted, intermediate))
+    return Reports(details, partner_report(details), posted, ledger(posted, detail_rows))
 
 
 def partner_transactions(intermediate: DataFrame) -> DataFrame:

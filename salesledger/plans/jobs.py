@@ -2,35 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesledger import schema as S
-from salesledger.functions.dates import is_supported_month, month_of_file
+from salesledger.functions.dates import booking_date, is_supported_month, month_of, month_of_file, sale_date
 from salesledger.operators import postings, reconcile, validate
 from salesledger.operators.closing import Budget, account_balances, budget_closing, unbudgeted_accounts, with_every_post
 from salesledger.operators.payments import unreadable_times
-from salesledger.operators.redact import apply_overrides
+from salesledger.operators.redact import add_rows, apply_overrides, duplicate_overrides
 from salesledger.operators.skew import hot_keys
-from salesledger.plans.export import partner_transactions, reports
-from salesledger.plans.prepare import prepare
-from salesledger.plans.staging import stage
+from salesledger.plans.export import details_with_totals, partner_transactions, reports
+from salesledger.plans.prepare import prepare, transaction_facts
+from salesledger.plans.staging import staging
 from salesledger.sources import sinks
-from salesledger.sources.intermediate import read_intermediate
+from salesledger.sources.intermediate import read_cells, read_intermediate
 from salesledger.sources.journal_xml import read_journal
 from salesledger.sources.till_csv import read_sales, read_transactions
 
 SHOWN = 20
+"""Offending rows in the text of an error; the table it names has all of them."""
+
+# --- fixed values: first words of the names of the input files ---
+SALES_FILE = ("sales_report", "csv")
+TRANSACTIONS_FILE = ("transaction_report", "csv")
 
 
 class BookkeepingError(Exception):
-    """A check failed; the message shows the first offending rows."""
+    """A check failed; the message shows the first offending rows and names the table with all of them."""
 
 
-def fail_on(rows: DataFrame, message: str) -> None:
-    first = rows.limit(SHOWN).collect()
-    if first:
-        raise BookkeepingError("\n".join([message, *[str(row.asDict()) for row in first]]))
+def fail_on(rows: DataFrame, message: str, store: str | None = None) -> None:
+    """Stop if there are rows; all of them are written to ``store`` first."""
+    if rows.isEmpty():
+        return
+    if store:
+        rows.write.mode("overwrite").parquet(store)
+        rows, message = rows.sparkSession.read.parquet(store), f"{message}; all rows: {store}"
+    raise BookkeepingError("\n".join([message, *[str(row.asDict()) for row in rows.limit(SHOWN).collect()]]))
 
 
 def check_month(spark: SparkSession, month: str) -> None:
@@ -52,6 +61,17 @@ def month_of_journal(spark: SparkSession, path: str) -> str:
     return months[0].month
 
 
+def outside_file_month(rows: DataFrame, date: Column, prefix: str, extension: str) -> DataFrame:
+    """Rows dated outside the month that their file is named after; files with other names are not asked.
+
+    ``rows`` are as read, with the name of their file in ``file_name``.
+    """
+    named = rows.withColumns(
+        {"file_month": month_of_file(F.col("file_name"), prefix, extension), "month": month_of(date)}
+    )
+    return named.where(is_supported_month(F.col("file_month")) & (F.col("month") != F.col("file_month")))
+
+
 def run_prepare(
     spark: SparkSession,
     sales_path: str | list[str],
@@ -59,35 +79,79 @@ def run_prepare(
     target: str,
     overrides: DataFrame | None = None,
     mode: str = "errorifexists",
+    staging_folder: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Read both exports, check that they agree, write the intermediate table; returns rows without a price."""
-    # CSV has no columns to skip, so the text is parsed once and every later step reads columns.
-    sales = stage(read_sales(spark, sales_path))
-    transactions = stage(read_transactions(spark, transactions_path))
-    fail_on(reconcile.missing_in_sales(sales, transactions), "transactions missing in the sales report")
-    fail_on(reconcile.missing_in_transactions(sales, transactions), "transactions missing in the transaction report")
-    fail_on(reconcile.refund_violations(sales), "refunds that do not balance the sale")
-    fail_on(unreadable_times(transactions), "transactions with an impossible time")
-    prepared = prepare(sales, transactions, stage(hot_keys(sales, "transaction_id")))
-    if overrides is not None:
-        prepared = apply_overrides(prepared, overrides)
-    sinks.write_intermediate(prepared, target, mode)
+    """Read both exports, check that they agree, write the intermediate table; returns rows without a price.
+
+    A failing check stores its rows under ``<target>_violations``. Tables in between are kept in ``staging_folder``, by
+    default ``spark.checkpoint.dir``, and deleted at the end.
+    """
+    found = f"{target.rstrip('/')}_violations"
+    with staging(spark, staging_folder) as stage:
+        # CSV has no columns to skip, so the text is parsed once and every later step reads columns.
+        sales = stage(read_sales(spark, sales_path, multi_line, file_name=True))
+        transactions = stage(read_transactions(spark, transactions_path, multi_line, file_name=True))
+        for rows, date, name in (
+            (sales, sale_date(F.col("sold_at")), SALES_FILE),
+            (transactions, booking_date(F.col("booked_at")), TRANSACTIONS_FILE),
+        ):
+            strangers = outside_file_month(rows, date, *name)
+            fail_on(strangers, f"rows of another month in {name[0]}", f"{found}/months_{name[0]}")
+        sales, transactions = sales.drop("file_name"), transactions.drop("file_name")
+        # One row per transaction answers all checks on the sales report.
+        summary = stage(reconcile.sales_summary(sales))
+        missing = reconcile.reconcile(sales, transactions, summary)
+        fail_on(missing, "transactions missing in the sales report or the transaction report", f"{found}/missing")
+        fail_on(reconcile.refund_violations(sales, summary), "refunds that do not balance the sale", f"{found}/refunds")
+        twice = reconcile.duplicate_transactions(transactions)
+        fail_on(twice, "transactions booked more than once", f"{found}/duplicate_transactions")
+        fail_on(unreadable_times(transactions), "transactions with an impossible time", f"{found}/times")
+        facts = stage(transaction_facts(sales, transactions))
+        prepared = prepare(sales, transactions, stage(hot_keys(sales, "transaction_id")), facts=facts)
+        if overrides is not None:
+            twice = duplicate_overrides(overrides)
+            fail_on(twice, "overrides that name a row more than once", f"{found}/duplicate_overrides")
+            prepared = apply_overrides(prepared, overrides)
+        sinks.write_intermediate(prepared, target, mode)
     return validate.zero_value_rows(read_intermediate(spark, target))
 
 
-def run_export(spark: SparkSession, source: str, target: str, mode: str = "errorifexists") -> None:
-    """Validate the intermediate table and write the four reports, each with the rows behind it."""
+def run_reread(
+    spark: SparkSession,
+    cells_path: str | list[str],
+    target: str,
+    extra: DataFrame | None = None,
+    mode: str = "errorifexists",
+    multi_line: bool = False,
+) -> None:
+    """Store the hand-edited table, exported as cells, and further rows as the intermediate table to export from."""
+    rows = read_cells(spark, cells_path, multi_line)
+    sinks.write_intermediate(rows if extra is None else add_rows(rows, extra), target, mode)
+
+
+def run_export(
+    spark: SparkSession, source: str, target: str, mode: str = "errorifexists", staging_folder: str | None = None
+) -> None:
+    """Validate the intermediate table and write the four reports, the rows behind them once beside them.
+
+    The table is read for the validation, for the daily sums, for the few rows that are posted in detail, and to
+    write the rows and those of the partner. Everything else follows from the daily table.
+    """
+    found = f"{target.rstrip('/')}_violations"
     rows = read_intermediate(spark, source)
-    fail_on(validate.violations(rows), "invalid rows in the intermediate table")
-    made = reports(rows)
-    errors = postings.balance_violations(made.accounting).where(F.col("severity") == "error")
-    fail_on(errors, "transitory accounts that do not net to zero")
-    sinks.write_report(made.details, rows, f"{target}/details", S.DETAILS_REPORT, ["date"], mode)
-    partner_rows = partner_transactions(rows)
-    sinks.write_report(made.partner, partner_rows, f"{target}/mittagstisch", S.PARTNER_REPORT, ["date"], mode)
-    sinks.write_report(made.accounting, rows, f"{target}/accounting", S.ACCOUNTING_REPORT, ["date"], mode)
-    order = ["datum", "beschreibung"]
-    sinks.write_report(made.ledger, rows, f"{target}/banana", S.LEDGER_REPORT, order, mode)
+    fail_on(validate.violations(rows), "invalid rows in the intermediate table", f"{found}/rows")
+    with staging(spark, staging_folder) as stage:
+        details = stage(details_with_totals(rows))
+        made = reports(details, stage(postings.detail_rows(rows)))
+        errors = postings.balance_violations(made.accounting).where(F.col("severity") == "error")
+        fail_on(errors, "transitory accounts that do not net to zero", f"{found}/balances")
+        sinks.write_report(made.details, f"{target}/details", S.DETAILS_REPORT, ["date"], mode)
+        sinks.write_report(made.partner, f"{target}/mittagstisch", S.PARTNER_REPORT, ["date"], mode)
+        sinks.write_report(made.accounting, f"{target}/accounting", S.ACCOUNTING_REPORT, ["date"], mode)
+        sinks.write_report(made.ledger, f"{target}/banana", S.LEDGER_REPORT, ["datum", "beschreibung"], mode)
+    sinks.write_intermediate(rows.drop("month"), f"{target}/transactions", mode)
+    sinks.write_intermediate(partner_transactions(rows).drop("month"), f"{target}/mittagstisch/transactions", mode)
 
 
 def run_close(
@@ -97,6 +161,8 @@ def run_close(
     target: str,
     month: str | None = None,
     mode: str = "errorifexists",
+    since_new_year: bool = False,
+    staging_folder: str | None = None,
 ) -> DataFrame:
     """Close ``month``, by default the one in the file names.
 
@@ -105,8 +171,9 @@ def run_close(
     month = month_of_journal(spark, journal_path) if month is None else month
     check_month(spark, month)
     journal = with_every_post(read_journal(spark, journal_path), budget, month)
-    balances = stage(account_balances(journal, month))
-    fail_on(unbudgeted_accounts(balances, budget), "accounts that the budget does not consider")
-    closing = budget_closing(balances, budget, month)
-    sinks.write_closing(closing, target, mode)
-    return closing
+    with staging(spark, staging_folder) as stage:
+        balances = stage(account_balances(journal, month, since_new_year))
+        strangers = unbudgeted_accounts(balances, budget)
+        fail_on(strangers, "accounts that the budget does not consider", f"{target.rstrip('/')}_violations/accounts")
+        sinks.write_closing(budget_closing(balances, budget, month), target, mode)
+    return spark.read.parquet(target)

@@ -29,21 +29,22 @@ LINE = [
 ]
 
 
-def transaction_facts(transactions: DataFrame, refunded: DataFrame) -> DataFrame:
-    """What a sales line needs to know about its transaction: fee base, tip and time, or that it was refunded.
+def transaction_facts(sales: DataFrame, transactions: DataFrame) -> DataFrame:
+    """What the lines need to know about a transaction: fee base, tip and time, or that it was refunded.
 
-    One table for both, so the sales lines are shuffled once for fee, time and refund together.
+    One row per completed booking, and one per refunded transaction without any, with ``refunded`` telling them apart. A
+    refund without an id has a row without an id.
     """
     base = commission_base(transactions).where(F.col("transaction_id").isNotNull())
-    ids = refunded.where(F.col("transaction_id").isNotNull())
-    kept = base.join(ids, "transaction_id", "left_anti").withColumn("refunded", F.lit(False))
-    return kept.unionByName(ids.withColumn("refunded", F.lit(True)), allowMissingColumns=True)
+    refunded = refunded_ids(sales).withColumn("refunded", F.lit(True))
+    both = base.join(refunded, "transaction_id", "full_outer")
+    return both.withColumn("refunded", F.coalesce("refunded", F.lit(False)))
 
 
-def valid_shift_changes(transactions: DataFrame, refunded: DataFrame) -> DataFrame:
+def valid_shift_changes(transactions: DataFrame, facts: DataFrame) -> DataFrame:
     """Shift changes outside refunded transactions. Only the few shift lines meet the refunds."""
     marks = transactions.where(F.col("description").contains(S.SHIFT_CHANGE))
-    ids = refunded.withColumnRenamed("transaction_id", "refund_id")
+    ids = facts.where("refunded").select(F.col("transaction_id").alias("refund_id"))
     kept = marks.join(ids, F.col("transaction_id").eqNullSafe(F.col("refund_id")), "left_anti")
     return shift_changes(kept)
 
@@ -60,18 +61,21 @@ def label_lines(lines: DataFrame) -> DataFrame:
 
 
 def prepare(
-    sales: DataFrame, transactions: DataFrame, hot: DataFrame | None = None, tip_grain: str = "line"
+    sales: DataFrame,
+    transactions: DataFrame,
+    hot: DataFrame | None = None,
+    tip_grain: str = "line",
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """Intermediate table: one row per sales line and tip, without refunded transactions.
 
     ``hot`` names transactions that hold a large part of all lines; without it they are looked up in ``sales``.
+    ``facts`` is a stored ``transaction_facts`` of the two reports, which are then read twice and once.
     """
     sales = normalize_sales(sales)
     hot = hot_keys(sales, "transaction_id") if hot is None else hot
-    refunded = refunded_ids(sales)
-    facts = transaction_facts(transactions, refunded)
-    # A refunded transaction has no tip in ``facts``, so its lines produce no tip line.
-    tips = tip_lines(sales, facts, tip_grain, hot)
+    facts = transaction_facts(sales, transactions) if facts is None else facts
+    tips = tip_lines(sales, facts.where("NOT refunded"), tip_grain, hot)
 
     lines = sales.select(LINE).unionByName(tips.select(LINE))
     with_facts = spread_join(lines, facts, "transaction_id", "left", hot).where(
@@ -87,7 +91,7 @@ def prepare(
         }
     )
     # One row per calendar day, so the list has a fixed bound (every day of 9,999 years is 3.7 million).
-    shifts = F.broadcast(valid_shift_changes(transactions, refunded))
+    shifts = F.broadcast(valid_shift_changes(transactions, facts))
     allocated = priced.join(shifts, "date", "left").withColumns(
         {
             "shift_change": F.coalesce("shift_change", F.lit(dates.DEFAULT_SHIFT_CHANGE)),

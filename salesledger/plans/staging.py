@@ -1,28 +1,44 @@
-"""Write a table once when several reports read it."""
+"""Write a table once when several reports read it, in a folder that all executors share."""
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def staging_folder(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="salesledger-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Store ``df`` and read it back: later readers get pruned columns and pushed filters, not its lineage."""
-    spark = df.sparkSession
-    path = f"{staging_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Staging:
+    """Tables of one job under a folder of its own."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
+        """``folder`` defaults to the session's ``spark.checkpoint.dir``; there is no other fallback."""
+        folder = folder or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("name a staging folder that all executors share, or set spark.checkpoint.dir")
+        self.spark, self.path = spark, f"{folder.rstrip('/')}/salesledger-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        """Store ``df`` and read it back: later readers get pruned columns and pushed filters, not its lineage."""
+        path = f"{self.path}/{self.count}"
+        self.count += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Delete the job's folder."""
+        java = self.spark.sparkContext._jvm
+        path = java.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession, folder: str | None = None) -> Iterator[Staging]:
+    """Staging that ends with the block. What is read from it later, such as a returned table, must not be."""
+    stage = Staging(spark, folder)
+    try:
+        yield stage
+    finally:
+        stage.clear()

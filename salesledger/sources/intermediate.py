@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from salesledger import schema as S
+from salesledger.sources.till_csv import read_csv
 
 # --- fixed values ------------------------------------------------------------------------------------
 SERIAL_OF_1970 = 25569
@@ -15,16 +16,19 @@ def coerce_cells(cells: DataFrame) -> DataFrame:
     """Typed intermediate table from text cells under the internal column names.
 
     Dates are serial day numbers and times are parts of a day. A cell that does not parse is null, and so is a
-    blank label. The label columns lose the blanks around them.
+    blank label. The label columns lose the blanks around them. A time is rounded to seconds before it is judged, so
+    one that rounds to the end of the day is null.
     """
-    seconds = f"int(round(try_cast(time AS DOUBLE) * {SECONDS_PER_DAY}))"
+    seconds = f"round(try_cast(time AS DOUBLE) * {SECONDS_PER_DAY})"
+    within = f"try_cast(time AS DOUBLE) >= 0 AND {seconds} < {SECONDS_PER_DAY}"
+    seconds = f"int({seconds})"
     clock = ", ':', ".join(
         f"lpad({part}, 2, '0')"
         for part in (f"{seconds} div 3600", f"({seconds} div 60) % 60", f"{seconds} % 60")
     )
     changed = {
         "date": f"date_add(DATE '1970-01-01', try_cast(date AS INT) - {SERIAL_OF_1970})",
-        "time": f"CASE WHEN try_cast(time AS DOUBLE) >= 0 AND try_cast(time AS DOUBLE) < 1 THEN concat({clock}) END",
+        "time": f"CASE WHEN {within} THEN concat({clock}) END",
         "quantity": "try_cast(quantity AS BIGINT)",
         "price_gross": "try_cast(price_gross AS DECIMAL(18, 2))",
         "price_net": "try_cast(price_net AS DECIMAL(18, 2))",
@@ -34,9 +38,9 @@ def coerce_cells(cells: DataFrame) -> DataFrame:
     return cells.selectExpr(*[f"{changed.get(name, name)} AS {name}" for name in S.INTERMEDIATE.names])
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Intermediate rows exported as CSV cells, under the file's own column names."""
-    raw = spark.read.option("header", True).csv(path)
+def read_cells(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """Intermediate rows exported as CSV cells, under the file's own column names; see ``read_csv``."""
+    raw = read_csv(spark, path, multi_line)
     cells = raw.selectExpr(*[f"`{name}` AS {inner}" for name, (inner, _) in S.INTERMEDIATE_COLUMNS.items()])
     return coerce_cells(cells)
 

@@ -23,17 +23,11 @@ def write_intermediate(df: DataFrame, path: str, mode: str = "errorifexists") ->
 
 
 def write_report(
-    report: DataFrame,
-    transactions: DataFrame,
-    path: str,
-    names: dict[str, str],
-    order: list[str],
-    mode: str = "errorifexists",
+    report: DataFrame, path: str, names: dict[str, str], order: list[str], mode: str = "errorifexists"
 ) -> None:
-    """Report under its own column names in ``main``, the rows behind it in ``transactions``."""
+    """Report under its own column names in ``main``."""
     columns = named(report, names)
     _by_month(columns, f"{path}/main", [names[name] for name in order], mode)
-    write_intermediate(transactions.drop("month"), f"{path}/transactions", mode)
 
 
 def write_closing(closing: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -9,18 +9,39 @@ from salesledger import schema as S
 from salesledger.operators.normalize import normalize_sales, normalize_transactions
 
 
-def _read(spark: SparkSession, path: str | list[str], columns: dict) -> DataFrame:
-    # Columns are taken by header name, so an export with more columns or another order reads the same. A file whose
-    # header differs from the first one's is an error instead of a silent shift: read such months on their own.
-    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
-    return raw.select(*[F.col(f"`{outer}`").cast(kind).alias(inner) for outer, (inner, kind) in columns.items()])
-
-
-def read_sales(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Sales report, normalized."""
-    return normalize_sales(_read(spark, path, S.SALES_COLUMNS))
-
-
-def read_transactions(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Transaction report, normalized."""
-    return normalize_transactions(_read(spark, path, S.TRANSACTION_COLUMNS))
+def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """Rows of CSV files with a header, as text, with quotes doubled inside quoted cells.
+
+    A row with more or fewer cells than the header is an error, whichever columns are asked for. A file whose header
+    differs from the first one's is an error as well: read such months on their own. Cells with line breaks need
+    ``multi_line``, which reads a file in one task; without it they are an error.
+    """
+    return (
+        spark.read.option("header", True)
+        .option("enforceSchema", False)
+        .option("escape", '"')
+        .option("mode", "FAILFAST")
+        .option("columnPruning", False)
+        .option("multiLine", multi_line)
+        .csv(path)
+    )
+
+
+def _typed(raw: DataFrame, columns: dict, file_name: bool) -> DataFrame:
+    """Columns by header name, so an export with more columns or another order reads the same."""
+    named = [F.col(f"`{outer}`").cast(kind).alias(inner) for outer, (inner, kind) in columns.items()]
+    return raw.select(*named, *[F.col("_metadata.file_name").alias("file_name")] * file_name)
+
+
+def read_sales(
+    spark: SparkSession, path: str | list[str], multi_line: bool = False, file_name: bool = False
+) -> DataFrame:
+    """Sales report, normalized; with ``file_name`` as a further column if asked."""
+    return normalize_sales(_typed(read_csv(spark, path, multi_line), S.SALES_COLUMNS, file_name))
+
+
+def read_transactions(
+    spark: SparkSession, path: str | list[str], multi_line: bool = False, file_name: bool = False
+) -> DataFrame:
+    """Transaction report, normalized; with ``file_name`` as a further column if asked."""
+    return normalize_transactions(_typed(read_csv(spark, path, multi_line), S.TRANSACTION_COLUMNS, file_name))

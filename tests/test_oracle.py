@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__ as entry
 from salesledger.operators import skew
+from verification.catalog import catalog
+from verification.oracle import oracle_sql
 from verification.compare import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -20,12 +22,13 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert catalog().keys() == oracle_sql().keys()
+    assert catalog().keys() <= entry.queries().keys() and oracle_sql().keys() <= entry.oracle_sql().keys()
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(catalog()))
 def test_query(spark, duck, name):
-    same, note = compare(spark, duck, name, entry.queries()[name], entry.oracle_sql()[name], SF_DIR)
+    same, note = compare(spark, duck, name, catalog()[name], oracle_sql()[name], SF_DIR)
     assert same, note
 
 
@@ -46,7 +49,7 @@ def test_query_with_every_join_shuffled_and_salted(spark, duck, name, monkeypatc
     try:
         for key, value in other.items():
             spark.conf.set(key, value)
-        same, note = compare(spark, duck, name, entry.queries()[name], entry.oracle_sql()[name], SF_DIR)
+        same, note = compare(spark, duck, name, catalog()[name], oracle_sql()[name], SF_DIR)
         assert same, note
     finally:
         for key, value in before.items():

@@ -261,7 +261,8 @@ def test_payment_to_partner_has_no_date(spark):
 
 
 def test_all_reports_run_on_a_mixed_day(spark):
-    made = export.reports(intermediate(spark, G.MIXED_DAY))
+    rows = intermediate(spark, G.MIXED_DAY)
+    made = export.reports(export.details_with_totals(rows), rows)
     assert [made.details.count(), made.partner.count(), made.accounting.count()] == [2, 2, 2]
     assert made.ledger.count() > 0
     assert export.partner_transactions(intermediate(spark, G.MIXED_DAY)).count() == 4

@@ -9,11 +9,11 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from salesledger import schema as S
-from salesledger.operators import keyfigures
-from salesledger.operators.skew import LANES, SHARE, hot_keys, spread_join
+from salesledger.operators import keyfigures, postings
+from salesledger.operators.skew import LANES, ROWS_PER_SALT, SHARE, hot_keys, spread_join
 from salesledger.plans import export
-from salesledger.plans.prepare import prepare
-from salesledger.plans.staging import stage
+from salesledger.plans.prepare import prepare, transaction_facts
+from salesledger.plans.staging import Staging
 
 
 def skewed(spark, rows=30000):
@@ -24,7 +24,7 @@ def skewed(spark, rows=30000):
 
 def test_hot_keys(spark):
     df = skewed(spark)
-    assert rows_of(hot_keys(df, "k")) == [("hot",)]
+    assert rows_of(hot_keys(df, "k")) == [("hot", 10000)]
     assert hot_keys(df, "k", min_rows=10001).count() == 0
     assert hot_keys(df.where("k <> 'hot'"), "k").count() == 0
     assert hot_keys(df.where("1 = 0"), "k").count() == 0
@@ -67,6 +67,43 @@ def test_heavy_key_is_spread_over_partitions(spark):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+def test_a_key_is_repeated_as_often_as_its_rows_ask_for(spark):
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2000")
+        left, right = skewed(spark), spark.createDataFrame([("hot", 1), ("k1", 2)], "k string, n int")
+        text = plan(spread_join(left, right, "k", "left"))
+        found = hot_keys(left, "k").selectExpr(f"int(greatest(2, ceil(rows / {ROWS_PER_SALT})))").first()[0]
+        assert "sequence(0, (_salts" in text and found == 10
+        given = spread_join(left, right, "k", "left", spark.createDataFrame([("hot",), ("hot",)], "k string"))
+        plain = left.join(right, "k", "left")
+        assert given.exceptAll(plain).count() == 0 and given.count() == left.count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
+def test_prepare_reads_staged_reports_twice_and_once(spark):
+    stage = Staging(spark)
+    sales, booked = (stage(df) for df in heavy_reports(spark))
+    facts, hot = stage(transaction_facts(sales, booked)), stage(hot_keys(sales, "transaction_id"))
+    text = prepare(sales, booked, hot, facts=facts)._jdf.queryExecution().optimizedPlan().toString()
+    scans = prepare(sales, booked, hot, facts=facts)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in text
+    number = {name: len(re.findall(rf"FileScan parquet [^\n]*{re.escape(f'{stage.path}/{i}')}\b", scans)) for i, name in enumerate(("sales", "booked", "facts"))}
+    assert number["sales"] <= 2 and number["booked"] == 1 and number["facts"] <= 3
+    stage.clear()
+
+
+def test_ledger_from_stored_tables(spark):
+    stage = Staging(spark)
+    rows = stage(prepare(*heavy_reports(spark)))
+    details = stage(export.details_with_totals(rows))
+    made = export.reports(details, stage(postings.detail_rows(rows)))
+    text = plan(made.ledger)
+    assert f"{stage.path}/0" not in text and len(re.findall(rf"{re.escape(f'{stage.path}/1')}\b", text)) == 1
+    stage.clear()
+
+
 def heavy_reports(spark):
     """Sales in which one transaction has a third of all lines, all of them copies, and some have no id."""
     key = "CASE WHEN id % 3 = 0 THEN 'HOT' WHEN id % 30 = 1 THEN NULL ELSE concat('T', id div 2) END"
@@ -88,7 +125,7 @@ def heavy_reports(spark):
 
 def test_prepare_with_a_heavy_transaction(spark):
     sales, booked = heavy_reports(spark)
-    out = stage(prepare(sales, booked, hot_keys(sales, "transaction_id", min_rows=1000)))
+    out = Staging(spark)(prepare(sales, booked, hot_keys(sales, "transaction_id", min_rows=1000)))
     lines = out.where("purpose = 'Consumption'")
     assert lines.count() == sales.count()
     assert lines.where("transaction_id = 'HOT'").count() == 2000
@@ -110,7 +147,7 @@ def plan(df) -> str:
 
 def test_reports_scan_once_and_shuffle_sums_only(spark):
     sales, booked = heavy_reports(spark)
-    rows = stage(prepare(sales, booked))
+    rows = Staging(spark)(prepare(sales, booked))
     text = plan(export.details_with_totals(rows))
     assert text.count("FileScan parquet") == 1
     assert text.count("Exchange hashpartitioning") == 3
@@ -122,8 +159,8 @@ def test_reports_scan_once_and_shuffle_sums_only(spark):
 
 def test_no_cross_join_no_window_no_python(spark):
     sales, booked = heavy_reports(spark)
-    rows = stage(prepare(sales, booked))
-    made = export.reports(rows)
+    rows = Staging(spark)(prepare(sales, booked))
+    made = export.reports(export.details_with_totals(rows), rows)
     for df in (prepare(sales, booked), made.details, made.partner, made.accounting, made.ledger):
         text = plan(df)
         for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Window [", "BatchEvalPython", "ArrowEvalPython"):

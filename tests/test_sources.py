@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from salesledger import schema as S
 from salesledger.functions import dates
 from salesledger.plans import jobs
-from salesledger.plans.staging import staging_folder
+from salesledger.plans.staging import staging
 from salesledger.sources.budget import read_budget
 from salesledger.sources.intermediate import coerce_cells, read_cells, read_intermediate
 from salesledger.sources.journal_xml import read_journal
 from salesledger.sources.till_csv import read_sales, read_transactions
+from verification.files import as_cells
 
 SALES_HEADER = (
     "Datum,Typ,Transaktionsnummer,Zahlungsmethode,Menge,Beschreibung,Category,Sku,Währung,Preis vor Rabatt,Rabatt,"
@@ -100,6 +101,7 @@ def test_prepare_and_export_jobs(spark, till, tmp_path):
     details = spark.read.parquet(f"{out}/details/main")
     assert details.count() == 4 and "Net MiTi (LoLA) - Share LoLa" in details.columns
     assert spark.read.parquet(f"{out}/mittagstisch/main").where("is_total").count() == 2
+    assert spark.read.parquet(f"{out}/transactions").count() == stored.count()
     partner_rows = spark.read.parquet(f"{out}/mittagstisch/transactions")
     assert partner_rows.select("topic").distinct().count() == 1 and partner_rows.count() == 4
     assert "10920/20051" in spark.read.parquet(f"{out}/accounting/main").columns
@@ -240,5 +242,93 @@ def test_close_job(spark, tmp_path):
         jobs.run_close(spark, str(tmp_path / "konten_*.xls"), budget, str(tmp_path / "never"))
 
 
-def test_staging_folder_is_the_one_of_the_session(spark):
-    assert staging_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+def test_staging_has_its_own_folder_and_leaves_nothing(spark, tmp_path):
+    with staging(spark, str(tmp_path)) as stage:
+        assert stage(spark.range(3)).count() == 3
+        assert stage.path.startswith(str(tmp_path)) and len(list(tmp_path.iterdir())) == 1
+    assert list(tmp_path.iterdir()) == []
+
+
+SALES_HEADER = ",".join(S.SALES_COLUMNS)
+SALE = dict(zip(S.SALES_COLUMNS, "24.03.2023 x,Verkauf,T1,MC,1,foo,a,,CHF,16,0,16,16,0,,a@b.ch".split(",")))
+SALE["Datum"] = '"24.03.2023, 12:32"'
+
+
+def sale(**values):
+    return ",".join({**SALE, **values}.values())
+
+
+def test_quoted_cells(spark, tmp_path):
+    cells = ['"Menü ""klein"""', '"Menü ""klein"", gross"', '"a\\"', '"x, y"']
+    (tmp_path / "a.csv").write_text("\n".join([SALES_HEADER, *[sale(Beschreibung=c) for c in cells]]))
+    out = read_sales(spark, str(tmp_path / "a.csv"))
+    assert [r.description for r in out.collect()] == ['Menü "klein"', 'Menü "klein", gross', "a\\", "x, y"]
+    assert rows_of(out.select("price_gross").distinct()) == [(16.0,)]
+
+
+@pytest.mark.parametrize("line", [sale().rsplit(",", 9)[0], sale() + ",more", sale(Beschreibung='"two\nlines"')])
+def test_ragged_rows_stop_a_narrow_read_too(spark, tmp_path, line):
+    (tmp_path / "a.csv").write_text("\n".join([SALES_HEADER, sale(), line]))
+    with pytest.raises(Exception, match="[Mm]alformed"):
+        read_sales(spark, str(tmp_path / "a.csv")).select("price_gross").collect()
+
+
+def test_line_breaks_in_cells_on_request(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\n".join([SALES_HEADER, sale(Beschreibung='"two\nlines"'), sale()]))
+    out = read_sales(spark, str(tmp_path / "a.csv"), multi_line=True)
+    assert sorted(r.description for r in out.collect()) == ["foo", "two\nlines"]
+
+
+def test_prepare_job_stores_what_it_stops_at(spark, till, tmp_path):
+    target = str(tmp_path / "store")
+    lines = [f"2023-04-03 15:10:00,X{i},Umsatz,Erfolgreich,x,4.00,0.00,0.00,4.00" for i in range(30)]
+    with open(till[1], "a") as file:
+        file.write("\n" + "\n".join(lines))
+    with pytest.raises(jobs.BookkeepingError, match="all rows: .*store_violations/missing"):
+        jobs.run_prepare(spark, *till, target)
+    assert spark.read.parquet(f"{target}_violations/missing").where("missing_in = 'sales'").count() == 30
+
+
+def test_prepare_job_stops_at_double_bookings_and_overrides(spark, till, tmp_path):
+    edits = spark.createDataFrame(
+        [("T4", "Kuchen", "Cafe", None, "Consumption", None)] * 2,
+        "transaction_id string, description string, topic string, owner string, purpose string, comment string",
+    )
+    with pytest.raises(jobs.BookkeepingError, match="more than once.*duplicate_overrides"):
+        jobs.run_prepare(spark, *till, str(tmp_path / "a"), overrides=edits)
+    lines = open(till[1]).read().rstrip("\n").split("\n")
+    with open(till[1], "w") as file:
+        file.write("\n".join([*lines, lines[1]]))
+    with pytest.raises(jobs.BookkeepingError, match="booked more than once"):
+        jobs.run_prepare(spark, *till, str(tmp_path / "b"))
+
+
+def test_rows_outside_the_month_of_their_file(spark, till, tmp_path):
+    named = str(tmp_path / "sales_report_202303.csv")
+    with open(named, "w") as file:
+        file.write(open(till[0]).read())
+    with pytest.raises(jobs.BookkeepingError, match="another month in sales_report"):
+        jobs.run_prepare(spark, named, till[1], str(tmp_path / "never"))
+
+
+def test_edited_cells_come_back(spark, till, tmp_path):
+    store, out = str(tmp_path / "intermediate"), str(tmp_path / "cells")
+    jobs.run_prepare(spark, *till, store)
+    rows = read_intermediate(spark, store)
+    cells = as_cells(rows.drop("month").withColumn("quantity", F.lit(9).cast("bigint")))
+    cells.select(*[F.col(inner).alias(outer) for outer, (inner, _) in S.INTERMEDIATE_COLUMNS.items()]).write.option(
+        "header", True
+    ).csv(out)
+    extra = rows.drop("month").limit(1).withColumn("comment", F.lit("by hand"))
+    jobs.run_reread(spark, out, str(tmp_path / "edited"), extra)
+    edited = read_intermediate(spark, str(tmp_path / "edited"))
+    assert edited.count() == rows.count() + 1 and edited.where("comment = 'by hand'").count() == 1
+    jobs.run_export(spark, str(tmp_path / "edited"), str(tmp_path / "reports"))
+
+
+def test_a_time_that_rounds_to_midnight_is_none(spark):
+    cells = spark.createDataFrame(
+        [tuple("0.999996" if n == "time" else None for n in S.INTERMEDIATE.names)],
+        ", ".join(f"{n} string" for n in S.INTERMEDIATE.names),
+    )
+    assert rows_of(coerce_cells(cells), "time") == [(None,)]

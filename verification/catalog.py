@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,11 +11,11 @@ from pyspark.sql import types as T
 
 from salesledger.functions import dates
 from salesledger.operators import closing, keyfigures, measures, normalize, payments, postings, reconcile, reports
-from salesledger.operators import validate
+from salesledger.operators import redact, validate
 from salesledger.plans import close, export
 from salesledger.sources.intermediate import coerce_cells
-from verification import star
-from verification.oracle import CLOSING_MONTH
+from verification import files, star
+from verification.oracle import CLOSING_MONTH, FIRST_MONTH
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,29 +49,29 @@ def _accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _invalid_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = star.edited(spark, sf_dir, faulty=True)
-    rows = validate.violations(df).where(F.col("rule").startswith("invalid_"))
-    return rows.select(F.expr("substring(rule, length('invalid_') + 1)").alias("field"), *validate.SHOWN)
-
-
-def _cells(df: DataFrame) -> DataFrame:
-    """The intermediate table as spreadsheet cells: text only, dates as serial numbers, times as parts of a day."""
-    seconds = "(int(split_part(time, ':', 1)) * 3600 + int(split_part(time, ':', 2)) * 60 + int(substr(time, 7)))"
-    changed = {
-        "date": "CAST(datediff(date, DATE '1970-01-01') + 25569 AS STRING)",
-        "time": f"CAST({seconds} / 86400D AS STRING)",
-        "topic": "concat(' ', topic)",
-        "owner": "coalesce(concat(owner, '  '), '')",
-        "purpose": "concat(purpose, ' ')",
-    }
-    return df.selectExpr(*[f"{changed.get(c, f'CAST({c} AS STRING)')} AS {c}" for c in df.columns])
+    found = [validate.invalid_values(df, field).withColumn("field", F.lit(field)) for field in validate.ALLOWED]
+    return reduce(DataFrame.unionByName, found)
 
 
 def _file_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.lit("intermediate_"), dates.month_of(F.col("date")), F.lit("_edited.XLSX"))
-    months = star.intermediate(spark, sf_dir).select(dates.month_of_file(name, "intermediate", "xlsx").alias("month"))
-    return months.groupBy("month", dates.is_supported_month(F.col("month")).alias("supported")).agg(
-        F.count(F.lit(1)).alias("n_rows")
+    """Months of file names made from the orders' dates, with other first words, lengths and endings."""
+    names = star.table(spark, sf_dir, "orders").selectExpr(
+        """concat(CASE o_orderkey % 7 WHEN 1 THEN 'intermediat_' ELSE 'intermediate_' END,
+                  CASE o_orderkey % 7 WHEN 2 THEN concat(year(o_orderdate), month(o_orderdate))
+                       WHEN 3 THEN date_format(o_orderdate, 'MM.yy') ELSE date_format(o_orderdate, 'yyyyMM') END,
+                  CASE o_orderkey % 7 WHEN 4 THEN '_edited' ELSE '' END,
+                  CASE o_orderkey % 7 WHEN 5 THEN '.csv' WHEN 6 THEN '.XLSX' ELSE '.xlsx' END) AS file_name"""
+    )
+    month = dates.month_of_file(F.col("file_name"), "intermediate", "xlsx")
+    return names.select("file_name", month.alias("month"), dates.is_supported_month(month).alias("supported"))
+
+
+def _repeated_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's priority as a manual label: most labels are named more than once."""
+    edits = star.table(spark, sf_dir, "orders").selectExpr(
+        "o_orderpriority AS transaction_id", "o_orderstatus AS description"
     )
+    return redact.duplicate_overrides(edits)
 
 
 def _balances(spark: SparkSession, sf_dir: str, since_new_year: bool = False) -> DataFrame:
@@ -99,9 +100,7 @@ def catalog() -> dict[str, Query]:
         "shift_changes": lambda s, d: payments.shift_changes(_kept_transactions(s, d)),
         "commission_base": lambda s, d: payments.commission_base(_kept_transactions(s, d)),
         "tip_lines": lambda s, d: _tips(s, d, "line"),
-        "tip_lines_per_transaction": lambda s, d: _tips(s, d, "transaction").select(
-            "transaction_id", "price_net", "sold_at"
-        ),
+        "tip_lines_per_transaction": lambda s, d: _tips(s, d, "transaction"),
         "allocate_commission": lambda s, d: prepared(s, d).select(
             "transaction_id", "description", "price_gross", "commission"
         ),
@@ -112,8 +111,9 @@ def catalog() -> dict[str, Query]:
         .agg(F.count(F.lit(1)).alias("n_rows")),
         "prepare_intermediate": prepared,
         "apply_overrides": star.edited,
-        "reread_intermediate": lambda s, d: coerce_cells(_cells(intermediate(s, d))),
+        "reread_intermediate": lambda s, d: coerce_cells(files.as_cells(intermediate(s, d))),
         "month_of_file": _file_months,
+        "duplicate_overrides": _repeated_overrides,
         "zero_value_rows": lambda s, d: validate.zero_value_rows(prepared(s, d)),
         "invalid_values": _invalid_values,
         "topic_owner_violations": lambda s, d: validate.topic_owner_violations(star.edited(s, d, faulty=True)),
@@ -144,5 +144,17 @@ def catalog() -> dict[str, Query]:
         "budget_closing": lambda s, d: closing.budget_closing(_balances(s, d), star.budget(s, d), CLOSING_MONTH),
         "dummy_postings": lambda s, d: closing.dummy_postings(star.budget(s, d), CLOSING_MONTH),
         "closing_all_posts": lambda s, d: close.close_month(star.journal(s, d), star.budget(s, d), CLOSING_MONTH),
+        "closing_by_month": lambda s, d: close.close_months(
+            star.journal(s, d), star.budget(s, d), FIRST_MONTH, CLOSING_MONTH
+        ),
+        "closing_by_month_since_new_year": lambda s, d: close.close_months(
+            star.journal(s, d), star.budget(s, d), FIRST_MONTH, CLOSING_MONTH, since_new_year=True
+        ),
+        "read_sales_csv": files.sales_csv,
+        "read_transactions_csv": files.transactions_csv,
+        "read_cells_csv": files.cells_csv,
+        "read_journal": files.journal_xml,
+        "stored_intermediate": files.stored_intermediate,
+        "stored_report": files.stored_report,
     }
     return {name: (lambda s, d, q=query: out(q(s, d))) for name, query in plain.items()}

@@ -424,7 +424,7 @@ LEDGER_COLUMNS = (
 BLANK = LEDGER_COLUMNS.format(blank="''")
 MISSING = LEDGER_COLUMNS.format(blank="CAST(NULL AS VARCHAR)")
 
-CLOSING_MONTH = "199907"
+FIRST_MONTH, CLOSING_MONTH = "199810", "199907"
 
 CLOSING = f"""
 journal AS (
@@ -510,6 +510,37 @@ OWNER_RULES = """
   WHERE topic NOT IN ('MiTi', 'Culture') AND coalesce(owner, '') <> ''"""
 
 
+BROKEN_OUT = """
+    account, CASE WHEN quantity <> 7 OR quantity IS NULL THEN date END AS date,
+    CASE WHEN quantity NOT IN (1, 2) OR quantity IS NULL THEN time END AS time, type, transaction_id, payment_method,
+    CASE WHEN quantity <> 5 THEN quantity END AS quantity, description, currency,
+    CAST(price_gross AS DOUBLE) AS price_gross,
+    CASE WHEN quantity <> 3 OR quantity IS NULL THEN CAST(price_net AS DOUBLE) END AS price_net,
+    CASE WHEN quantity <> 4 OR quantity IS NULL THEN CAST(commission AS DOUBLE) END AS commission,
+    CASE WHEN quantity <> 6 OR quantity IS NULL THEN topic END AS topic, owner, purpose, comment"""
+"""The intermediate table after a reading in which cells of rows with some numbers of pieces do not parse."""
+
+
+def _by_month(period: str) -> str:
+    """Closings of the months from FIRST_MONTH on, each from all movements before its end that ``period`` admits."""
+    tables = _closing().split("year_budget AS")[0].rstrip().rstrip(",")
+    return f"""{_chain(tables)},
+        months AS (SELECT strftime(m, '%Y%m') AS month, m + INTERVAL 1 MONTH AS cut
+                   FROM (SELECT unnest(generate_series(DATE '{FIRST_MONTH[:4]}-{FIRST_MONTH[4:]}-01',
+                         DATE '{CLOSING_MONTH[:4]}-{CLOSING_MONTH[4:]}-01', INTERVAL 1 MONTH)) AS m)),
+        mv AS (SELECT date, debit AS account, amount FROM journal UNION ALL SELECT date, credit, -amount FROM journal
+               UNION ALL SELECT make_date(y, 1, 1), account, 0 FROM post_account, (VALUES (1998), (1999)) AS v(y)
+               WHERE pos = 0),
+        yearly AS (SELECT 'N' || c_nationkey AS post_key, year(o_orderdate) AS year, sum(CAST(o_totalprice AS {M})) AS budget
+                   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+        nets AS (SELECT months.month, post_key, name, sort, factor, sum(amount * factor) AS net
+                 FROM mv JOIN months ON mv.date < months.cut AND {period} JOIN account_post USING (account)
+                 WHERE account <> '8900' AND regexp_matches(account, '^[3456789][0-9]{{3,4}}$') GROUP BY ALL)
+        SELECT month, name AS "group", CAST(sort AS INTEGER) AS sort, CAST(coalesce(budget, 0) AS DOUBLE) AS budget,
+               CAST(net AS DOUBLE) AS net, CAST((coalesce(budget, 0) - net) * factor AS DOUBLE) AS remaining
+        FROM nets n LEFT JOIN yearly y ON n.post_key = y.post_key AND CAST(left(month, 4) AS INTEGER) = y.year"""
+
+
 def oracle_sql() -> dict[str, str]:
     prepare = _chain(STAR, PREPARE)
     export = _chain(STAR, PREPARE, _edited(False))
@@ -559,8 +590,8 @@ def oracle_sql() -> dict[str, str]:
                    CAST(fee AS DOUBLE) AS fee, CAST(tip AS DOUBLE) AS tip, time FROM base""",
         "tip_lines": f"{prepare} SELECT {SALES_OUT} FROM tip_lines",
         "tip_lines_per_transaction": f"""{prepare}
-            SELECT transaction_id, CAST(max(price_net) AS DOUBLE) AS price_net, min(sold_at) AS sold_at
-            FROM tip_lines GROUP BY transaction_id""",
+            SELECT {SALES_OUT} FROM (SELECT * FROM tip_lines QUALIFY row_number() OVER (
+              PARTITION BY transaction_id, price_net ORDER BY sold_at, kind, payment, category, sku, currency, account) = 1)""",
         "allocate_commission": f"""{prepare}
             SELECT transaction_id, description, CAST(price_gross AS DOUBLE) AS price_gross,
                    CAST(commission AS DOUBLE) AS commission FROM prepared""",
@@ -570,10 +601,37 @@ def oracle_sql() -> dict[str, str]:
             SELECT topic, owner, purpose, type, payment_method, count(*) AS n_rows FROM prepared GROUP BY ALL""",
         "prepare_intermediate": f"{prepare} SELECT {INTERMEDIATE_OUT} FROM prepared",
         "apply_overrides": f"{export} SELECT {INTERMEDIATE_OUT} FROM intermediate",
-        "reread_intermediate": f"{export} SELECT {INTERMEDIATE_OUT} FROM intermediate",
-        "month_of_file": f"""{export}
-            SELECT strftime(date, '%Y%m') AS month, strftime(date, '%Y') >= '2023' AS supported, count(*) AS n_rows
-            FROM intermediate GROUP BY ALL""",
+        "reread_intermediate": f"{export} SELECT {BROKEN_OUT} FROM intermediate",
+        "read_cells_csv": f"""{export}
+            SELECT {BROKEN_OUT} FROM (SELECT * REPLACE (nullif(description, '') AS description) FROM intermediate)""",
+        "stored_intermediate": f"{export} SELECT {INTERMEDIATE_OUT}, strftime(date, '%Y%m') AS month FROM intermediate",
+        "stored_report": f"""{accounting}
+            SELECT month, count(*) AS n_rows, count(date) AS n_days, CAST(sum(payment_sumup) AS DOUBLE) AS paid
+            FROM accounting GROUP BY month""",
+        "read_sales_csv": f"""{prepare}
+            SELECT {SALES_OUT} FROM (SELECT * REPLACE ('say "' || description || '", twice' AS description,
+                nullif(tax_rate, '') AS tax_rate, nullif(sku, '') AS sku, coalesce(price_net, price_gross) AS price_net)
+              FROM star_sales)""",
+        "read_transactions_csv": f"""{_chain(STAR)}
+            SELECT {TRANSACTIONS_OUT} FROM (SELECT * REPLACE (coalesce(net, amount) AS net,
+              'say "' || description || '", twice' AS description) FROM star_transactions)""",
+        "read_journal": f"""{_chain(_closing())}
+            SELECT date, 'Posting ' || o AS description, debit, credit, CAST(amount AS DOUBLE) AS amount
+            FROM (SELECT *, row_number() OVER () AS k FROM journal)
+            JOIN (SELECT l_orderkey AS o, row_number() OVER () AS k FROM lineitem) USING (k)""",
+        "duplicate_overrides": """
+            SELECT o_orderpriority AS transaction_id, o_orderstatus AS description, count(*) AS n_rows
+            FROM orders GROUP BY ALL HAVING count(*) > 1""",
+        "month_of_file": """
+            WITH n AS (SELECT o_orderkey % 7 AS k, o_orderdate AS d FROM orders),
+            f AS (SELECT CASE k WHEN 1 THEN 'intermediat_' ELSE 'intermediate_' END
+                  || CASE k WHEN 2 THEN year(d) || '' || month(d) WHEN 3 THEN strftime(d, '%m.%y') ELSE strftime(d, '%Y%m') END
+                  || CASE k WHEN 4 THEN '_edited' ELSE '' END
+                  || CASE k WHEN 5 THEN '.csv' WHEN 6 THEN '.XLSX' ELSE '.xlsx' END AS file_name FROM n),
+            m AS (SELECT file_name, CASE WHEN length(file_name) >= 24 AND starts_with(file_name, 'intermediate_')
+                                          AND lower(file_name) LIKE '%.xlsx' THEN substr(file_name, 14, 6) END AS month FROM f)
+            SELECT file_name, month,
+                   coalesce(regexp_full_match(month, '(202[3-9]|20[3-9][0-9]|2100)(0[1-9]|1[0-2])'), false) AS supported FROM m""",
         "zero_value_rows": f"""{prepare}
             SELECT {INTERMEDIATE_OUT} FROM prepared WHERE coalesce(price_net, 0) = 0
             AND description NOT IN ('SCHICHTWECHSEL', 'Mittagstisch-Nachmittag', 'Nachmittag-Abend')""",
@@ -672,4 +730,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT DATE '1999-01-01' AS date, 'Dummy post' AS description, account AS debit, account AS credit,
                    CAST(0 AS DOUBLE) AS amount FROM post_account WHERE pos = 0""",
         "closing_all_posts": f"{_chain(_closing(with_dummies))} {CLOSING_RESULT}",
+        "closing_by_month": _by_month("true"),
+        "closing_by_month_since_new_year": _by_month("year(mv.date) = CAST(left(months.month, 4) AS INTEGER)"),
     }

@@ -7,8 +7,6 @@ labelling rules occurs. ``oracle.py`` states the same projections in DuckDB's SQ
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +14,6 @@ from salesledger import schema as S
 from salesledger.operators.closing import Budget
 from salesledger.operators.redact import apply_overrides
 from salesledger.plans.prepare import prepare
-from salesledger.plans.staging import stage
 
 # --- fixed values: part size -> description; every other size keeps the part's name ------------------
 DESCRIPTIONS = {
@@ -57,23 +54,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _tables[key]
 
 
-def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """A derived table, written once per session as the input files of the library would be, then read back."""
-    key = (spark.sparkContext.applicationId, sf_dir, f"staged {name}")
-    if key not in _tables:
-        _tables[key] = stage(build(spark, sf_dir))
-    return _tables[key]
-
-
-def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items. A table in fewer files than there are cores is spread first, or one core would do all the work."""
-    lines = table(spark, sf_dir, "lineitem")
-    cores = spark.sparkContext.defaultParallelism
-    if len(lines.inputFiles()) >= cores:
-        return lines
-    return lines.repartition(cores, "l_orderkey", "l_partkey", "l_linenumber")
-
-
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = "pmod(o_orderkey * 7919, 86400)"
     clock = ", ':', ".join(
@@ -94,13 +74,13 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def build_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales report: the line items, and for refunded orders a second line per item that takes it back.
 
     What is taken back of large orders is one too little, so their refund does not balance.
     """
     lines = (
-        _lineitem(spark, sf_dir)
+        table(spark, sf_dir, "lineitem")
         .join(_orders(spark, sf_dir), F.expr("l_orderkey = o_orderkey"))
         .join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
         .selectExpr(
@@ -140,7 +120,7 @@ def build_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides.selectExpr(*[f"{columns.get(name, name)} AS {name}" for name in S.SALES.names])
 
 
-def build_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transaction report: one revenue row per order, and one without status per refunded order.
 
     The largest orders are booked twice by mistake.
@@ -176,14 +156,6 @@ def build_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(spark, sf_dir, "sales", build_sales)
-
-
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(spark, sf_dir, "transactions", build_transactions)
-
-
 def overrides(spark: SparkSession, sf_dir: str, faulty: bool = False) -> DataFrame:
     """Manual labels by description: topics the heuristics never choose, and with ``faulty`` some wrong ones."""
     topic = """CASE split_part(description, ' ', 1) WHEN 'red' THEN 'Verm' WHEN 'blue' THEN 'SoFe'
@@ -212,8 +184,8 @@ def edited(spark: SparkSession, sf_dir: str, faulty: bool = False) -> DataFrame:
 
 
 def intermediate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edited table as the export finds it: stored."""
-    return staged(spark, sf_dir, "intermediate", edited)
+    """The edited table that the export starts from."""
+    return edited(spark, sf_dir)
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
