@@ -52,7 +52,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", low=200, high=1500),
     Rule("symbols", "n_symbols", "n_words", high=20),
     Rule("stop_words", "n_stop_words", "n_words", low=1, min_words=50),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=30),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=50),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", high=90, min_words=50),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", high=30, min_words=50),
 )
