@@ -154,7 +154,10 @@ def catalog() -> dict[str, Query]:
         "read_transactions_csv": files.transactions_csv,
         "read_cells_csv": files.cells_csv,
         "read_journal": files.journal_xml,
+        "read_budget_posts": files.budget_posts,
+        "read_budget_amounts": files.budget_amounts,
         "stored_intermediate": files.stored_intermediate,
         "stored_report": files.stored_report,
+        "stored_closing": files.stored_closing,
     }
     return {name: (lambda s, d, q=query: out(q(s, d))) for name, query in plain.items()}

@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesledger import schema as S
+from salesledger.operators.closing import Budget
 from salesledger.plans import export
+from salesledger.plans.close import close_month
 from salesledger.sources import sinks
+from salesledger.sources.budget import read_budget
 from salesledger.sources.intermediate import SECONDS_PER_DAY, SERIAL_OF_1970, read_cells, read_intermediate
 from salesledger.sources.journal_xml import read_journal
 from salesledger.sources.till_csv import read_sales, read_transactions
 from verification import star
+from verification.oracle import CLOSING_MONTH
 
 PUNCTUATED = "concat('say \"', description, '\", twice')"
 """A text that needs quoting: quotes, and a comma after one."""
@@ -123,3 +127,36 @@ def journal_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _path(spark, "journal")
     books.select("book", value.alias("value")).write.partitionBy("book").text(path)
     return read_journal(spark, f"{path}/*")
+
+
+def _budget_json(spark: SparkSession, sf_dir: str) -> Budget:
+    """The budget as one JSON document, written and read again."""
+    budget = star.budget(spark, sf_dir)
+    listed = budget.post_account.groupBy("post_key").agg(
+        F.expr("transform(array_sort(collect_list(struct(pos, account))), x -> x.account) AS account_codes")
+    )
+    posts = budget.post.join(listed, "post_key", "left").agg(
+        F.expr("map_from_entries(collect_list(struct(post_key, struct(name, sort, factor, account_codes)))) AS posts")
+    )
+    amounts = budget.post_budget.groupBy("year").agg(
+        F.expr("struct(map_from_entries(collect_list(struct(post_key, amount))) AS amounts) AS entry")
+    )
+    years = amounts.agg(F.expr("map_from_entries(collect_list(struct(year, entry))) AS years"))
+    path = _path(spark, "budget")
+    posts.join(years, F.lit(True)).write.json(path)
+    return read_budget(spark, path)
+
+
+def budget_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    budget = _budget_json(spark, sf_dir)
+    return budget.post.join(budget.post_account, "post_key", "left")
+
+
+def budget_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _budget_json(spark, sf_dir).post_budget
+
+
+def stored_closing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _path(spark, "closing")
+    sinks.write_closing(close_month(star.journal(spark, sf_dir), star.budget(spark, sf_dir), CLOSING_MONTH), path)
+    return spark.read.parquet(path)

@@ -615,10 +615,18 @@ def oracle_sql() -> dict[str, str]:
         "read_transactions_csv": f"""{_chain(STAR)}
             SELECT {TRANSACTIONS_OUT} FROM (SELECT * REPLACE (coalesce(net, amount) AS net,
               'say "' || description || '", twice' AS description) FROM star_transactions)""",
-        "read_journal": f"""{_chain(_closing())}
-            SELECT date, 'Posting ' || o AS description, debit, credit, CAST(amount AS DOUBLE) AS amount
-            FROM (SELECT *, row_number() OVER () AS k FROM journal)
-            JOIN (SELECT l_orderkey AS o, row_number() OVER () AS k FROM lineitem) USING (k)""",
+        "read_journal": f"""{_chain(_closing().replace("AS date,", "AS date, 'Posting ' || l_orderkey AS description,", 1))}
+            SELECT date, description, debit, credit, CAST(amount AS DOUBLE) AS amount FROM journal""",
+        "read_budget_posts": f"""{_chain(_closing())}
+            SELECT p.post_key, name, CAST(p.sort AS INTEGER) AS sort, factor, account,
+                   CAST(CASE WHEN account IS NOT NULL
+                             THEN row_number() OVER (PARTITION BY p.post_key ORDER BY pos) - 1 END AS INTEGER) AS pos
+            FROM post p LEFT JOIN post_account a ON p.post_key = a.post_key""",
+        "read_budget_amounts": f"""
+            SELECT CAST(year(o_orderdate) AS VARCHAR) AS year, 'N' || c_nationkey AS post_key,
+                   CAST(sum(CAST(o_totalprice AS {M})) AS DOUBLE) AS amount
+            FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL""",
+        "stored_closing": f"{_chain(_closing(with_dummies))} {CLOSING_RESULT}",
         "duplicate_overrides": """
             SELECT o_orderpriority AS transaction_id, o_orderstatus AS description, count(*) AS n_rows
             FROM orders GROUP BY ALL HAVING count(*) > 1""",
