@@ -3,12 +3,26 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from salesledger.llm import language_id, mixing, near_dedup, packing, substring_dedup
 from salesledger.llm.staging import shared_folder
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+BATCH = 500
+"""Documents that a Python worker gets at once; Spark's default of 10,000 is meant for short rows."""
+
+
+def _short_batches(stage: Stage) -> Stage:
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language, which replaces ``lang``; those without a letter go."""
@@ -39,11 +53,11 @@ def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language_id", _language),
-    ("near_dedup", _near_dedup),
-    ("substring_dedup", _substring_dedup),
-    ("mixing", _mixing),
-    ("packing", _packing),
+    ("language_id", _short_batches(_language)),
+    ("near_dedup", _short_batches(_near_dedup)),
+    ("substring_dedup", _short_batches(_substring_dedup)),
+    ("mixing", _short_batches(_mixing)),
+    ("packing", _short_batches(_packing)),
 ]
 
 ORACLE_SQL = None

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 """Bytes hashed at once; longer texts are cut at white space."""
 
 _U = np.uint64

@@ -20,7 +20,7 @@ PROFILE = 300
 TRAIN_ROWS = 20_000
 """Most labelled documents that a fit reads: those of least hash of doc_id, so a fit on the same table is the same."""
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 """Characters counted at once; the counts of longer texts are summed."""
 
 UNKNOWN = "und"
@@ -136,7 +136,8 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nearest = _Nearest(profiles, size) if profiles else None
-        for batch in batches:
+        parts = (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256))
+        for batch in parts:
             langs, scores = [], []
             for text in batch["text"]:
                 keys, counts = grams(text.as_py())

@@ -85,8 +85,8 @@ def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for at in range(0, batch.num_rows, 128):
+            part = batch.slice(at, 128)
             rows = []
             for doc_id, words in zip(part["doc_id"].to_pylist(), word_hashes(part["text"].to_pylist())):
                 shingles = shingle_set(words, SHINGLE)
@@ -125,8 +125,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_id, kept = None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 ids, others = part["a"].to_pylist(), part["b"].to_pylist()
                 good: list[int] = []
                 for i, words in enumerate(word_hashes(part["text_b"].to_pylist())):

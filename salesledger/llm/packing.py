@@ -31,7 +31,7 @@ SENTENCE_PRICE, INNER_PRICE = 8, 200
 LONG = 256
 """A sentence of more tokens may be cut inside, at every 64th token."""
 
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 """Tokens of a range that are cut together; the rest after the last cut but one moves on to the next chunk."""
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

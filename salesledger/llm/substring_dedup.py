@@ -57,8 +57,8 @@ def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
+        for start in range(0, batch.num_rows, 128):
+            part = batch.slice(start, 128)
             ids = part["doc_id"].to_numpy(zero_copy_only=False)
             found = [seeds_of(words) for words in word_hashes(part["text"].to_pylist())]
             if found:
@@ -237,7 +237,8 @@ def drop_repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataF
     columns = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        parts = (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256))
+        for batch in parts:
             texts = batch["text"].to_pylist()
             for i, spans in enumerate(batch["_spans"].to_pylist()):
                 if spans:
