@@ -17,23 +17,26 @@ SHIFT_EARLIEST = "12:00:00"
 SHIFT_LATEST = "16:00:00"
 DEFAULT_SHIFT_CHANGE = "14:15:00"
 FIRST_YEAR, LAST_YEAR = 2023, 2100
+SALE_DATE = r".?(\d\d\.\d\d\.\d\d\d\d), "
+BOOKING_DATE = r"(\d\d\d\d-\d\d-\d\d)"
+BEFORE_BOOKING_TIME = r".{11}"
 TIME_OF_DAY = r"(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d"
 
 
 def sale_date(sold_at: Column) -> Column:
     """Date of ``dd.MM.yyyy, HH:mm``; null without a match, an error for a day that does not exist."""
-    day = F.regexp_extract(sold_at, r".?(\d\d\.\d\d\.\d\d\d\d), ", 1)
+    day = F.regexp_extract(sold_at, SALE_DATE, 1)
     # Turning the text round and casting it is much cheaper per row than parsing it with a pattern.
     return F.nullif(F.regexp_replace(day, r"(..)\.(..)\.(....)", "$3-$2-$1"), F.lit("")).cast("date")
 
 
 def booking_date(booked_at: Column) -> Column:
-    return group_or_null(booked_at, r"(\d\d\d\d-\d\d-\d\d)").cast("date")
+    return group_or_null(booked_at, BOOKING_DATE).cast("date")
 
 
 def booking_time(booked_at: Column) -> Column:
     """Time of ``yyyy-MM-dd HH:mm:ss``; null when there is none. ``unreadable_times`` finds impossible ones."""
-    return group_or_null(booked_at, rf".{{11}}({TIME_OF_DAY})")
+    return group_or_null(booked_at, f"{BEFORE_BOOKING_TIME}({TIME_OF_DAY})")
 
 
 def is_weekend(date: Column) -> Column:

@@ -29,7 +29,7 @@ SHIFT_CHANGE = "SCHICHTWECHSEL"
 SHIFT_DESCRIPTIONS = ["SCHICHTWECHSEL", "Mittagstisch-Nachmittag", "Nachmittag-Abend"]
 TIP_DESCRIPTION = "Trinkgeld"
 
-# --- file column -> (internal name, type) ------------------------------------------------------------
+# --- fixed values: file column -> (internal name, type) ------------------------------------------------------------
 SALES_COLUMNS = {
     "Datum": ("sold_at", T.StringType()),
     "Typ": ("kind", T.StringType()),
