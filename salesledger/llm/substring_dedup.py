@@ -6,7 +6,10 @@
    the home alone: a passage in n documents gives n - 1 matches per seed, not pairs of all with all.
 3. A document's matches with one home document are chained in both orders with gap costs through a Fenwick tree.
 4. The chained stretches of both texts, with a margin, are aligned word by word; unmatched runs end a passage.
-5. Touching passages of a document are merged whatever their homes, and those of at least 50 words are reported.
+5. Beside the chains every exact repeat is found, also a periodic one and one whose seeds have many homes. A run of 50
+   words has one long seed, the run of 25 words in it with the least hash. Where a document's long seed is in another
+   document too, its runs of 50 words are compared in a second shuffle, each with the first document that has it.
+6. Touching passages of a document are merged whatever their homes, and those of at least 50 words are reported.
 
 The first document that has a passage keeps it. Repeats inside one document are not looked for.
 """
@@ -55,12 +58,31 @@ def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return runs[at], at
 
 
-def _seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def long_seeds_of(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of half as many words as a passage has, and which of them is the long seed of each run of ``min_words``."""
+    runs = windows(words, min_words // 2)
+    if len(words) < min_words:
+        return runs, np.zeros(0, np.int64)
+    view = np.lib.stride_tricks.sliding_window_view(runs, min_words - min_words // 2 + 1)
+    least = [view[i : i + 65536].argmin(axis=1) for i in range(0, len(view), 65536)]
+    return runs, np.concatenate(least) + np.arange(len(view))
+
+
+def _all_seeds(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds, and long seeds once each with the complement of their first position, which tells them apart."""
+    seeds, at = seeds_of(words)
+    runs, picked = long_seeds_of(words, min_words)
+    picked = np.unique(picked)
+    long, first = np.unique(runs[picked], return_index=True)
+    return np.concatenate([seeds, long]), np.concatenate([at, ~picked[first]])
+
+
+def _seed(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 128):
             part = batch.slice(start, 128)
             ids = part["doc_id"].to_numpy(zero_copy_only=False)
-            found = [seeds_of(words) for words in word_hashes(part["text"].to_pylist())]
+            found = [_all_seeds(words, min_words) for words in word_hashes(part["text"].to_pylist())]
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -72,16 +94,24 @@ def _seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-_CHAIN = pa.schema([(c, pa.int64()) for c in ("doc", "home", "start", "end", "home_start", "home_end")])
+_CHAIN = pa.schema(
+    [*((c, pa.int64()) for c in ("doc", "home", "start", "end", "home_start", "home_end")), ("long", pa.binary())]
+)
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains of each document, from one row with all its matches."""
+    """Chains of each document, from one row with all its matches; its shared long seeds in a row without a home."""
     for batch in batches:
         for i in range(batch.num_rows):
             doc = batch["doc"][i].as_py()
             items = batch["matches"][i].values
-            home, home_pos, pos = (items.field(c).to_numpy(zero_copy_only=False) for c in ("home", "home_pos", "pos"))
+            home, home_pos, pos, seed = (
+                items.field(c).to_numpy(zero_copy_only=False) for c in ("home", "home_pos", "pos", "long")
+            )
+            if (pos < 0).any():
+                row = [[doc], *[[None]] * 5, [np.unique(seed[pos < 0]).tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _CHAIN)], schema=_CHAIN)
+            home, home_pos, pos = home[pos >= 0], home_pos[pos >= 0], pos[pos >= 0]
             order = np.argsort(home, kind="stable")
             home, home_pos, pos = home[order], home_pos[order].astype(np.int64), pos[order].astype(np.int64)
             cuts = np.flatnonzero(np.diff(home)) + 1
@@ -95,7 +125,8 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if p1 + n - p0 >= MIN_CHAIN:
                         rows.append((doc, int(home[lo]), p0, p1 + n, q0, q1 + n))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_CHAIN)
+                columns = [*zip(*rows), [None] * len(rows)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CHAIN)], schema=_CHAIN)
 
 
 _SLICE = pa.schema([("chain", pa.int64()), ("side", pa.int32()), ("at", pa.int64()), ("words", pa.binary())])
@@ -142,25 +173,91 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_PASSAGE)
 
 
-def matches(docs: DataFrame) -> DataFrame:
-    """Occurrences of shared seeds beside their home: (doc, pos, home, home_pos)."""
+def _run(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """Hash, document and position of the runs of ``min_words`` whose long seed is shared."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            words = next(word_hashes([batch["text"][i].as_py()]))
+            runs, at = long_seeds_of(words, min_words)
+            starts = np.flatnonzero(np.isin(runs[at], np.frombuffer(batch["long"][i].as_py(), np.uint64)))
+            if not len(starts):
+                continue
+            whole = windows(words, min_words)[starts].view(np.int64)
+            for lo in range(0, len(starts), 65536):
+                part = starts[lo : lo + 65536]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(whole[lo : lo + 65536]),
+                        pa.array(np.full(len(part), batch["doc_id"][i].as_py(), np.int64)),
+                        pa.array(part.astype(np.int32)),
+                    ],
+                    ["run", "doc", "pos"],
+                )
+
+
+def _exact(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of successive repeated runs with one home, from one row per document."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            items = batch["runs"][i].values
+            pos, home, home_pos = (
+                items.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "home", "home_pos")
+            )
+            order = np.lexsort((home, pos))
+            pos, home, home_pos = pos[order], home[order], home_pos[order]
+            first = np.concatenate([[0], np.flatnonzero((np.diff(pos) > 1) | (np.diff(home) != 0)) + 1])
+            last = np.concatenate([first[1:], [len(pos)]]) - 1
+            start, end = pos[first], pos[last] + min_words
+            columns = [
+                np.full(len(first), batch["doc"][i].as_py(), np.int64), home[first], start, end,
+                home_pos[first], np.maximum.reduceat(home_pos, first) + min_words, end - start,
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_PASSAGE)
+
+
+def matches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Occurrences of shared seeds beside their home: (doc, pos, home, home_pos, long).
+
+    Positions of long seeds are complements, ``long`` is their hash, and their home has a row too.
+    """
     texts = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
     texts = texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = texts.mapInArrow(_seed, "seed long, doc long, pos int")
+    found = texts.mapInArrow(lambda batches: _seed(batches, min_words), "seed long, doc long, pos int")
     homes = found.groupBy("seed").agg(F.expr("min(struct(doc, pos)) AS home"), F.max("doc").alias("last"))
     homes = homes.where("last > home.doc").select("seed", "home")
-    met = found.join(homes, "seed").where("doc > home.doc")
-    return met.selectExpr("doc", "pos", "home.doc AS home", "home.pos AS home_pos")
+    met = found.join(homes, "seed").where("doc > home.doc OR pos < 0")
+    return met.selectExpr("doc", "pos", "home.doc AS home", "home.pos AS home_pos", "IF(pos < 0, seed, 0L) AS long")
 
 
-def passages(docs: DataFrame) -> DataFrame:
+def exact_repeats(texts: DataFrame, shared: DataFrame, min_words: int) -> DataFrame:
+    """Passages all of whose runs of ``min_words`` an earlier document has, from the shared long seeds of each document."""
+    runs = texts.join(shared, "doc_id").select("doc_id", "text", "long").mapInArrow(
+        lambda batches: _run(batches, min_words), "run long, doc long, pos int"
+    )
+    runs = staged(runs, "runs")
+    homes = runs.groupBy("run").agg(F.expr("min(struct(doc, pos)) AS home"), F.max("doc").alias("last"))
+    homes = homes.where("last > home.doc").select("run", "home")
+    met = runs.join(homes, "run").where("doc > home.doc").selectExpr(
+        "doc", "pos", "home.doc AS home", "home.pos AS home_pos"
+    )
+    return met.groupBy("doc").agg(F.collect_list(F.struct("pos", "home", "home_pos")).alias("runs")).mapInArrow(
+        lambda batches: _exact(batches, min_words),
+        "doc long, home long, start long, end long, home_start long, home_end long, matched long",
+    )
+
+
+def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Aligned passages with one home each: doc, home, start, end, home_start, home_end, matched; positions in words."""
     texts = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
-    grouped = matches(docs).groupBy("doc").agg(F.collect_list(F.struct("home", "home_pos", "pos")).alias("matches"))
-    found = grouped.where("size(matches) > 1").mapInArrow(
-        _chain, "doc long, home long, start long, end long, home_start long, home_end long"
+    grouped = matches(docs, min_words).groupBy("doc").agg(
+        F.collect_list(F.struct("home", "home_pos", "pos", "long")).alias("matches")
+    )
+    found = grouped.mapInArrow(
+        _chain, "doc long, home long, start long, end long, home_start long, home_end long, long binary"
     )
     found = staged(found.withColumn("chain", F.expr("xxhash64(doc, home, start, home_start)")), "chains")
+    shared = found.where("long IS NOT NULL").selectExpr("doc AS doc_id", "long")
+    found = found.where("long IS NULL").drop("long")
     wanted = found.selectExpr(
         """inline(array(struct(doc AS doc_id, struct(chain, 0 AS side, start, end) AS ask),
                         struct(home AS doc_id, struct(chain, 1 AS side, home_start AS start, home_end AS end) AS ask)))"""
@@ -176,9 +273,10 @@ def passages(docs: DataFrame) -> DataFrame:
         F.expr("max(struct(at, words)) FILTER (WHERE side = 1) AS a"),
     )
     pairs = found.select("chain", "doc", "home").join(sides, "chain").where("d IS NOT NULL AND a IS NOT NULL")
-    return pairs.selectExpr("doc", "home", "d.at", "d.words", "a.at AS home_at", "a.words AS home_words").mapInArrow(
+    near = pairs.selectExpr("doc", "home", "d.at", "d.words", "a.at AS home_at", "a.words AS home_words").mapInArrow(
         _align, "doc long, home long, start long, end long, home_start long, home_end long, matched long"
     )
+    return near.unionByName(exact_repeats(named, shared, min_words))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -188,7 +286,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     covers most of it), source_start, matched (words equal to that home's). Null or empty texts, texts shorter than
     the shortest passage and rows without doc_id have no rows; equal rows under one doc_id count as one document.
     """
-    found = passages(docs)
+    found = passages(docs, min_words)
     spans = found.groupBy("doc").agg(
         F.array_sort(F.collect_set(F.struct("start", "end", "matched", "home", "home_start"))).alias("spans")
     )

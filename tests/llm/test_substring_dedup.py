@@ -70,6 +70,29 @@ def test_planted_passages_exact_and_changed(spark):
     assert all(" ".join(cut[i]) == docs[i][1] for i in range(120) if i not in planted)
 
 
+def test_periodic_passages(spark):
+    """Repeated words, phrases and lines, of other length and phase than in the first document, in prose and alone."""
+    rng = np.random.default_rng(11)
+    docs = []
+    for i, period in enumerate([1, 2, 5, 9, 12, 13]):
+        unit = [f"p{i}x{j}" for j in range(period)]
+        first, longer, shorter = (unit * 200)[:90], (unit * 200)[3:203], (unit * 200)[1:61]
+        docs += [prose(rng, 70) + first + prose(rng, 70), prose(rng, 80) + longer + prose(rng, 60), shorter]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    found = check(df, substring_dedup.repeated_passages(df).collect())
+    assert sorted(found) == sorted([*range(1, 18, 3), *range(2, 18, 3)])
+
+
+def test_every_exact_repeat_at_a_larger_scale(spark):
+    """Brute force over sf0.1, whose repeats have periodic ones and ones with seeds of many homes among them."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.where("doc_id IS NOT NULL").collect()}
+    found = defaultdict(set)
+    for r in substring_dedup.repeated_passages(docs).collect():
+        found[r.doc_id].update(range(r.start, r.end))
+    assert all(words <= found[i] for i, words in exact_repeats(texts, 50).items())
+
+
 def test_odd_rows(spark, odd_documents):
     rows = substring_dedup.repeated_passages(odd_documents).collect()
     assert [(r.doc_id, r.start, r.end, r.source_doc_id) for r in rows] == [(2, 0, 120, 1)]
