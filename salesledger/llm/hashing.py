@@ -103,6 +103,14 @@ def windows(words: np.ndarray, k: int) -> np.ndarray:
     return mixed(total)
 
 
+def stretches(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the words of each stretch, of any length, from one running sum over the text."""
+    up, down = _scale(len(words) + 1)
+    total = np.zeros(len(words) + 1, _U)
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    return mixed((total[ends] - total[starts]) * down[starts])
+
+
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     """Sorted distinct k-word shingles; a shorter text is one shingle, a text without words has none."""
     if 0 < len(words) < k:

@@ -7,8 +7,10 @@
 3. A document's matches with one home document are chained in both orders with gap costs through a Fenwick tree.
 4. The chained stretches of both texts, with a margin, are aligned word by word; unmatched runs end a passage.
 5. Beside the chains every exact repeat is found, also a periodic one and one whose seeds have many homes. A run of 50
-   words has one long seed, the run of 25 words in it with the least hash. Where a document's long seed is in another
-   document too, its runs of 50 words are compared in a second shuffle, each with the first document that has it.
+   words has one long seed, the least hash of the runs of 25 words in it; a block is a stretch of runs with one long seed.
+   Equal blocks are matched whole, with the first document that has them. Where one long seed has different blocks, as
+   at the ends of a passage, their runs are compared one by one in a second shuffle. A block's home adds to the chains,
+   so a changed passage whose short seeds were seen elsewhere still meets the document that has it.
 6. Touching passages of a document are merged whatever their homes, and those of at least 50 words are reported.
 
 The first document that has a passage keeps it. Repeats inside one document are not looked for.
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesledger.llm.chaining import aligned, chains, segments, trimmed
-from salesledger.llm.hashing import windows, word_hashes
+from salesledger.llm.hashing import stretches, windows, word_hashes
 from salesledger.llm.staging import staged
 
 MIN_WORDS = 50
@@ -58,60 +60,101 @@ def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return runs[at], at
 
 
-def long_seeds_of(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of half as many words as a passage has, and which of them is the long seed of each run of ``min_words``."""
-    runs = windows(words, min_words // 2)
-    if len(words) < min_words:
-        return runs, np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(runs, min_words - min_words // 2 + 1)
-    least = [view[i : i + 65536].argmin(axis=1) for i in range(0, len(view), 65536)]
-    return runs, np.concatenate(least) + np.arange(len(view))
-
-
-def _all_seeds(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds, and long seeds once each with the complement of their first position, which tells them apart."""
-    seeds, at = seeds_of(words)
-    runs, picked = long_seeds_of(words, min_words)
-    picked = np.unique(picked)
-    long, first = np.unique(runs[picked], return_index=True)
-    return np.concatenate([seeds, long]), np.concatenate([at, ~picked[first]])
+def blocks_of(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each block of a text the long seed and its place, the first and last run, and the hash of all words."""
+    n, k = len(words) - min_words + 1, min_words // 2
+    if n <= 0:
+        none = np.zeros(0, np.int64)
+        return none.view(np.uint64), none, none, none, none.view(np.uint64)
+    at = np.arange(len(words) - k + 1)
+    every = stretches(words, at, at + k)
+    least, reach = every, 1
+    wide = min_words - k + 1
+    while reach < wide:
+        step = min(reach, wide - reach)
+        least, reach = np.minimum(least[:-step], least[step:]), reach + step
+    first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+    last = np.concatenate([first[1:], [n]]) - 1
+    # The last run of a block begins at its long seed or before; the place is the first one from there on.
+    place = last.copy()
+    for _ in range(wide):
+        apart = np.flatnonzero(every[place] != least[first])
+        if not len(apart):
+            break
+        place[apart] += 1
+    return least[first], place, first, last, stretches(words, first, last + min_words)
 
 
 def _seed(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """Seeds, and blocks by their long seed; a block's position is a complement, which tells them apart."""
     for batch in batches:
         for start in range(0, batch.num_rows, 128):
             part = batch.slice(start, 128)
             ids = part["doc_id"].to_numpy(zero_copy_only=False)
-            found = [_all_seeds(words, min_words) for words in word_hashes(part["text"].to_pylist())]
-            if found:
+            rows = []
+            for words in word_hashes(part["text"].to_pylist()):
+                seeds, at = seeds_of(words)
+                long, place, first, last, block = blocks_of(words, min_words)
+                none = np.zeros(len(seeds), np.int64)
+                rows.append([
+                    np.concatenate([seeds, long]).view(np.int64), np.concatenate([at, ~place]),
+                    np.concatenate([none, first]), np.concatenate([none, last]), np.concatenate([none, block.view(np.int64)]),
+                ])
+            if rows:
+                seed, pos, first, last, block = (np.concatenate(x) for x in zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([h for h, _ in found]).view(np.int64)),
-                        pa.array(np.repeat(ids, [len(h) for h, _ in found]).astype(np.int64)),
-                        pa.array(np.concatenate([at for _, at in found]).astype(np.int32)),
+                        pa.array(seed),
+                        pa.array(np.repeat(ids, [len(row[0]) for row in rows]).astype(np.int64)),
+                        pa.array(pos.astype(np.int32)),
+                        pa.array(first.astype(np.int32)),
+                        pa.array(last.astype(np.int32)),
+                        pa.array(block),
                     ],
-                    ["seed", "doc", "pos"],
+                    ["seed", "doc", "pos", "first", "last", "block"],
                 )
 
 
 _CHAIN = pa.schema(
-    [*((c, pa.int64()) for c in ("doc", "home", "start", "end", "home_start", "home_end")), ("long", pa.binary())]
+    [
+        *((c, pa.int64()) for c in ("doc", "home", "start", "end", "home_start", "home_end")),
+        *((c, pa.int64()) for c in ("long", "block")),
+    ]
 )
 
 
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains of each document, from one row with all its matches; its shared long seeds in a row without a home."""
+def _chain(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """Chains of each document, from one row with all its matches; its blocks with a shared long seed have no home.
+
+    A block's ``start`` and ``end`` are its first and last run, ``home_start`` is 1 where its long seed has other blocks.
+    """
+    # A long seed's match is one of seeds at its start, its end and between.
+    ahead = np.unique(np.append(np.arange(0, max(min_words // 2 - SEED, 0), WINDOW), max(min_words // 2 - SEED, 0)))
     for batch in batches:
         for i in range(batch.num_rows):
             doc = batch["doc"][i].as_py()
             items = batch["matches"][i].values
-            home, home_pos, pos, seed = (
-                items.field(c).to_numpy(zero_copy_only=False) for c in ("home", "home_pos", "pos", "long")
+            home, home_pos, pos, first, last, block, seed, many = (
+                items.field(c).to_numpy(zero_copy_only=False)
+                for c in ("home", "home_pos", "pos", "first", "last", "block", "long", "many")
             )
-            if (pos < 0).any():
-                row = [[doc], *[[None]] * 5, [np.unique(seed[pos < 0]).tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _CHAIN)], schema=_CHAIN)
-            home, home_pos, pos = home[pos >= 0], home_pos[pos >= 0], pos[pos >= 0]
+            found = pos < 0
+            if found.any():
+                n = int(found.sum())
+                none = pa.nulls(n, pa.int64())
+                columns = [
+                    np.full(n, doc, np.int64), none, first[found], last[found], many[found], none, seed[found], block[found]
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [c if c is none else pa.array(c.astype(np.int64)) for c in columns], schema=_CHAIN
+                )
+            short, long = pos >= 0, (pos < 0) & (home != doc) & (min_words // 2 >= SEED)
+            home = np.concatenate([home[short], np.repeat(home[long], len(ahead))])
+            home_pos, pos = (
+                np.concatenate([x[short], (~x[long][:, None] + ahead).ravel()]) for x in (home_pos, pos)
+            )
+            if not len(home):
+                continue
             order = np.argsort(home, kind="stable")
             home, home_pos, pos = home[order], home_pos[order].astype(np.int64), pos[order].astype(np.int64)
             cuts = np.flatnonzero(np.diff(home)) + 1
@@ -125,8 +168,8 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if p1 + n - p0 >= MIN_CHAIN:
                         rows.append((doc, int(home[lo]), p0, p1 + n, q0, q1 + n))
             if rows:
-                columns = [*zip(*rows), [None] * len(rows)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CHAIN)], schema=_CHAIN)
+                columns = [*zip(*rows), [None] * len(rows), [None] * len(rows)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_CHAIN)
 
 
 _SLICE = pa.schema([("chain", pa.int64()), ("side", pa.int32()), ("at", pa.int64()), ("words", pa.binary())])
@@ -174,73 +217,101 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _run(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Hash, document and position of the runs of ``min_words`` whose long seed is shared."""
+    """Hash, document and position of the runs of the asked blocks."""
     for batch in batches:
         for i in range(batch.num_rows):
             words = next(word_hashes([batch["text"][i].as_py()]))
-            runs, at = long_seeds_of(words, min_words)
-            starts = np.flatnonzero(np.isin(runs[at], np.frombuffer(batch["long"][i].as_py(), np.uint64)))
-            if not len(starts):
-                continue
-            whole = windows(words, min_words)[starts].view(np.int64)
-            for lo in range(0, len(starts), 65536):
-                part = starts[lo : lo + 65536]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(whole[lo : lo + 65536]),
-                        pa.array(np.full(len(part), batch["doc_id"][i].as_py(), np.int64)),
-                        pa.array(part.astype(np.int32)),
-                    ],
-                    ["run", "doc", "pos"],
-                )
+            asked = batch["asked"][i].values
+            first, last = (asked.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "last"))
+            inside = last + min_words <= len(words)  # not so in another text under the same doc_id
+            for lo, hi in zip(first[inside].tolist(), last[inside].tolist()):
+                for start in range(lo, hi + 1, 65536):
+                    at = np.arange(start, min(start + 65536, hi + 1))
+                    runs = stretches(words[start : at[-1] + min_words], at - start, at - start + min_words)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(runs.view(np.int64)),
+                            pa.array(np.full(len(at), batch["doc_id"][i].as_py(), np.int64)),
+                            pa.array(at.astype(np.int32)),
+                        ],
+                        ["run", "doc", "pos"],
+                    )
 
 
 def _exact(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Stretches of successive repeated runs with one home, from one row per document."""
+    """Stretches of successive repeated blocks and runs with one home, from one row per document."""
     for batch in batches:
         for i in range(batch.num_rows):
             items = batch["runs"][i].values
-            pos, home, home_pos = (
-                items.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "home", "home_pos")
+            first, last, home, home_pos = (
+                items.field(c).to_numpy(zero_copy_only=False).astype(np.int64)
+                for c in ("first", "last", "home", "home_pos")
             )
-            order = np.lexsort((home, pos))
-            pos, home, home_pos = pos[order], home[order], home_pos[order]
-            first = np.concatenate([[0], np.flatnonzero((np.diff(pos) > 1) | (np.diff(home) != 0)) + 1])
-            last = np.concatenate([first[1:], [len(pos)]]) - 1
-            start, end = pos[first], pos[last] + min_words
-            columns = [
-                np.full(len(first), batch["doc"][i].as_py(), np.int64), home[first], start, end,
-                home_pos[first], np.maximum.reduceat(home_pos, first) + min_words, end - start,
-            ]
+            order = np.lexsort((home, first))
+            first, last, home, home_pos = first[order], last[order], home[order], home_pos[order]
+            cut = np.flatnonzero((first[1:] > last[:-1] + 1) | (np.diff(home) != 0)) + 1
+            begin = np.concatenate([[0], cut])
+            start, end = first[begin], np.maximum.reduceat(last, begin) + min_words
+            other_end = np.maximum.reduceat(home_pos + last - first, begin) + min_words
+            doc = np.full(len(begin), batch["doc"][i].as_py(), np.int64)
+            columns = [doc, home[begin], start, end, home_pos[begin], other_end, end - start]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_PASSAGE)
 
 
 def matches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Occurrences of shared seeds beside their home: (doc, pos, home, home_pos, long).
+    """Occurrences of shared seeds beside their home: (doc, pos, home, home_pos, first, last, block, long, many).
 
-    Positions of long seeds are complements, ``long`` is their hash, and their home has a row too.
+    Positions of blocks are complements of their long seed's; ``long`` is their long seed, ``many`` whether it has different blocks, and
+    their home has a row too.
     """
     texts = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
     texts = texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = texts.mapInArrow(lambda batches: _seed(batches, min_words), "seed long, doc long, pos int")
-    homes = found.groupBy("seed").agg(F.expr("min(struct(doc, pos)) AS home"), F.max("doc").alias("last"))
-    homes = homes.where("last > home.doc").select("seed", "home")
+    found = texts.mapInArrow(
+        lambda batches: _seed(batches, min_words), "seed long, doc long, pos int, first int, last int, block long"
+    )
+    homes = found.groupBy("seed").agg(
+        F.expr("min(struct(doc, pos)) AS home"), F.max("doc").alias("latest"), F.expr("min(block) < max(block) AS many")
+    )
+    homes = homes.where("latest > home.doc").select("seed", "home", "many")
     met = found.join(homes, "seed").where("doc > home.doc OR pos < 0")
-    return met.selectExpr("doc", "pos", "home.doc AS home", "home.pos AS home_pos", "IF(pos < 0, seed, 0L) AS long")
+    return met.selectExpr(
+        "doc", "pos", "home.doc AS home", "home.pos AS home_pos", "first", "last", "block", "IF(pos < 0, seed, 0L) AS long",
+        "CAST(many AS INT) AS many",
+    )
+
 
+def exact_repeats(texts: DataFrame, blocks: DataFrame, min_words: int) -> DataFrame:
+    """Passages all of whose runs of ``min_words`` an earlier document has, from the blocks with a shared long seed.
 
-def exact_repeats(texts: DataFrame, shared: DataFrame, min_words: int) -> DataFrame:
-    """Passages all of whose runs of ``min_words`` an earlier document has, from the shared long seeds of each document."""
-    runs = texts.join(shared, "doc_id").select("doc_id", "text", "long").mapInArrow(
+    A block in a later document than its first one is known whole. So only the blocks of their first document are
+    asked for single runs, and only where their long seed has other blocks.
+    """
+    firsts = blocks.groupBy("block", "long").agg(
+        F.expr("min(struct(doc, first, last)) AS home"), F.max("doc").alias("latest"), F.max("many").alias("many")
+    )
+    firsts = staged(firsts, "blocks")
+    known = firsts.where("latest > home.doc").select("block", "long", "home")
+    whole = blocks.join(known, ["block", "long"]).where("doc > home.doc").selectExpr(
+        "doc", "first", "last", "home.doc AS home", "home.first AS home_pos"
+    )
+    several = firsts.where("many = 1").select("block", "long", "home")
+    asked = blocks.join(several, ["block", "long"]).where("doc = home.doc").groupBy(F.col("doc").alias("doc_id")).agg(
+        F.collect_set(F.struct("first", "last")).alias("asked")
+    )
+    runs = texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(
         lambda batches: _run(batches, min_words), "run long, doc long, pos int"
     )
     runs = staged(runs, "runs")
-    homes = runs.groupBy("run").agg(F.expr("min(struct(doc, pos)) AS home"), F.max("doc").alias("last"))
-    homes = homes.where("last > home.doc").select("run", "home")
-    met = runs.join(homes, "run").where("doc > home.doc").selectExpr(
-        "doc", "pos", "home.doc AS home", "home.pos AS home_pos"
+    homes = runs.groupBy("run").agg(F.expr("min(struct(doc, pos)) AS home"), F.max("doc").alias("latest"))
+    homes = homes.where("latest > home.doc").select("run", "home")
+    single = runs.join(homes, "run").where("doc > home.doc").selectExpr(
+        "doc", "CAST(pos AS BIGINT) AS first", "CAST(pos AS BIGINT) AS last", "home.doc AS home",
+        "CAST(home.pos AS BIGINT) AS home_pos",
+    )
+    met = whole.unionByName(single).groupBy("doc").agg(
+        F.collect_list(F.struct("first", "last", "home", "home_pos")).alias("runs")
     )
-    return met.groupBy("doc").agg(F.collect_list(F.struct("pos", "home", "home_pos")).alias("runs")).mapInArrow(
+    return met.mapInArrow(
         lambda batches: _exact(batches, min_words),
         "doc long, home long, start long, end long, home_start long, home_end long, matched long",
     )
@@ -250,14 +321,17 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Aligned passages with one home each: doc, home, start, end, home_start, home_end, matched; positions in words."""
     texts = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
     grouped = matches(docs, min_words).groupBy("doc").agg(
-        F.collect_list(F.struct("home", "home_pos", "pos", "long")).alias("matches")
+        F.collect_list(F.struct("home", "home_pos", "pos", "first", "last", "block", "long", "many")).alias("matches")
     )
     found = grouped.mapInArrow(
-        _chain, "doc long, home long, start long, end long, home_start long, home_end long, long binary"
+        lambda batches: _chain(batches, min_words),
+        "doc long, home long, start long, end long, home_start long, home_end long, long long, block long",
     )
     found = staged(found.withColumn("chain", F.expr("xxhash64(doc, home, start, home_start)")), "chains")
-    shared = found.where("long IS NOT NULL").selectExpr("doc AS doc_id", "long")
-    found = found.where("long IS NULL").drop("long")
+    blocks = found.where("home IS NULL").selectExpr(
+        "doc", "start AS first", "end AS last", "home_start AS many", "long", "block"
+    )
+    found = found.where("home IS NOT NULL").drop("long", "block")
     wanted = found.selectExpr(
         """inline(array(struct(doc AS doc_id, struct(chain, 0 AS side, start, end) AS ask),
                         struct(home AS doc_id, struct(chain, 1 AS side, home_start AS start, home_end AS end) AS ask)))"""
@@ -276,7 +350,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     near = pairs.selectExpr("doc", "home", "d.at", "d.words", "a.at AS home_at", "a.words AS home_words").mapInArrow(
         _align, "doc long, home long, start long, end long, home_start long, home_end long, matched long"
     )
-    return near.unionByName(exact_repeats(named, shared, min_words))
+    return near.unionByName(exact_repeats(named, blocks, min_words))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

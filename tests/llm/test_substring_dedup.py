@@ -83,6 +83,22 @@ def test_periodic_passages(spark):
     assert sorted(found) == sorted([*range(1, 18, 3), *range(2, 18, 3)])
 
 
+def test_passages_whose_seeds_were_seen_elsewhere(spark):
+    """Every run of 12 words of a passage has an earlier home, one document each; the passage is exact or changed."""
+    rng = np.random.default_rng(5)
+    passage = prose(rng, 98)
+    pieces = [prose(rng, 40) + passage[at : at + 12] + prose(rng, 40) for at in range(0, 98, 6)]
+    changed = passage[:49] + ["changed"] + passage[50:]
+    docs = pieces + [prose(rng, 60) + passage + prose(rng, 60)]
+    n = len(docs)
+    docs += [prose(rng, 50) + passage[20:72] + prose(rng, 50), prose(rng, 50) + changed + prose(rng, 50)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    rows = substring_dedup.repeated_passages(df).collect()
+    check(df, rows)
+    spans = {r.doc_id: (r.start, r.end, r.source_doc_id) for r in rows if r.doc_id >= n}
+    assert spans == {n: (50, 102, n - 1), n + 1: (50, 148, n - 1)}
+
+
 def test_every_exact_repeat_at_a_larger_scale(spark):
     """Brute force over sf0.1, whose repeats have periodic ones and ones with seeds of many homes among them."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
