@@ -25,10 +25,14 @@ def _short_batches(stage: Stage) -> Stage:
 
 
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language, which replaces ``lang``; those without a letter go."""
+    """Documents with a recognised language, which replaces ``lang``; those without a letter go.
+
+    Where no document has both a language and letters, nothing can be recognised: ``lang`` stays as it is.
+    """
     profiles = language_id.fit(docs)
-    known = language_id.predict(docs, profiles).where(f"lang_pred <> '{language_id.UNKNOWN}'")
-    return known.withColumn("lang", known.lang_pred).select(*docs.columns)
+    # Any profile tells the texts with a letter from those without.
+    known = language_id.predict(docs, profiles or {"any": [0]}).where(f"lang_pred <> '{language_id.UNKNOWN}'")
+    return (known.withColumn("lang", known.lang_pred) if profiles else known).select(*docs.columns)
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

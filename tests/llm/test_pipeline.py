@@ -55,6 +55,17 @@ def test_stages_one_by_one(spark, documents, tmp_path):
     assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, SMALL).collect()) == last
 
 
+def test_unlabelled_documents_stay(spark):
+    rows = [(1, "some words", None), (2, "123 ...", None), (3, None, None), (4, "", None), (5, "é", None), (6, None, "en"), (7, "9", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = corpus_pipeline.STAGES[0][1](spark, docs, SMALL)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.lang) for r in out.collect()) == [(1, None), (5, None)]
+    half = docs.union(spark.createDataFrame([(8, "labelled text", "en")], docs.schema))
+    out = corpus_pipeline.STAGES[0][1](spark, half, SMALL)
+    assert sorted((r.doc_id, r.lang) for r in out.collect()) == [(1, "en"), (5, "en"), (8, "en")]
+
+
 def test_queries_are_registered_and_the_rest_stands_alone(tmp_path):
     entry = importlib.import_module("__spark_entry__")
     names = list(entry.queries())
