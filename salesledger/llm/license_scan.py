@@ -11,14 +11,16 @@ are those of all windows, the cost is that of the marked ones.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 3
 CONTAINED = 0.75
-BANDS, ROWS = 8, 2
+BANDS, ROWS = 16, 2
 CERTAIN = 0.99
-"""Least chance that a window with the threshold's similarity shares a band with its template."""
+"""Least chance that a window with the threshold's containment shares a band with its template."""
 
 MOST_TEMPLATES = 4096
 MOST_TOKENS = 512
@@ -42,6 +44,12 @@ def band_chance(similarity: float, bands: int = BANDS, rows: int = ROWS) -> floa
     return 1 - (1 - similarity**rows) ** bands
 
 
+def least_similarity(contained: float, shingles: int, window: int) -> float:
+    """Least Jaccard similarity, by which bands meet, of a template's shingles and a window that holds enough of them."""
+    shared = max(1, math.ceil(contained * shingles - 1e-9))
+    return shared / (window + shingles - shared)
+
+
 def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     return spark.createDataFrame(list(templates.items()), "license string, template string")
 
@@ -86,10 +94,11 @@ def scan(
     ``templates`` has license and template; it defaults to ``TEMPLATES``. Places of one license that overlap give their
     best one, the first of equals. Null and empty texts, and texts without a match, have no rows; a repeated row gives
     its matches once. Templates need as many tokens as a shingle has. Texts are read whole. Raises where band settings
-    miss a window of the threshold's similarity more often than 1 - CERTAIN, and where the template table is
+    miss a window of the threshold's containment more often than 1 - CERTAIN, for any template or for one of the table
+    that repeats its shingles, and where the template table is
     larger than its bound.
     """
-    if band_chance(contained, bands, rows) < CERTAIN:
+    if band_chance(contained / (2 - contained), bands, rows) < CERTAIN:
         raise ValueError("more bands or fewer rows are needed to find matches with high probability")
     spark = docs.sparkSession
     templates = template_table(spark) if templates is None else templates
@@ -105,6 +114,10 @@ def scan(
     known = wanted.limit(MOST_TEMPLATES + 1).collect()
     if len(known) > MOST_TEMPLATES or any(row.n > MOST_TOKENS for row in known):
         raise ValueError(f"a scan takes {MOST_TEMPLATES} templates of {MOST_TOKENS} tokens at most")
+    for row in known:
+        similarity = least_similarity(contained, len(row.set), row.n - SHINGLE + 1)
+        if band_chance(similarity, bands, rows) < CERTAIN:
+            raise ValueError(f"more bands or fewer rows are needed for the template of {row.license}")
     marks = sorted({s for row in known for s in row.m})
     lengths = sorted({row.n for row in known})
     if not marks:

@@ -76,6 +76,30 @@ def test_odd_rows_and_bounds(spark, odd_documents):
     assert license_scan.band_chance(0.75) > 0.99
 
 
+def test_bands_are_sure_for_the_threshold(spark):
+    """Bands meet by Jaccard similarity: a window that holds 3/4 of the template has 0.6, one that holds half 1/3."""
+    assert license_scan.band_chance(license_scan.least_similarity(0.75, 4, 4)) > 0.999
+    for contained, bands in [(0.5, 17), (0.75, 8)]:
+        assert license_scan.band_chance(contained, bands, 2) > 0.99
+        with pytest.raises(ValueError, match="bands"):
+            license_scan.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"), None, contained, bands)
+    repeated = spark.createDataFrame([("X", "a " * 100)], "license string, template string")
+    with pytest.raises(ValueError, match="template of X"):
+        license_scan.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"), repeated)
+
+
+def test_every_edit_of_a_notice_is_found(spark):
+    """Any neighbouring words of a notice replaced, at every place, as long as enough of it is left."""
+    texts = []
+    for template in TEMPLATES.values():
+        words = tokens(template)
+        for n in (1, 2, 3, 4):
+            for at in range(len(words) - n + 1):
+                edited = words[:at] + [f"new{k}" for k in range(n)] + words[at + n :]
+                texts.append((len(texts), "some words before " + " ".join(edited) + " and some words after"))
+    assert rows(license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string"))) == brute(texts)
+
+
 def test_plan_has_no_python(spark, documents):
     plan = license_scan.scan(documents)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
