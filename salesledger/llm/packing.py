@@ -58,8 +58,9 @@ def _encoder(path: str):  # noqa: ANN202
     as_byte = _bytes_of()
     added = {token["content"] for token in tokens["added_tokens"]}
     ranks = {bytes(map(as_byte.get, token)): rank for token, rank in tokens["model"]["vocab"].items() if token not in added}
-    encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    closing = np.zeros(max(ranks.values()) + 1, bool)
+    special = {token["content"]: token["id"] for token in tokens["added_tokens"]}
+    encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    closing = np.zeros(max([*ranks.values(), *special.values()]) + 1, bool)
     for token, rank in ranks.items():
         closing[rank] = token[-1:] in (b".", b"!", b"?") or b"\n" in token
     return encoding, closing
@@ -71,10 +72,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def token_ids(text: str | None, path: str) -> np.ndarray:
-    """Ids of a text followed by the end token; strings that look like special tokens are ordinary text."""
+def token_ids(text: str | None, path: str, special: bool = False) -> np.ndarray:
+    """Ids of a text followed by the end token.
+
+    Strings that look like special tokens are ordinary text, or with ``special`` have the ids of the file's added tokens,
+    as tokenizers gives them for the file as it loads.
+    """
     encoding, _ = _encoder(path)
-    ids = encoding.encode_to_numpy(text) if text else np.zeros(0, np.uint32)
+    allowed = "all" if special else set()
+    ids = encoding.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()) if text else np.zeros(0, np.uint32)
     return np.append(ids, np.uint32(END))
 
 
@@ -176,7 +182,8 @@ class _Packer:
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
     """One row per piece of a document in a sequence: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null or empty text is one end token. Documents follow each other by doc_id, then text; rows that repeat a doc_id
+    The ids are those of the tokenizers file as it loads, special tokens in a text included. A null or empty text is one
+    end token. Documents follow each other by doc_id, then text; rows that repeat a doc_id
     are packed each on its own, rows without one come first. A document of any length is cut over as many sequences as it
     needs, and an empty table gives no rows. Other columns are not read. ``sequence_id`` is unique, not gapless.
     """
@@ -193,7 +200,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) ->
         for batch in batches:
             for doc_id, text, part in zip(*(batch[c] for c in ("doc_id", "text", "part"))):
                 packer = packer or _Packer(part.as_py(), closing, length)
-                out += packer.add(doc_id.as_py(), token_ids(text.as_py(), path))
+                out += packer.add(doc_id.as_py(), token_ids(text.as_py(), path, special=True))
                 if len(out) >= 4096:
                     yield _pieces(out)
                     out = []

@@ -31,6 +31,18 @@ def test_special_names_are_text():
     assert packing.token_ids(text, PATH).tolist() == ids_of(text) and 50256 not in packing.token_ids(text, PATH)
 
 
+def test_pack_gives_the_ids_of_the_file_as_it_loads(spark):
+    loaded = Tokenizer.from_file(PATH)
+    texts = ["a<|endoftext|> b", "<|endoftext|><|endoftext|>", "x <|endoftext|>\n\n<|endoftext| >.", "plain. <|ENDOFTEXT|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.start, r.length, r.doc_tokens, r.ids_crc32) for r in packing.pack(df).collect()}
+    wanted = set()
+    for i, text in enumerate(texts):
+        ids = [*loaded.encode(text, add_special_tokens=False).ids, 1]
+        wanted.add((i, 0, len(ids), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert got == wanted and loaded.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 275]
+
+
 def cost(at, prices, length, picked):
     total = 0.0
     for i, j in zip(picked, picked[1:]):
