@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from salesledger.llm import (
     chat_perspectives,
+    fill_in_middle,
     language_id,
     license_scan,
     mixing,
@@ -17,6 +18,7 @@ from salesledger.llm import (
     quality_rules,
     sharding,
     substring_dedup,
+    url_filter,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +80,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fill_in_middle.digest(fill_in_middle.fill_in_middle(docs))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.verdicts(table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Query]:
     return {name: query for name, query in globals().items() if name.startswith("op")}
 
@@ -87,4 +99,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_perspectives": chat_perspectives.oracle_sql(),
         "op7_quality_rules": quality_rules.oracle_sql(),
         "op9_mixing": mixing.oracle_sql(),
+        "op12_fill_in_middle": fill_in_middle.oracle_sql(),
+        "op13_url_filter": url_filter.oracle_sql(),
     }

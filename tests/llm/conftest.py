@@ -12,7 +12,7 @@ sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])  # for the Python workers
 
 SMALL = "/root/testdata/sf0.001"
-TABLES = ("documents", "labels", "conversations", "embeddings")
+TABLES = ("documents", "labels", "conversations", "embeddings", "pages")
 
 
 @pytest.fixture(scope="session")

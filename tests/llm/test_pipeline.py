@@ -72,7 +72,7 @@ def test_queries_are_registered_and_the_rest_stands_alone(tmp_path):
     assert [n for n in names if n.startswith("op")] == sorted(
         [n for n in names if n.startswith("op")], key=lambda n: int(n[2:].split("_")[0])
     )
-    assert sum(n.startswith("op") for n in names) == 10 and "pipeline" in names
+    assert sum(n.startswith("op") for n in names) == 13 and "pipeline" in names
     assert set(entry.oracle_sql()) < set(names)
     code = (
         "import sys; sys.modules['salesledger.llm'] = sys.modules['corpus_pipeline'] = None; "
