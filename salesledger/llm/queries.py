@@ -15,6 +15,7 @@ from salesledger.llm import (
     near_dedup,
     nearest,
     packing,
+    prefix_trie,
     quality_rules,
     sharding,
     substring_dedup,
@@ -80,6 +81,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(turns))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return fill_in_middle.digest(fill_in_middle.fill_in_middle(docs))
@@ -99,6 +105,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_perspectives": chat_perspectives.oracle_sql(),
         "op7_quality_rules": quality_rules.oracle_sql(),
         "op9_mixing": mixing.oracle_sql(),
+        "op11_prefix_trie": prefix_trie.oracle_sql(),
         "op12_fill_in_middle": fill_in_middle.oracle_sql(),
         "op13_url_filter": url_filter.oracle_sql(),
     }

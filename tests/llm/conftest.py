@@ -56,6 +56,6 @@ def same(got, expected):
     """Rows of a Spark and a DuckDB result agree, whatever their order."""
     names = sorted(got.columns)
     assert names == sorted(expected.columns)
-    left = sorted((tuple(map(str, row)) for row in got.select(*names).toPandas().itertuples(index=False)))
-    right = sorted((tuple(map(str, row)) for row in expected.df()[names].itertuples(index=False)))
+    left = sorted(tuple(map(str, row)) for row in got.select(*names).collect())
+    right = sorted(tuple(map(str, row)) for row in expected.select(*names).fetchall())
     assert left == right
