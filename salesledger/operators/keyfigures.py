@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from salesledger import schema as S
 from salesledger.functions import labels
 from salesledger.functions.dates import month_of
+from salesledger.functions.keys import site_of
 
 
 @dataclass(frozen=True)
@@ -131,13 +132,15 @@ def _known(name: str, allowed: list[str], alias: str) -> str:
 
 
 def label_sums(intermediate: DataFrame) -> DataFrame:
-    """Sums by day and label combination: at most a few hundred rows per day."""
+    """Sums by site, day and label combination: at most a few hundred rows per site and day."""
     kitchen = "topic = 'MiTi' AND owner = 'MiTi' AND purpose <> 'Tip'"
     meals = " | ".join(
         f"CASE WHEN {kitchen} AND ({labels.MEALS[kind]}) THEN {_meal_bit(kind)} ELSE 0 END"
         for kind in labels.MEAL_TYPES
     )
+    site = site_of(intermediate)
     keyed = intermediate.where("date IS NOT NULL").selectExpr(
+        *site,
         "date",
         _known("topic", S.TOPICS, "topic"),
         _known("owner", S.OWNERS, "owner"),
@@ -148,13 +151,14 @@ def label_sums(intermediate: DataFrame) -> DataFrame:
         "coalesce(commission, 0) AS commission",
         "coalesce(quantity, 0) AS quantity",
     )
-    return keyed.groupBy("date", "topic", "owner", "method", "tip", "meals").agg(
+    return keyed.groupBy(*site, "date", "topic", "owner", "method", "tip", "meals").agg(
         F.sum("net").alias("net"), F.sum("commission").alias("commission"), F.sum("quantity").alias("quantity")
     )
 
 
 def daily_key_figures(intermediate: DataFrame, figures: list[Figure] | None = None) -> DataFrame:
-    """One row per day with every key figure, and the month it belongs to."""
+    """One row per site and day with every key figure, and the month it belongs to."""
     chosen = FIGURES if figures is None else figures
-    daily = label_sums(intermediate).groupBy("date").agg(*[F.expr(f.aggregate()) for f in chosen])
-    return daily.select(month_of(F.col("date")).alias("month"), "*")
+    site = site_of(intermediate)
+    daily = label_sums(intermediate).groupBy(*site, "date").agg(*[F.expr(f.aggregate()) for f in chosen])
+    return daily.select(*site, month_of(F.col("date")).alias("month"), *daily.columns[len(site) :])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesledger import schema as S
+from salesledger.functions.keys import site_of
 from salesledger.functions.money import round2, total
 
 # --- fixed values ------------------------------------------------------------------------------------
@@ -67,7 +68,7 @@ def derive_measures(daily: DataFrame) -> DataFrame:
 
 def details_report(daily: DataFrame) -> DataFrame:
     """The 76 columns of the details report, one row per day, from the daily key figures."""
-    return derive_measures(daily).select("month", *S.DETAILS_REPORT)
+    return derive_measures(daily).select(*site_of(daily), "month", *S.DETAILS_REPORT)
 
 
 def with_total_rows(details: DataFrame) -> DataFrame:
@@ -76,8 +77,9 @@ def with_total_rows(details: DataFrame) -> DataFrame:
     The total row has no date and ``is_total`` set. Only daily rows are summed, never the sales again.
     """
     measures = [name for name in S.DETAILS_REPORT if name != "date"]
-    month, date = F.col("month"), F.col("date")
-    both = details.groupingSets([[month, date], [month]], month, date).agg(
+    site = site_of(details)
+    period, date = [F.col(name) for name in (*site, "month")], F.col("date")
+    both = details.groupingSets([[*period, date], period], *period, date).agg(
         (F.grouping("date") == 1).alias("is_total"), *[F.expr(f"sum({name}) AS {name}") for name in measures]
     )
 
@@ -85,4 +87,4 @@ def with_total_rows(details: DataFrame) -> DataFrame:
         kind = "BIGINT" if name in S.COUNT_MEASURES else "DECIMAL(18, 2)"
         return f"CAST(CASE WHEN is_total THEN coalesce({name}, 0) ELSE {name} END AS {kind}) AS {name}"
 
-    return both.selectExpr("month", "date", "is_total", *[filled(name) for name in measures])
+    return both.selectExpr(*site, "month", "date", "is_total", *[filled(name) for name in measures])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from salesledger import schema as S
 from salesledger.functions import dates
+from salesledger.functions.keys import site_of
 from salesledger.functions.money import zero
 from salesledger.operators.skew import spread_join
 
@@ -26,7 +27,7 @@ def shift_changes(transactions: DataFrame, order_by: Column | None = None) -> Da
         .where(~dates.is_weekend(F.col("date")))
     )
     last = F.max("time") if order_by is None else F.max_by(F.col("time"), order_by)
-    return found.groupBy("date").agg(last.alias("shift_change"))
+    return found.groupBy(*site_of(transactions), "date").agg(last.alias("shift_change"))
 
 
 def unreadable_times(transactions: DataFrame) -> DataFrame:
@@ -43,6 +44,7 @@ def _completed() -> Column:
 def commission_base(transactions: DataFrame) -> DataFrame:
     """Total, fee, tip and time of the completed revenue transactions."""
     return transactions.where(_completed()).select(
+        *site_of(transactions),
         "transaction_id",
         F.col("amount").alias("commissioned_total"),
         "fee",
@@ -61,17 +63,20 @@ def tip_lines(
     """
     if grain not in ("line", "transaction"):
         raise ValueError(f"unknown grain: {grain}")
-    headers = sales.where(F.col("transaction_id").isNotNull()).select(TIP_HEADER)
-    tips = base.where(F.col("tip") > 0).select("transaction_id", "tip").distinct()
+    site = site_of(sales, base)
+    keys = [*site, "transaction_id"]
+    headers = sales.where(F.col("transaction_id").isNotNull()).select(*site, *TIP_HEADER)
+    tips = base.where(F.col("tip") > 0).select(*keys, "tip").distinct()
     # Most transactions have no tip: theirs go before anything is made distinct.
-    tipped = spread_join(headers, tips, "transaction_id", "inner", hot)
+    tipped = spread_join(headers, tips, keys, "inner", hot)
     if grain == "line":
         tipped = tipped.distinct()
     else:
         rest = [c for c in TIP_HEADER if c != "transaction_id"]
         first = F.min(F.struct(*rest)).alias("first")
-        tipped = tipped.groupBy("transaction_id", "tip").agg(first).select("transaction_id", "first.*", "tip")
+        tipped = tipped.groupBy(*keys, "tip").agg(first).select(*keys, "first.*", "tip")
     return tipped.select(
+        *site,
         "sold_at",
         "kind",
         "transaction_id",

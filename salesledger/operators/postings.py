@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from salesledger import schema as S
 from salesledger.functions.dates import last_of_month, month_of
+from salesledger.functions.keys import site_of
 from salesledger.functions.money import round2, zero
 
 # --- fixed values ------------------------------------------------------------------------------------
@@ -64,7 +65,7 @@ def balance_violations(accounting: DataFrame) -> DataFrame:
             for a in BALANCES
         ]
     )
-    rows = accounting.select("month", "date", "is_total", F.inline(checks))
+    rows = accounting.select(*site_of(accounting), "month", "date", "is_total", F.inline(checks))
     return rows.where(F.abs("net") > F.lit(TOLERANCE).cast(S.MONEY))
 
 
@@ -72,17 +73,19 @@ BLANKS = ["beleg", "rechnung", "anzahl", "einheit", "preis_einheit"]
 """Ledger columns that no posting fills: empty text, or null in the rounding correction."""
 
 
-def _ledger_row(**values: Column) -> list[Column]:
+def _ledger_row(site: list[str], **values: Column) -> list[Column]:
     blank = F.lit("")
     columns = {**{name: blank for name in S.LEDGER_REPORT}, **values}
-    return [F.col("month"), *[columns[name].alias(name) for name in S.LEDGER_REPORT]]
+    return [*[F.col(name) for name in (*site, "month")], *[columns[name].alias(name) for name in S.LEDGER_REPORT]]
 
 
 def _posted(accounting: DataFrame, entries: list[Column]) -> DataFrame:
     """Entries of the total row of each month as ledger rows, without those that amount to zero."""
-    long = accounting.where(F.col("is_total")).select("month", F.inline(F.array(*entries)))
+    site = site_of(accounting)
+    long = accounting.where(F.col("is_total")).select(*site, "month", F.inline(F.array(*entries)))
     return long.where(F.col("betrag_chf") != 0).select(
         *_ledger_row(
+            site,
             datum=F.when(F.col("dated"), last_of_month(F.col("month"))),
             beschreibung=F.col("beschreibung"),
             kt_soll=F.col("kt_soll"),
@@ -150,6 +153,7 @@ def _rentals(intermediate: DataFrame) -> DataFrame:
         .withColumn("month", month_of(F.col("date")))
         .select(
             *_ledger_row(
+                site_of(intermediate),
                 datum=F.col("date"),
                 beschreibung=F.col("description"),
                 kt_soll=_money_account(),
@@ -162,17 +166,18 @@ def _rentals(intermediate: DataFrame) -> DataFrame:
 
 def _paid_out(intermediate: DataFrame) -> DataFrame:
     """Per day: what came in for partners by payment method, and the sum paid out to them in cash."""
+    site = site_of(intermediate)
     by_method = (
         intermediate.where(F.col("owner") == "PaidOut")
-        .groupBy("date", "payment_method")
+        .groupBy(*site, "date", "payment_method")
         .agg(F.sum(F.coalesce("price_net", zero())).alias("amount"))
     )
-    both = by_method.groupingSets(
-        [[F.col("date"), F.col("payment_method")], [F.col("date")]], F.col("date"), F.col("payment_method")
-    ).agg(F.grouping("payment_method").alias("out"), F.sum("amount").alias("amount"))
+    day, method = [F.col(name) for name in (*site, "date")], F.col("payment_method")
+    both = by_method.groupingSets([[*day, method], day], *day, method).agg(F.grouping("payment_method").alias("out"), F.sum("amount").alias("amount"))
     out, card = F.col("out") == 1, F.col("payment_method") == "Card"
     return both.withColumn("month", month_of(F.col("date"))).select(
         *_ledger_row(
+            site,
             datum=F.col("date"),
             beschreibung=F.when(out, PAID_OUT_TEXT)
             .when(card, CARD_TEXT)
@@ -195,11 +200,11 @@ def posting_details(intermediate: DataFrame) -> DataFrame:
 
 
 def _replaced(intermediate: DataFrame) -> DataFrame:
-    """Month and credit account of every posting of ``posting_details``, at most three accounts a month."""
+    """Month and credit account of every posting of ``posting_details``, at most three accounts a site and month."""
     accounts = f"""concat(IF(topic = 'Rental', array('{RENTAL_ACCOUNT}'), array()),
                           IF(owner = 'PaidOut', array('{PAID_OUT_ACCOUNT}', '{CASH_ACCOUNT}'), array()))"""
     rows = detail_rows(intermediate).withColumn("month", month_of(F.col("date")))
-    return rows.select("month", F.explode(F.expr(accounts)).alias("kt_haben")).distinct()
+    return rows.select(*site_of(intermediate), "month", F.explode(F.expr(accounts)).alias("kt_haben")).distinct()
 
 
 def ledger(accounting: DataFrame, intermediate: DataFrame) -> DataFrame:
@@ -208,8 +213,9 @@ def ledger(accounting: DataFrame, intermediate: DataFrame) -> DataFrame:
     ``intermediate`` may be cut down to its ``detail_rows``.
     """
     details = posting_details(intermediate)
-    # At most three credit accounts per calendar month, so the list is small however many rows there are.
-    replaced = F.broadcast(_replaced(intermediate))
+    site = site_of(accounting, intermediate)
+    # At most three credit accounts per calendar month, so the list of one site is small however many rows there are.
+    replaced = _replaced(intermediate) if site else F.broadcast(_replaced(intermediate))
     summary = summary_with_correction(accounting)
-    kept = summary.where(F.col("kt_haben").isNotNull()).join(replaced, ["month", "kt_haben"], "left_anti")
+    kept = summary.where(F.col("kt_haben").isNotNull()).join(replaced, [*site, "month", "kt_haben"], "left_anti")
     return kept.select(details.columns).unionByName(details)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesledger import schema as S
+from salesledger.functions.keys import site_of
 from salesledger.functions.money import zero
 from salesledger.operators.payments import commission_base
 from salesledger.operators.skew import spread_join
@@ -22,28 +23,26 @@ def is_refund():
 def _ids_in_sales(sales: DataFrame) -> DataFrame:
     return (
         sales.where(F.col("transaction_id").isNotNull())
-        .groupBy("transaction_id")
+        .groupBy(*site_of(sales), "transaction_id")
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )
 
 
 def _ids_in_transactions(transactions: DataFrame) -> DataFrame:
     valid = F.col("status").isin(S.STATUS_DONE, S.STATUS_PLANNED) & F.col("transaction_id").isNotNull()
-    return transactions.where(valid).groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return transactions.where(valid).groupBy(*site_of(transactions), "transaction_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def missing_in_sales(sales: DataFrame, transactions: DataFrame) -> DataFrame:
     """Valid transactions without a sales line, with their number of rows."""
-    return _ids_in_transactions(transactions).join(
-        _ids_in_sales(sales).select("transaction_id"), "transaction_id", "left_anti"
-    )
+    keys = [*site_of(sales, transactions), "transaction_id"]
+    return _ids_in_transactions(transactions).join(_ids_in_sales(sales).select(keys), keys, "left_anti")
 
 
 def missing_in_transactions(sales: DataFrame, transactions: DataFrame) -> DataFrame:
     """Transactions with sales lines but no valid transaction, with their number of lines."""
-    return _ids_in_sales(sales).join(
-        _ids_in_transactions(transactions).select("transaction_id"), "transaction_id", "left_anti"
-    )
+    keys = [*site_of(sales, transactions), "transaction_id"]
+    return _ids_in_sales(sales).join(_ids_in_transactions(transactions).select(keys), keys, "left_anti")
 
 
 def reconcile(sales: DataFrame, transactions: DataFrame, summary: DataFrame | None = None) -> DataFrame:
@@ -51,15 +50,16 @@ def reconcile(sales: DataFrame, transactions: DataFrame, summary: DataFrame | No
 
     ``summary`` is a stored ``sales_summary`` of the same report.
     """
-    ids = _ids_in_sales(sales) if summary is None else summary.select("transaction_id", "n_rows")
+    keys = [*site_of(sales, transactions), "transaction_id"]
+    ids = _ids_in_sales(sales) if summary is None else summary.select(*keys, "n_rows")
     in_sales = ids.withColumnRenamed("n_rows", "sales_rows")
     in_transactions = _ids_in_transactions(transactions).withColumnRenamed("n_rows", "transaction_rows")
-    both = in_sales.join(in_transactions, "transaction_id", "full_outer")
+    both = in_sales.join(in_transactions, keys, "full_outer")
     missing = F.when(F.col("sales_rows").isNull(), "sales").when(
         F.col("transaction_rows").isNull(), "transactions"
     )
     return both.select(
-        "transaction_id", missing.alias("missing_in"), F.coalesce("sales_rows", "transaction_rows").alias("n_rows")
+        *keys, missing.alias("missing_in"), F.coalesce("sales_rows", "transaction_rows").alias("n_rows")
     ).where(F.col("missing_in").isNotNull())
 
 
@@ -67,7 +67,7 @@ def sales_summary(sales: DataFrame) -> DataFrame:
     """One row per transaction of the sales report: number of lines, net sum, and whether a line refunds it."""
     return (
         sales.where(F.col("transaction_id").isNotNull())
-        .groupBy("transaction_id")
+        .groupBy(*site_of(sales), "transaction_id")
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
             F.coalesce(F.sum("price_net"), zero()).cast(S.MONEY).alias("total_net"),
@@ -79,32 +79,33 @@ def sales_summary(sales: DataFrame) -> DataFrame:
 def refund_violations(sales: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     """Refunded transactions whose lines do not add up to exactly zero."""
     per_transaction = sales_summary(sales) if summary is None else summary
-    return per_transaction.where(F.col("refunded") & (F.col("total_net") != 0)).select("transaction_id", "total_net")
+    return per_transaction.where(F.col("refunded") & (F.col("total_net") != 0)).select(
+        *site_of(sales), "transaction_id", "total_net"
+    )
 
 
 def refunded_ids(sales: DataFrame) -> DataFrame:
-    return sales.where(is_refund()).select("transaction_id").distinct()
+    return sales.where(is_refund()).select(*site_of(sales), "transaction_id").distinct()
 
 
 def drop_refunded_sales(sales: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Sales without any line of a refunded transaction; lines without a transaction id stay."""
-    return spread_join(sales, refunded_ids(sales), "transaction_id", "left_anti", hot)
+    return spread_join(sales, refunded_ids(sales), [*site_of(sales), "transaction_id"], "left_anti", hot)
 
 
 def drop_refunded_transactions(
     sales: DataFrame, transactions: DataFrame, hot: DataFrame | None = None
 ) -> DataFrame:
     """Transactions without the refunded ones. A refund without an id removes the rows without an id."""
-    return spread_join(
-        transactions, refunded_ids(sales), "transaction_id", "left_anti", hot, null_safe=True
-    )
+    keys = [*site_of(sales, transactions), "transaction_id"]
+    return spread_join(transactions, refunded_ids(sales), keys, "left_anti", hot, null_safe=True)
 
 
 def duplicate_transactions(transactions: DataFrame) -> DataFrame:
     """Transaction ids booked more than once; each would repeat the sales lines it is joined to."""
     return (
         commission_base(transactions)
-        .groupBy("transaction_id")
+        .groupBy(*site_of(transactions), "transaction_id")
         .agg(F.count(F.lit(1)).alias("n_rows"))
         .where(F.col("transaction_id").isNotNull() & (F.col("n_rows") > 1))
     )

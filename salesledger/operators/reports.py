@@ -43,7 +43,7 @@ ACCOUNTING_FORMULAS = {
 
 
 def _keys(details: DataFrame) -> list[str]:
-    return [name for name in ("month", "is_total") if name in details.columns]
+    return [name for name in ("site", "month", "is_total") if name in details.columns]
 
 
 def partner_report(details: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesledger import schema as S
+from salesledger.functions.keys import SITE, site_of
 
 SHOWN = [
     "date",
@@ -28,6 +29,11 @@ ALLOWED = {
 }
 
 
+def shown(df: DataFrame) -> list[str]:
+    """The columns that tell a user which row is meant."""
+    return [*site_of(df), *SHOWN]
+
+
 def _blank(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -55,12 +61,12 @@ def _labelled(df: DataFrame, rules: dict[str, Column], columns: list[str]) -> Da
 
 def invalid_values(df: DataFrame, field: str) -> DataFrame:
     """Rows whose ``field`` is not one of the allowed values; a missing value counts as blank."""
-    return df.where(_invalid(field)).select(SHOWN)
+    return df.where(_invalid(field)).select(shown(df))
 
 
 def topic_owner_violations(df: DataFrame) -> DataFrame:
     """MiTi and Culture need an owner, every other topic must not have one."""
-    return _labelled(df, _owner_rules(), SHOWN)
+    return _labelled(df, _owner_rules(), shown(df))
 
 
 def violations(df: DataFrame) -> DataFrame:
@@ -68,7 +74,9 @@ def violations(df: DataFrame) -> DataFrame:
     rules = {f"invalid_{field}": _invalid(field) for field in ALLOWED}
     rules.update(_owner_rules())
     rules["missing_date"] = F.col("date").isNull()
-    return _labelled(df, rules, SHOWN)
+    if site_of(df):
+        rules["missing_site"] = F.col(SITE).isNull()
+    return _labelled(df, rules, shown(df))
 
 
 def zero_value_rows(df: DataFrame) -> DataFrame:
@@ -81,7 +89,7 @@ def unusual_owners(df: DataFrame) -> DataFrame:
     """Owner and topic pass the checks but the sale falls out of both owner splits."""
     miti = (F.col("topic") == "MiTi") & (F.col("owner") == "PaidOut")
     culture = (F.col("topic") == "Culture") & (F.col("owner") == "MiTi")
-    return df.where(miti | culture).select(SHOWN)
+    return df.where(miti | culture).select(shown(df))
 
 
 def tips_in_detail_postings(df: DataFrame) -> DataFrame:
@@ -89,6 +97,6 @@ def tips_in_detail_postings(df: DataFrame) -> DataFrame:
     detail = (F.col("topic") == "Rental") | (F.col("owner") == "PaidOut")
     return (
         df.where(detail & (F.col("purpose") == "Tip"))
-        .groupBy("date")
+        .groupBy(*site_of(df), "date")
         .agg(F.coalesce(F.sum("price_net"), F.lit(0)).cast(S.MONEY).alias("tips"))
     )

@@ -81,17 +81,20 @@ def run_prepare(
     mode: str = "errorifexists",
     staging_folder: str | None = None,
     multi_line: bool = False,
+    site_pattern: str | None = None,
 ) -> DataFrame:
     """Read both exports, check that they agree, write the intermediate table; returns rows without a price.
 
+    With ``site_pattern`` (see ``read_sales``) the files of several sites are worked on in one call.
+
     A failing check stores its rows under ``<target>_violations``. Tables in between are kept in ``staging_folder``, by
     default ``spark.checkpoint.dir``, and deleted at the end.
     """
     found = f"{target.rstrip('/')}_violations"
     with staging(spark, staging_folder) as stage:
         # CSV has no columns to skip, so the text is parsed once and every later step reads columns.
-        sales = stage(read_sales(spark, sales_path, multi_line, file_name=True))
-        transactions = stage(read_transactions(spark, transactions_path, multi_line, file_name=True))
+        sales = stage(read_sales(spark, sales_path, multi_line, True, site_pattern))
+        transactions = stage(read_transactions(spark, transactions_path, multi_line, True, site_pattern))
         for rows, date, name in (
             (sales, sale_date(F.col("sold_at")), SALES_FILE),
             (transactions, booking_date(F.col("booked_at")), TRANSACTIONS_FILE),
@@ -108,13 +111,14 @@ def run_prepare(
         fail_on(twice, "transactions booked more than once", f"{found}/duplicate_transactions")
         fail_on(unreadable_times(transactions), "transactions with an impossible time", f"{found}/times")
         facts = stage(transaction_facts(sales, transactions))
-        prepared = prepare(sales, transactions, stage(hot_keys(sales, "transaction_id")), facts=facts)
+        hot = stage(hot_keys(sales, ["site", "transaction_id"] if site_pattern else "transaction_id"))
+        prepared = prepare(sales, transactions, hot, facts=facts)
         if overrides is not None:
             twice = duplicate_overrides(overrides)
             fail_on(twice, "overrides that name a row more than once", f"{found}/duplicate_overrides")
             prepared = apply_overrides(prepared, overrides)
         sinks.write_intermediate(prepared, target, mode)
-    return validate.zero_value_rows(read_intermediate(spark, target))
+    return validate.zero_value_rows(read_intermediate(spark, target, sites=bool(site_pattern)))
 
 
 def run_reread(
@@ -124,22 +128,30 @@ def run_reread(
     extra: DataFrame | None = None,
     mode: str = "errorifexists",
     multi_line: bool = False,
+    site_pattern: str | None = None,
 ) -> None:
     """Store the hand-edited table, exported as cells, and further rows as the intermediate table to export from."""
-    rows = read_cells(spark, cells_path, multi_line)
+    rows = read_cells(spark, cells_path, multi_line, site_pattern)
     sinks.write_intermediate(rows if extra is None else add_rows(rows, extra), target, mode)
 
 
 def run_export(
-    spark: SparkSession, source: str, target: str, mode: str = "errorifexists", staging_folder: str | None = None
+    spark: SparkSession,
+    source: str,
+    target: str,
+    mode: str = "errorifexists",
+    staging_folder: str | None = None,
+    sites: bool = False,
 ) -> None:
     """Validate the intermediate table and write the four reports, the rows behind them once beside them.
 
+    ``sites`` says that the table was stored with a site; the reports then have one as well.
+
     The table is read for the validation, for the daily sums, for the few rows that are posted in detail, and to
     write the rows and those of the partner. Everything else follows from the daily table.
     """
     found = f"{target.rstrip('/')}_violations"
-    rows = read_intermediate(spark, source)
+    rows = read_intermediate(spark, source, sites)
     fail_on(validate.violations(rows), "invalid rows in the intermediate table", f"{found}/rows")
     with staging(spark, staging_folder) as stage:
         details = stage(details_with_totals(rows))

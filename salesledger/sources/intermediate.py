@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from salesledger import schema as S
+from salesledger.functions.keys import site_of, site_of_path
 from salesledger.sources.till_csv import read_csv
 
 # --- fixed values ------------------------------------------------------------------------------------
@@ -35,16 +37,22 @@ def coerce_cells(cells: DataFrame) -> DataFrame:
         "commission": "try_cast(commission AS DECIMAL(18, 4))",
         **{name: f"nullif(trim({name}), '')" for name in ("payment_method", "topic", "owner", "purpose")},
     }
-    return cells.selectExpr(*[f"{changed.get(name, name)} AS {name}" for name in S.INTERMEDIATE.names])
+    return cells.selectExpr(*site_of(cells), *[f"{changed.get(name, name)} AS {name}" for name in S.INTERMEDIATE.names])
 
 
-def read_cells(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
-    """Intermediate rows exported as CSV cells, under the file's own column names; see ``read_csv``."""
+def read_cells(
+    spark: SparkSession, path: str | list[str], multi_line: bool = False, site_pattern: str | None = None
+) -> DataFrame:
+    """Intermediate rows exported as CSV cells, under the file's own column names; see ``read_csv``, and ``read_sales`` for sites."""
     raw = read_csv(spark, path, multi_line)
-    cells = raw.selectExpr(*[f"`{name}` AS {inner}" for name, (inner, _) in S.INTERMEDIATE_COLUMNS.items()])
-    return coerce_cells(cells)
+    cells = [F.col(f"`{name}`").alias(inner) for name, (inner, _) in S.INTERMEDIATE_COLUMNS.items()]
+    site = [site_of_path(F.col("_metadata.file_path"), site_pattern).alias("site")] if site_pattern else []
+    return coerce_cells(raw.select(*site, *cells))
 
 
-def read_intermediate(spark: SparkSession, path: str) -> DataFrame:
-    """Intermediate table stored by ``write_intermediate``; a filter on ``month`` reads only those folders."""
-    return spark.read.schema(S.STORED_INTERMEDIATE).parquet(path)
+def read_intermediate(spark: SparkSession, path: str, sites: bool = False) -> DataFrame:
+    """Intermediate table stored by ``write_intermediate``; a filter on ``month`` reads only those folders.
+
+    ``sites`` says that it was stored with a site, whose folders a filter prunes as well.
+    """
+    return spark.read.schema(S.STORED_SITES if sites else S.STORED_INTERMEDIATE).parquet(path)

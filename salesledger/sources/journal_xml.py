@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesledger import schema as S
+from salesledger.functions.keys import site_of_path
 
 # --- fixed values ------------------------------------------------------------------------------------
 SHEET = "Journal"

@@ -7,15 +7,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesledger.functions.dates import month_of
+from salesledger.functions.keys import site_of
 from salesledger.operators.reports import named
 
 ROW_ORDER = ["date", "time", "transaction_id", "description"]
 
 
 def _by_month(df: DataFrame, path: str, order: list[str], mode: str) -> None:
-    even = df.hint("rebalance", "month")
+    folders = [*site_of(df), "month"]
+    even = df.hint("rebalance", *folders)
     sort = [F.col(f"`{name}`").asc_nulls_last() for name in order]
-    even.sortWithinPartitions("month", *sort).write.mode(mode).partitionBy("month").parquet(path)
+    even.sortWithinPartitions(*folders, *sort).write.mode(mode).partitionBy(*folders).parquet(path)
 
 
 def write_intermediate(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -31,5 +33,8 @@ def write_report(
 
 
 def write_closing(closing: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """At most one row per post, ordered by ``sort``, in one file."""
-    closing.coalesce(1).sortWithinPartitions("sort").write.mode(mode).parquet(path)
+    """At most one row per site and post, ordered by ``sort``; one file, or one folder per site."""
+    if site := site_of(closing):
+        closing.hint("rebalance", *site).sortWithinPartitions(*site, "sort").write.mode(mode).partitionBy(*site).parquet(path)
+    else:
+        closing.coalesce(1).sortWithinPartitions("sort").write.mode(mode).parquet(path)

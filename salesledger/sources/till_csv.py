@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesledger import schema as S
+from salesledger.functions.keys import site_of_path
 from salesledger.operators.normalize import normalize_sales, normalize_transactions
 
 
@@ -27,21 +28,36 @@ def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = Fals
     )
 
 
-def _typed(raw: DataFrame, columns: dict, file_name: bool) -> DataFrame:
+def _typed(raw: DataFrame, columns: dict, file_name: bool, site_pattern: str | None) -> DataFrame:
     """Columns by header name, so an export with more columns or another order reads the same."""
     named = [F.col(f"`{outer}`").cast(kind).alias(inner) for outer, (inner, kind) in columns.items()]
+    if site_pattern:
+        named.insert(0, site_of_path(F.col("_metadata.file_path"), site_pattern).alias("site"))
     return raw.select(*named, *[F.col("_metadata.file_name").alias("file_name")] * file_name)
 
 
 def read_sales(
-    spark: SparkSession, path: str | list[str], multi_line: bool = False, file_name: bool = False
+    spark: SparkSession,
+    path: str | list[str],
+    multi_line: bool = False,
+    file_name: bool = False,
+    site_pattern: str | None = None,
 ) -> DataFrame:
-    """Sales report, normalized; with ``file_name`` as a further column if asked."""
-    return normalize_sales(_typed(read_csv(spark, path, multi_line), S.SALES_COLUMNS, file_name))
+    """Sales report, normalized; with ``file_name`` as a further column if asked.
+
+    With ``site_pattern`` the files of several sites are read at once: its first group in a file's path is the ``site`` of
+    the file's rows, such as ``/site=([^/]+)/``. A path that it doesn't match is an error.
+    """
+    return normalize_sales(_typed(read_csv(spark, path, multi_line), S.SALES_COLUMNS, file_name, site_pattern))
 
 
 def read_transactions(
-    spark: SparkSession, path: str | list[str], multi_line: bool = False, file_name: bool = False
+    spark: SparkSession,
+    path: str | list[str],
+    multi_line: bool = False,
+    file_name: bool = False,
+    site_pattern: str | None = None,
 ) -> DataFrame:
-    """Transaction report, normalized; with ``file_name`` as a further column if asked."""
-    return normalize_transactions(_typed(read_csv(spark, path, multi_line), S.TRANSACTION_COLUMNS, file_name))
+    """Transaction report, normalized; see ``read_sales``."""
+    raw = read_csv(spark, path, multi_line)
+    return normalize_transactions(_typed(raw, S.TRANSACTION_COLUMNS, file_name, site_pattern))

@@ -13,6 +13,7 @@ from salesledger.functions import dates
 from salesledger.operators import closing, keyfigures, measures, normalize, payments, postings, reconcile, reports
 from salesledger.operators import redact, validate
 from salesledger.plans import close, export
+from salesledger.plans.prepare import prepare
 from salesledger.sources.intermediate import coerce_cells
 from verification import files, star
 from verification.oracle import CLOSING_MONTH, FIRST_MONTH
@@ -83,6 +84,28 @@ def _unreported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.select("month", "date", *[F.col(f.name).alias(f"f_{f.name}") for f in keyfigures.UNREPORTED])
 
 
+SITES = 2
+
+
+def _two_sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return star.sales(spark, sf_dir, SITES), star.transactions(spark, sf_dir, SITES)
+
+
+def _sites_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intermediate table of two sites that number their transactions alike, from one call; the same manual labels for both."""
+    return redact.apply_overrides(prepare(*_two_sites(spark, sf_dir)), star.overrides(spark, sf_dir), on=("description",))
+
+
+def _sites_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _sites_edited(spark, sf_dir)
+    return postings.ledger(export.accounting(rows), rows)
+
+
+def _sites_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = star.table(spark, sf_dir, "lineitem").select(F.expr(f"concat('s', l_orderkey % {SITES}) AS site"), "*")
+    return star.journal_of(parts)
+
+
 def catalog() -> dict[str, Query]:
     prepared, intermediate, transactions = star.prepared, star.intermediate, star.transactions
     plain: dict[str, Query] = {
@@ -159,5 +182,14 @@ def catalog() -> dict[str, Query]:
         "stored_intermediate": files.stored_intermediate,
         "stored_report": files.stored_report,
         "stored_closing": files.stored_closing,
+        "sites_reconcile": lambda s, d: reconcile.reconcile(*_two_sites(s, d)),
+        "sites_refund_violations": lambda s, d: reconcile.refund_violations(normalize.normalize_sales(_two_sites(s, d)[0])),
+        "sites_prepare": _sites_edited,
+        "sites_details": lambda s, d: export.details_with_totals(_sites_edited(s, d)),
+        "sites_ledger": _sites_ledger,
+        "sites_closing": lambda s, d: close.close_month(_sites_journal(s, d), star.budget(s, d), CLOSING_MONTH),
+        "sites_closing_by_month": lambda s, d: close.close_months(
+            _sites_journal(s, d), star.budget(s, d), FIRST_MONTH, CLOSING_MONTH
+        ),
     }
     return {name: (lambda s, d, q=query: out(q(s, d))) for name, query in plain.items()}

@@ -541,6 +541,31 @@ def _by_month(period: str) -> str:
         FROM nets n LEFT JOIN yearly y ON n.post_key = y.post_key AND CAST(left(month, 4) AS INTEGER) = y.year"""
 
 
+def _per_site(chain: str, select: str) -> str:
+    """The same chain once for each of two sites, which number their transactions from their own orders."""
+    parts = []
+    for site in (0, 1):
+        own = chain.replace("FROM orders", f"FROM (SELECT * FROM orders WHERE o_orderkey % 2 = {site})")
+        own = own.replace("'T' || o_orderkey", "'T' || (o_orderkey // 2)")
+        parts.append(f"SELECT 's{site}' AS site, * FROM ({own} {select})")
+    return " UNION ALL ".join(parts)
+
+
+def _per_site_journal(sql: str) -> str:
+    """``sql`` on the journal of each site, against the budget of all."""
+    parts = [sql.replace("FROM lineitem", f"FROM (SELECT * FROM lineitem WHERE l_orderkey % 2 = {k})") for k in (0, 1)]
+    return " UNION ALL ".join(f"SELECT 's{k}' AS site, * FROM ({part})" for k, part in enumerate(parts))
+
+
+LEDGER_RESULT = f"""
+            SELECT {BLANK} FROM summary WHERE (month, kt_haben) NOT IN (SELECT (month, kt_haben) FROM replaced)
+            UNION ALL
+            SELECT {MISSING} FROM correction
+            WHERE (month, kt_haben) NOT IN (SELECT (month, kt_haben) FROM replaced)
+            UNION ALL
+            SELECT {BLANK} FROM detail_postings"""
+
+
 def oracle_sql() -> dict[str, str]:
     prepare = _chain(STAR, PREPARE)
     export = _chain(STAR, PREPARE, _edited(False))
@@ -717,13 +742,7 @@ def oracle_sql() -> dict[str, str]:
         "posting_summary": f"{postings} SELECT {BLANK} FROM summary",
         "posting_details": f"{postings} SELECT {BLANK} FROM detail_postings",
         "banana_ledger": f"""{postings},
-            replaced AS (SELECT DISTINCT month, kt_haben FROM detail_postings)
-            SELECT {BLANK} FROM summary WHERE (month, kt_haben) NOT IN (SELECT (month, kt_haben) FROM replaced)
-            UNION ALL
-            SELECT {MISSING} FROM correction
-            WHERE (month, kt_haben) NOT IN (SELECT (month, kt_haben) FROM replaced)
-            UNION ALL
-            SELECT {BLANK} FROM detail_postings""",
+            replaced AS (SELECT DISTINCT month, kt_haben FROM detail_postings) {LEDGER_RESULT}""",
         "journal_movements": f"""{_chain(_closing())}
             SELECT date, account, CAST(amount AS DOUBLE) AS amount FROM movements""",
         "account_balances": f"{_chain(_closing())} SELECT account, CAST(balance AS DOUBLE) AS balance FROM balances",
@@ -738,6 +757,23 @@ def oracle_sql() -> dict[str, str]:
             SELECT DATE '1999-01-01' AS date, 'Dummy post' AS description, account AS debit, account AS credit,
                    CAST(0 AS DOUBLE) AS amount FROM post_account WHERE pos = 0""",
         "closing_all_posts": f"{_chain(_closing(with_dummies))} {CLOSING_RESULT}",
+        "sites_reconcile": _per_site(
+            f"{_chain(STAR)}{ids}",
+            f"SELECT *, 'sales' AS missing_in FROM ({in_sales}) UNION ALL SELECT *, 'transactions' FROM ({in_transactions})",
+        ),
+        "sites_refund_violations": _per_site(
+            prepare,
+            """SELECT transaction_id, CAST(sum(price_net) AS DOUBLE) AS total_net FROM norm_sales
+               WHERE transaction_id IN (SELECT transaction_id FROM refund_ids)
+               GROUP BY transaction_id HAVING sum(price_net) <> 0""",
+        ),
+        "sites_prepare": _per_site(export, f"SELECT {INTERMEDIATE_OUT} FROM intermediate"),
+        "sites_details": _per_site(totals, f"SELECT month, date, is_total, {_doubles(MEASURES)} FROM full_details"),
+        "sites_ledger": _per_site(
+            f"{postings}, replaced AS (SELECT DISTINCT month, kt_haben FROM detail_postings)", LEDGER_RESULT
+        ),
+        "sites_closing": _per_site_journal(f"{_chain(_closing(with_dummies))} {CLOSING_RESULT}"),
+        "sites_closing_by_month": _per_site_journal(_by_month("true")),
         "closing_by_month": _by_month("true"),
         "closing_by_month_since_new_year": _by_month("year(mv.date) = CAST(left(months.month, 4) AS INTEGER)"),
     }

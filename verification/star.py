@@ -54,7 +54,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _tables[key]
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _orders(spark: SparkSession, sf_dir: str, sites: int = 1) -> DataFrame:
+    """Orders as transactions; with several sites each numbers its transactions anew, so sites share numbers."""
     seconds = "pmod(o_orderkey * 7919, 86400)"
     clock = ", ':', ".join(
         f"lpad({part}, 2, '0')"
@@ -66,7 +67,8 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderpriority",
         "o_totalprice",
         "CAST(o_orderdate AS DATE) AS day",
-        "concat('T', o_orderkey) AS order_id",
+        f"concat('T', o_orderkey div {sites}) AS order_id",
+        f"concat('s', o_orderkey % {sites}) AS site",
         "concat('c', o_custkey, '@b.ch') AS account",
         f"concat({clock}) AS clock",
         "CASE WHEN o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW') THEN 'Bar' ELSE 'VISA' END AS payment",
@@ -74,16 +76,21 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _site(sites: int) -> list[str]:
+    return ["site"] if sites > 1 else []
+
+
+def sales(spark: SparkSession, sf_dir: str, sites: int = 1) -> DataFrame:
     """Sales report: the line items, and for refunded orders a second line per item that takes it back.
 
     What is taken back of large orders is one too little, so their refund does not balance.
     """
     lines = (
         table(spark, sf_dir, "lineitem")
-        .join(_orders(spark, sf_dir), F.expr("l_orderkey = o_orderkey"))
+        .join(_orders(spark, sf_dir, sites), F.expr("l_orderkey = o_orderkey"))
         .join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
         .selectExpr(
+            *_site(sites),
             "concat(date_format(day, 'dd.MM.yyyy'), ', ', left(clock, 5)) AS sold_at",
             "CASE WHEN l_discount = 0 AND l_tax = 0 THEN NULL ELSE order_id END AS transaction_id",
             "payment",
@@ -117,17 +124,17 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tax_rate": "''",
         "account": "CASE WHEN NOT back THEN account END",
     }
-    return sides.selectExpr(*[f"{columns.get(name, name)} AS {name}" for name in S.SALES.names])
+    return sides.selectExpr(*_site(sites), *[f"{columns.get(name, name)} AS {name}" for name in S.SALES.names])
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transactions(spark: SparkSession, sf_dir: str, sites: int = 1) -> DataFrame:
     """Transaction report: one revenue row per order, and one without status per refunded order.
 
     The largest orders are booked twice by mistake.
     """
     money = "DECIMAL(18, 2)"
     booked = (
-        _orders(spark, sf_dir)
+        _orders(spark, sf_dir, sites)
         .selectExpr(
             "*",
             f"""CAST(CASE WHEN o_orderpriority = '2-HIGH' THEN 2.5
@@ -139,6 +146,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .selectExpr("*", "explode(sides) AS back")
     )
     return booked.selectExpr(
+        *_site(sites),
         "concat(date_format(day, 'yyyy-MM-dd'), ' ', clock) AS booked_at",
         "order_id AS transaction_id",
         "CASE WHEN back THEN 'Rückerstattung' ELSE 'Umsatz' END AS kind",
@@ -190,7 +198,12 @@ def intermediate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger journal: every line item credits the account of its part."""
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    return journal_of(table(spark, sf_dir, "lineitem"))
+
+
+def journal_of(items: DataFrame) -> DataFrame:
+    return items.selectExpr(
+        *[name for name in items.columns if name == "site"],
         "CAST(l_shipdate AS DATE) AS date",
         "concat('Posting ', l_orderkey) AS description",
         """CASE WHEN l_returnflag = 'R' THEN concat('6', lpad(l_suppkey % 1000, 3, '0'))
