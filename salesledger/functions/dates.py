@@ -23,17 +23,31 @@ BEFORE_BOOKING_TIME = r".{11}"
 TIME_OF_DAY = r"(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d"
 
 
-def sale_date(sold_at: Column) -> Column:
-    """Date of ``dd.MM.yyyy, HH:mm``; null without a match, an error for a day that does not exist."""
+def _sale_day(sold_at: Column) -> Column:
     day = F.regexp_extract(sold_at, SALE_DATE, 1)
     # Turning the text round and casting it is much cheaper per row than parsing it with a pattern.
-    return F.nullif(F.regexp_replace(day, r"(..)\.(..)\.(....)", "$3-$2-$1"), F.lit("")).cast("date")
+    return F.nullif(F.regexp_replace(day, r"(..)\.(..)\.(....)", "$3-$2-$1"), F.lit(""))
+
+
+def sale_date(sold_at: Column) -> Column:
+    """Date of ``dd.MM.yyyy, HH:mm``; null without a match, an error for a day that does not exist."""
+    return _sale_day(sold_at).cast("date")
+
+
+def impossible_sale_date(sold_at: Column) -> Column:
+    """Whether the text has the form of a date but the day does not exist, such as 31.02.2024."""
+    return _sale_day(sold_at).isNotNull() & _sale_day(sold_at).try_cast("date").isNull()
 
 
 def booking_date(booked_at: Column) -> Column:
     return group_or_null(booked_at, BOOKING_DATE).cast("date")
 
 
+def impossible_booking_date(booked_at: Column) -> Column:
+    day = group_or_null(booked_at, BOOKING_DATE)
+    return day.isNotNull() & day.try_cast("date").isNull()
+
+
 def booking_time(booked_at: Column) -> Column:
     """Time of ``yyyy-MM-dd HH:mm:ss``; null when there is none. ``unreadable_times`` finds impossible ones."""
     return group_or_null(booked_at, f"{BEFORE_BOOKING_TIME}({TIME_OF_DAY})")
@@ -69,11 +83,5 @@ def is_supported_month(month: Column) -> Column:
 
 
 def month_of_file(file_name: Column, prefix: str, extension: str) -> Column:
-    """Month of ``<prefix>_<yyyymm>….<extension>``; null when the name does not have that form."""
-    shortest = len(f"{prefix}_yyyymm.{extension}")
-    fits = (
-        (F.length(file_name) >= shortest)
-        & file_name.startswith(f"{prefix}_")
-        & F.lower(file_name).endswith(f".{extension.lower()}")
-    )
-    return F.when(fits, F.substring(file_name, len(prefix) + 2, 6))
+    """The six characters after ``<prefix>_`` in a name that ends in ``.<extension>``; null when it does not have that form."""
+    return group_or_null(file_name, rf"(?s)^\Q{prefix}\E_(.{{6}}).*(?i:\Q.{extension}\E)\z")

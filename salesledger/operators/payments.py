@@ -17,7 +17,8 @@ TIP_HEADER = ["sold_at", "kind", "transaction_id", "payment", "category", "sku",
 def shift_changes(transactions: DataFrame, order_by: Column | None = None) -> DataFrame:
     """Last change of shift of each weekday between noon and four o'clock.
 
-    Last means the latest time, or the last by ``order_by`` when the report has a row order to respect.
+    Last means the latest time, or the last by ``order_by`` when the report has a row order to respect, such as its
+    ``row`` in a file.
     """
     booked = F.col("booked_at")
     found = (

@@ -36,6 +36,6 @@ def apply_overrides(intermediate: DataFrame, overrides: DataFrame, on: tuple[str
 
 
 def add_rows(intermediate: DataFrame, extra: DataFrame) -> DataFrame:
-    """Add artificial rows, such as cash sales that were never keyed in."""
+    """Add artificial rows, such as cash sales that were never keyed in. They stand in no file, so their place is null."""
     site = site_of(intermediate, extra)
-    return intermediate.unionByName(extra.select(*site, *S.INTERMEDIATE.names))
+    return intermediate.unionByName(extra.select(*site, *S.INTERMEDIATE.names), allowMissingColumns=True)

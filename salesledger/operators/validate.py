@@ -31,7 +31,7 @@ ALLOWED = {
 
 def shown(df: DataFrame) -> list[str]:
     """The columns that tell a user which row is meant."""
-    return [*site_of(df), *SHOWN]
+    return [*site_of(df), *[name for name in S.PLACE.names if name in df.columns], *SHOWN]
 
 
 def _blank(name: str) -> Column:

@@ -16,9 +16,9 @@ from salesledger.plans.export import details_with_totals, partner_transactions,
 from salesledger.plans.prepare import prepare, transaction_facts
 from salesledger.plans.staging import staging
 from salesledger.sources import sinks
-from salesledger.sources.intermediate import read_cells, read_intermediate
+from salesledger.sources.intermediate import read_intermediate
 from salesledger.sources.journal_xml import read_journal
-from salesledger.sources.till_csv import read_sales, read_transactions
+from salesledger.sources.quarantine import check_cells, check_sales, check_transactions
 
 SHOWN = 20
 """Offending rows in the text of an error; the table it names has all of them."""
@@ -82,9 +82,14 @@ def run_prepare(
     staging_folder: str | None = None,
     multi_line: bool = False,
     site_pattern: str | None = None,
+    quarantine: str | None = None,
+    in_row_order: bool = False,
 ) -> DataFrame:
     """Read both exports, check that they agree, write the intermediate table; returns rows without a price.
 
+    Rows that cannot be read stop the job, which names their files and rows. With ``quarantine``, a folder, they are stored
+    there as ``sales`` and ``transactions``, and the job goes on with the others. ``in_row_order``: see ``prepare``.
+
     With ``site_pattern`` (see ``read_sales``) the files of several sites are worked on in one call.
 
     A failing check stores its rows under ``<target>_violations``. Tables in between are kept in ``staging_folder``, by
@@ -93,15 +98,23 @@ def run_prepare(
     found = f"{target.rstrip('/')}_violations"
     with staging(spark, staging_folder) as stage:
         # CSV has no columns to skip, so the text is parsed once and every later step reads columns.
-        sales = stage(read_sales(spark, sales_path, multi_line, True, site_pattern))
-        transactions = stage(read_transactions(spark, transactions_path, multi_line, True, site_pattern))
+        both = {
+            "sales": check_sales(spark, sales_path, stage, multi_line, site_pattern),
+            "transactions": check_transactions(spark, transactions_path, stage, multi_line, site_pattern),
+        }
+        for name, checked in both.items():
+            if quarantine:
+                checked.rejected.write.mode(mode).parquet(f"{quarantine.rstrip('/')}/{name}")
+            else:
+                fail_on(checked.rejected, f"unreadable rows in the {name} report", f"{found}/unreadable_{name}")
+        file_name = F.element_at(F.split(F.col("file"), "/"), -1)
+        sales, transactions = (stage(checked.rows.withColumn("file_name", file_name)) for checked in both.values())
         for rows, date, name in (
             (sales, sale_date(F.col("sold_at")), SALES_FILE),
             (transactions, booking_date(F.col("booked_at")), TRANSACTIONS_FILE),
         ):
             strangers = outside_file_month(rows, date, *name)
             fail_on(strangers, f"rows of another month in {name[0]}", f"{found}/months_{name[0]}")
-        sales, transactions = sales.drop("file_name"), transactions.drop("file_name")
         # One row per transaction answers all checks on the sales report.
         summary = stage(reconcile.sales_summary(sales))
         missing = reconcile.reconcile(sales, transactions, summary)
@@ -112,7 +125,7 @@ def run_prepare(
         fail_on(unreadable_times(transactions), "transactions with an impossible time", f"{found}/times")
         facts = stage(transaction_facts(sales, transactions))
         hot = stage(hot_keys(sales, ["site", "transaction_id"] if site_pattern else "transaction_id"))
-        prepared = prepare(sales, transactions, hot, facts=facts)
+        prepared = prepare(sales, transactions, hot, facts=facts, in_row_order=in_row_order)
         if overrides is not None:
             twice = duplicate_overrides(overrides)
             fail_on(twice, "overrides that name a row more than once", f"{found}/duplicate_overrides")
@@ -129,10 +142,23 @@ def run_reread(
     mode: str = "errorifexists",
     multi_line: bool = False,
     site_pattern: str | None = None,
+    quarantine: str | None = None,
+    staging_folder: str | None = None,
 ) -> None:
-    """Store the hand-edited table, exported as cells, and further rows as the intermediate table to export from."""
-    rows = read_cells(spark, cells_path, multi_line, site_pattern)
-    sinks.write_intermediate(rows if extra is None else add_rows(rows, extra), target, mode)
+    """Store the hand-edited table, exported as cells, and further rows as the intermediate table to export from.
+
+    Each row keeps its file and row, which the export's violations show. A malformed row stops the job; an unreadable cell is
+    null. With ``quarantine``, a folder, both are stored there and the job goes on.
+    """
+    with staging(spark, staging_folder) as stage:
+        checked = check_cells(spark, cells_path, stage, multi_line, site_pattern)
+        if quarantine:
+            checked.rejected.write.mode(mode).parquet(quarantine)
+        else:
+            broken = checked.rejected.where("rule = 'malformed_row'")
+            fail_on(broken, "malformed rows in the edited table", f"{target.rstrip('/')}_violations/malformed")
+        rows = checked.rows if extra is None else add_rows(checked.rows, extra)
+        sinks.write_intermediate(rows, target, mode)
 
 
 def run_export(
@@ -152,7 +178,8 @@ def run_export(
     """
     found = f"{target.rstrip('/')}_violations"
     rows = read_intermediate(spark, source, sites)
-    fail_on(validate.violations(rows), "invalid rows in the intermediate table", f"{found}/rows")
+    invalid = validate.violations(read_intermediate(spark, source, sites, places=True))
+    fail_on(invalid, "invalid rows in the intermediate table", f"{found}/rows")
     with staging(spark, staging_folder) as stage:
         details = stage(details_with_totals(rows))
         made = reports(details, stage(postings.detail_rows(rows)))

@@ -48,14 +48,17 @@ def transaction_facts(sales: DataFrame, transactions: DataFrame) -> DataFrame:
     return both.withColumn("refunded", F.coalesce("refunded", F.lit(False)))
 
 
-def valid_shift_changes(transactions: DataFrame, facts: DataFrame) -> DataFrame:
-    """Shift changes outside refunded transactions. Only the few shift lines meet the refunds."""
+def valid_shift_changes(transactions: DataFrame, facts: DataFrame, in_row_order: bool = False) -> DataFrame:
+    """Shift changes outside refunded transactions. Only the few shift lines meet the refunds.
+
+    A day's last change is the latest, or with ``in_row_order`` the last row of the last file.
+    """
     marks = transactions.where(F.col("description").contains(S.SHIFT_CHANGE))
     keys = [*site_of(transactions, facts), "transaction_id"]
     ids = facts.where("refunded").select(*[F.col(name).alias(f"refund_{name}") for name in keys])
     same = [F.col(name).eqNullSafe(F.col(f"refund_{name}")) for name in keys]
     kept = marks.join(ids, same, "left_anti")
-    return shift_changes(kept)
+    return shift_changes(kept, F.struct(*S.PLACE.names) if in_row_order else None)
 
 
 def label_lines(lines: DataFrame) -> DataFrame:
@@ -76,13 +79,15 @@ def prepare(
     tip_grain: str = "line",
     facts: DataFrame | None = None,
     stage: Callable[[DataFrame], DataFrame] | None = None,
+    in_row_order: bool = False,
 ) -> DataFrame:
     """Intermediate table: one row per sales line and tip, without refunded transactions.
 
     ``hot`` names transactions that hold a large part of all lines; without it they are looked up in ``sales``.
     ``facts`` is a stored ``transaction_facts`` of the two reports. ``stage`` stores a table and reads it back: with it the reports
     are computed once, and what is not given of ``hot`` and ``facts`` once each, instead of once per use. Where both reports
-    have a site, so has the result, and transaction numbers and shift changes are a site's own.
+    have a site, so has the result, and transaction numbers and shift changes are a site's own. ``in_row_order`` takes the last
+    change of shift by ``file`` and ``row`` of the transactions instead of by time.
     """
     site = site_of(sales, transactions)
     keys = [*site, "transaction_id"]
@@ -108,7 +113,7 @@ def prepare(
             "price_net": F.when(marks_shift, zero()).otherwise(F.col("price_net")),
         }
     )
-    shifts = valid_shift_changes(transactions, facts)
+    shifts = valid_shift_changes(transactions, facts, in_row_order)
     if not site:
         # One row per calendar day, so the list has a fixed bound (every day of 9,999 years is 3.7 million). With sites it has
         # none, and Spark measures it.

@@ -98,6 +98,9 @@ TRANSACTIONS = _struct(TRANSACTION_COLUMNS)
 INTERMEDIATE = _struct(INTERMEDIATE_COLUMNS)
 JOURNAL = _struct(JOURNAL_COLUMNS)
 STORED_INTERMEDIATE = T.StructType([*INTERMEDIATE.fields, T.StructField("month", T.StringType())])
+PLACE = T.StructType([T.StructField("file", T.StringType()), T.StructField("row", T.LongType())])
+"""Where a row stood in the file it was read from."""
+
 STORED_SITES = T.StructType([*INTERMEDIATE.fields, *[T.StructField(n, T.StringType()) for n in ("site", "month")]])
 
 POST = T.StructType(

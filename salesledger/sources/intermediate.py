@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from salesledger import schema as S
 from salesledger.functions.keys import site_of, site_of_path
@@ -14,8 +15,8 @@ SERIAL_OF_1970 = 25569
 SECONDS_PER_DAY = 86400
 
 
-def coerce_cells(cells: DataFrame) -> DataFrame:
-    """Typed intermediate table from text cells under the internal column names.
+def coerce_cells(cells: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Typed intermediate table from text cells under the internal column names, with the columns of ``keep`` before.
 
     Dates are serial day numbers and times are parts of a day. A cell that does not parse is null, and so is a
     blank label. The label columns lose the blanks around them. A time is rounded to seconds before it is judged, so
@@ -37,7 +38,7 @@ def coerce_cells(cells: DataFrame) -> DataFrame:
         "commission": "try_cast(commission AS DECIMAL(18, 4))",
         **{name: f"nullif(trim({name}), '')" for name in ("payment_method", "topic", "owner", "purpose")},
     }
-    return cells.selectExpr(*site_of(cells), *[f"{changed.get(name, name)} AS {name}" for name in S.INTERMEDIATE.names])
+    return cells.selectExpr(*site_of(cells), *keep, *[f"{changed.get(name, name)} AS {name}" for name in S.INTERMEDIATE.names])
 
 
 def read_cells(
@@ -50,9 +51,13 @@ def read_cells(
     return coerce_cells(raw.select(*site, *cells))
 
 
-def read_intermediate(spark: SparkSession, path: str, sites: bool = False) -> DataFrame:
+def read_intermediate(spark: SparkSession, path: str, sites: bool = False, places: bool = False) -> DataFrame:
     """Intermediate table stored by ``write_intermediate``; a filter on ``month`` reads only those folders.
 
-    ``sites`` says that it was stored with a site, whose folders a filter prunes as well.
+    ``sites`` says that it was stored with a site, whose folders a filter prunes as well. ``places`` adds the file and the row
+    that each row came from, null where they were not stored.
     """
-    return spark.read.schema(S.STORED_SITES if sites else S.STORED_INTERMEDIATE).parquet(path)
+    schema = S.STORED_SITES if sites else S.STORED_INTERMEDIATE
+    if places:
+        schema = T.StructType([*S.PLACE.fields, *schema.fields])
+    return spark.read.schema(schema).parquet(path)

@@ -182,6 +182,9 @@ def catalog() -> dict[str, Query]:
         "stored_intermediate": files.stored_intermediate,
         "stored_report": files.stored_report,
         "stored_closing": files.stored_closing,
+        "rejected_sales": files.rejected_sales,
+        "accepted_sales": files.accepted_sales,
+        "numbered_violations": files.numbered_violations,
         "sites_reconcile": lambda s, d: reconcile.reconcile(*_two_sites(s, d)),
         "sites_refund_violations": lambda s, d: reconcile.refund_violations(normalize.normalize_sales(_two_sites(s, d)[0])),
         "sites_prepare": _sites_edited,

@@ -11,10 +11,12 @@ from salesledger import schema as S
 from salesledger.operators.closing import Budget
 from salesledger.plans import export
 from salesledger.plans.close import close_month
+from salesledger.operators import validate
 from salesledger.sources import sinks
 from salesledger.sources.budget import read_budget
 from salesledger.sources.intermediate import SECONDS_PER_DAY, SERIAL_OF_1970, read_cells, read_intermediate
 from salesledger.sources.journal_xml import read_journal
+from salesledger.sources.quarantine import check_cells, check_sales
 from salesledger.sources.till_csv import read_sales, read_transactions
 from verification import star
 from verification.oracle import CLOSING_MONTH
@@ -49,11 +51,67 @@ def transactions_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_transactions(spark, _as_csv(booked, S.TRANSACTION_COLUMNS, _path(spark, "transactions")))
 
 
+def _by_month(lines: DataFrame, order: list[str], path: str) -> str:
+    """One text file per month with the rows in the given order; months lie in folders named after them."""
+    one = lines.repartition("month").sortWithinPartitions("month", *order)
+    one.select("month", "value").write.partitionBy("month").text(path)
+    return f"{path}/*"
+
+
+def _broken_sales(spark: SparkSession, sf_dir: str) -> str:
+    """Sales report as text with a header per month. Rows with some numbers of pieces cannot be read: a cell that is no
+    number, a cell too many, one too few, a day that does not exist."""
+    cells = {
+        "Datum": "concat('\"', CASE quantity WHEN 23 THEN concat('31.02.', substr(sold_at, 7)) ELSE sold_at END, '\"')",
+        "Menge": "CASE quantity WHEN 13 THEN 'x13' ELSE CAST(quantity AS STRING) END",
+    }
+    texts = [cells.get(outer, f"coalesce(CAST({inner} AS STRING), '')") for outer, (inner, _) in S.SALES_COLUMNS.items()]
+    most, last = ", ".join(texts[:-1]), texts[-1]
+    lines = star.sales(spark, sf_dir).selectExpr(
+        "concat(substr(sold_at, 7, 4), substr(sold_at, 4, 2)) AS month", "1 AS part",
+        f"""concat(concat_ws(',', {most}), CASE quantity WHEN 19 THEN '' WHEN 17 THEN concat(',', {last}, ',more')
+                   ELSE concat(',', {last}) END) AS value""",
+    )
+    header = lines.select("month").distinct().select("month", F.lit(0).alias("part"), F.lit(",".join(S.SALES_COLUMNS)).alias("value"))
+    return _by_month(header.unionByName(lines), ["part", "value"], _path(spark, "broken"))
+
+
+MONTH = "regexp_extract(file, 'month=([0-9]+)', 1) AS month"
+
+
+def rejected_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of the report by month and row; the text of malformed rows only, as cells are quoted anew in the others."""
+    found = check_sales(spark, _broken_sales(spark, sf_dir)).rejected
+    return found.selectExpr(MONTH, "row", "rule", "column", "value", "CASE rule WHEN 'malformed_row' THEN text END AS text")
+
+
+def accepted_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check_sales(spark, _broken_sales(spark, sf_dir)).rows.selectExpr(MONTH, *[c for c in ["row", *S.SALES.names]])
+
+
+def numbered_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited table with wrong labels as one file of cells per month; violations name the row of the file."""
+    rows = star.edited(spark, sf_dir, faulty=True).withColumn("month", F.expr("date_format(date, 'yyyyMM')"))
+    one = rows.repartition("month").sortWithinPartitions("month", *[F.col(c).asc_nulls_first() for c in S.INTERMEDIATE.names])
+    cells = one.selectExpr("month", *[f"{text} AS `{S_OUTER[c]}`" for c, text in cell_texts(S.INTERMEDIATE.names).items()])
+    path = _path(spark, "cells")
+    cells.write.partitionBy("month").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    found = validate.violations(check_cells(spark, f"{path}/*").rows)
+    return found.selectExpr(MONTH, "row", "rule", "transaction_id", "payment_method", "topic", "owner", "purpose")
+
+
+S_OUTER = {inner: outer for outer, (inner, _) in S.INTERMEDIATE_COLUMNS.items()}
+
+
 def as_cells(df: DataFrame) -> DataFrame:
     """The intermediate table as spreadsheet cells: text only, dates as serial numbers, times as parts of a day.
 
     Cells of rows with few or many pieces are broken as hand edits break them.
     """
+    return df.selectExpr(*[f"{text} AS {c}" for c, text in cell_texts(df.columns).items()])
+
+
+def cell_texts(columns: list[str]) -> dict[str, str]:
     seconds = "(int(split_part(time, ':', 1)) * 3600 + int(split_part(time, ':', 2)) * 60 + int(substr(time, 7)))"
     changed = {
         "date": f"""CASE quantity WHEN 7 THEN '24.03.2023'
@@ -67,7 +125,7 @@ def as_cells(df: DataFrame) -> DataFrame:
         "owner": "coalesce(concat(owner, '  '), '')",
         "purpose": "concat(purpose, ' ')",
     }
-    return df.selectExpr(*[f"{changed.get(c, f'CAST({c} AS STRING)')} AS {c}" for c in df.columns])
+    return {c: changed.get(c, f"CAST({c} AS STRING)") for c in columns}
 
 
 def cells_csv(spark: SparkSession, sf_dir: str) -> DataFrame:

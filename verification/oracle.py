@@ -557,6 +557,33 @@ def _per_site_journal(sql: str) -> str:
     return " UNION ALL ".join(f"SELECT 's{k}' AS site, * FROM ({part})" for k, part in enumerate(parts))
 
 
+def _cell(name: str) -> str:
+    cell = {
+        "sold_at": "'\"' || CASE quantity WHEN 23 THEN '31.02.' || substr(sold_at, 7) ELSE sold_at END || '\"'",
+        "quantity": "CASE quantity WHEN 13 THEN 'x13' ELSE CAST(quantity AS VARCHAR) END",
+    }
+    return cell.get(name, f"coalesce(CAST({name} AS VARCHAR), '')")
+
+
+_SALES_CELLS = [
+    *["sold_at", "kind", "transaction_id", "payment", "quantity", "description", "category", "sku", "currency"],
+    *["list_price", "discount", "price_gross", "price_net", "tax", "tax_rate", "account"],
+]
+
+BROKEN_SALES = f"""
+broken AS (
+  SELECT *, substr(sold_at, 7, 4) || substr(sold_at, 4, 2) AS month,
+    {" || ',' || ".join(_cell(c) for c in _SALES_CELLS[:-1])} ||
+    CASE quantity WHEN 19 THEN '' WHEN 17 THEN ',' || {_cell("account")} || ',more' ELSE ',' || {_cell("account")} END AS line
+  FROM star_sales),
+placed AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY line) + 1 AS row FROM broken)"""
+"""Each month is a file: a header, then the lines in order."""
+
+_IN_FILE = ", ".join(f"{c} NULLS FIRST" for c in (
+    *["account", "date", "time", "type", "transaction_id", "payment_method", "quantity", "description", "currency"],
+    *["price_gross", "price_net", "commission", "topic", "owner", "purpose", "comment"],
+))
+
 LEDGER_RESULT = f"""
             SELECT {BLANK} FROM summary WHERE (month, kt_haben) NOT IN (SELECT (month, kt_haben) FROM replaced)
             UNION ALL
@@ -566,6 +593,9 @@ LEDGER_RESULT = f"""
             SELECT {BLANK} FROM detail_postings"""
 
 
+SHIFTS = "description IN ('SCHICHTWECHSEL', 'Mittagstisch-Nachmittag', 'Nachmittag-Abend')"
+
+
 def oracle_sql() -> dict[str, str]:
     prepare = _chain(STAR, PREPARE)
     export = _chain(STAR, PREPARE, _edited(False))
@@ -757,6 +787,32 @@ def oracle_sql() -> dict[str, str]:
             SELECT DATE '1999-01-01' AS date, 'Dummy post' AS description, account AS debit, account AS credit,
                    CAST(0 AS DOUBLE) AS amount FROM post_account WHERE pos = 0""",
         "closing_all_posts": f"{_chain(_closing(with_dummies))} {CLOSING_RESULT}",
+        "rejected_sales": f"""{_chain(STAR, BROKEN_SALES)}
+            SELECT month, row, CASE WHEN quantity IN (17, 19) THEN 'malformed_row' ELSE 'unreadable_cell' END AS rule,
+                   CASE quantity WHEN 13 THEN 'Menge' WHEN 23 THEN 'Datum' END AS "column",
+                   CASE quantity WHEN 13 THEN 'x13' WHEN 23 THEN '31.02.' || substr(sold_at, 7) END AS value,
+                   CASE WHEN quantity IN (17, 19) THEN line END AS text
+            FROM placed WHERE quantity IN (13, 17, 19, 23)""",
+        "accepted_sales": f"""{_chain(STAR, BROKEN_SALES)}
+            SELECT month, row, {SALES_OUT} FROM (SELECT * REPLACE (
+                nullif(tax_rate, '') AS tax_rate, nullif(sku, '') AS sku,
+                CASE WHEN {SHIFTS} THEN 0 ELSE price_gross END AS price_gross,
+                CASE WHEN {SHIFTS} THEN 0 ELSE coalesce(price_net, price_gross) END AS price_net)
+              FROM placed) WHERE quantity IS NULL OR quantity NOT IN (13, 17, 19, 23)""",
+        "numbered_violations": f"""{faulty},
+            placed AS (SELECT *, strftime(date, '%Y%m') AS month,
+                              row_number() OVER (PARTITION BY strftime(date, '%Y%m') ORDER BY {_IN_FILE}) + 1 AS row
+                       FROM intermediate),
+            reread AS (SELECT month, row, {BROKEN_OUT} FROM placed),
+            found AS ({OWNER_RULES.replace("intermediate", "reread")}
+              UNION ALL SELECT *, 'invalid_topic' FROM reread WHERE coalesce(topic, '') NOT IN
+                ('MiTi', 'Cafe', 'Verm', 'SoFe', 'Deposit', 'Rental', 'Culture', 'Packaging')
+              UNION ALL SELECT *, 'invalid_owner' FROM reread
+                WHERE coalesce(owner, '') NOT IN ('LoLa', 'MiTi', 'PaidOut', '')
+              UNION ALL SELECT *, 'invalid_purpose' FROM reread
+                WHERE coalesce(purpose, '') NOT IN ('Consumption', 'Tip')
+              UNION ALL SELECT *, 'missing_date' FROM reread WHERE date IS NULL)
+            SELECT month, row, rule, transaction_id, payment_method, topic, owner, purpose FROM found""",
         "sites_reconcile": _per_site(
             f"{_chain(STAR)}{ids}",
             f"SELECT *, 'sales' AS missing_in FROM ({in_sales}) UNION ALL SELECT *, 'transactions' FROM ({in_transactions})",
