@@ -17,7 +17,7 @@ from salesledger.functions.dates import impossible_booking_date, impossible_sale
 from salesledger.functions.keys import site_of_path
 from salesledger.operators.normalize import normalize_sales, normalize_transactions
 from salesledger.sources.intermediate import coerce_cells
-from salesledger.sources.rows import FILE, PLACE, ROW, Stage, numbered
+from salesledger.sources.rows import FILE, PLACE, Stage, numbered
 
 FIRST_ROW = 2
 """The header is the first row of a file."""
@@ -65,7 +65,12 @@ def read_text_cells(
     return rows
 
 
-def _faults(cells: DataFrame, columns: dict[str, Column], impossible: dict[str, Column]) -> Column:
+def _malformed() -> Column:
+    nothing = F.lit(None).cast("string")
+    return F.array(F.struct(F.lit("malformed_row").alias("rule"), nothing.alias("column"), nothing.alias("value")))
+
+
+def _faults(columns: dict[str, Column], impossible: dict[str, Column]) -> Column:
     """Array of (rule, column, value) of a row; empty for a good one."""
     faults = [
         F.when(
@@ -74,10 +79,7 @@ def _faults(cells: DataFrame, columns: dict[str, Column], impossible: dict[str,
         )
         for outer in columns
     ]
-    broken = F.struct(
-        F.lit("malformed_row").alias("rule"), F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("value")
-    )
-    return F.when(F.col(_TEXT).isNotNull(), F.array(broken)).otherwise(F.array_compact(F.array(*faults)))
+    return F.when(F.col(_TEXT).isNotNull(), _malformed()).otherwise(F.array_compact(F.array(*faults)))
 
 
 def _row_text(cells: DataFrame) -> Column:
@@ -94,7 +96,7 @@ def split(cells: DataFrame, columns: dict, impossible: dict[str, Column]) -> Che
     site = [name for name in cells.columns if name == "site"]
     typed = {outer: F.col(f"`{outer}`").try_cast(kind) for outer, (_, kind) in columns.items()}
     unread = {outer: value.isNull() | impossible.get(outer, F.lit(False)) for outer, value in typed.items()}
-    marked = cells.withColumn("_faults", _faults(cells, typed, unread))
+    marked = cells.withColumn("_faults", _faults(typed, unread))
     good = marked.where(F.size("_faults") == 0)
     rows = good.select(*PLACE, *site, *[typed[outer].alias(inner) for outer, (inner, _) in columns.items()])
     bad = marked.where(F.size("_faults") > 0).select(*site, *PLACE, _row_text(cells).alias("text"), F.inline("_faults"))
@@ -142,9 +144,9 @@ def check_cells(
     cells = read_text_cells(spark, path, stage, multi_line, site_pattern)
     site = [name for name in cells.columns if name == "site"]
     inner = {name: outer for outer, (name, _) in S.INTERMEDIATE_COLUMNS.items()}
-    whole = cells.where(F.col(_TEXT).isNull()).select(*site, *PLACE, *[F.col(f"`{o}`").alias(n) for n, o in inner.items()])
-    texts = F.struct(*[F.col(name) for name in inner]).alias("_cells")
-    rows = coerce_cells(whole.select(*site, *PLACE, *inner, texts), keep=(*PLACE, "_cells"))
+    named = [F.col(f"`{outer}`").alias(name) for name, outer in inner.items()]
+    texts = cells.select(*site, *PLACE, _TEXT, *named, F.struct(*named).alias("_cells"), _row_text(cells).alias("text"))
+    read = coerce_cells(texts, keep=(*PLACE, _TEXT, "_cells", "text"))
     fields = [f.name for f in S.INTERMEDIATE.fields if not isinstance(f.dataType, T.StringType)] + ["time"]
     lost = [
         F.when(
@@ -153,14 +155,7 @@ def check_cells(
         )
         for name in fields
     ]
-    text = F.to_csv("_cells", {"escape": '"'}).alias("text")
-    unread = rows.select(*site, *PLACE, text, F.inline(F.array_compact(F.array(*lost))))
-    broken = cells.where(F.col(_TEXT).isNotNull()).select(
-        *site, *PLACE, _row_text(cells).alias("text"), F.lit("malformed_row").alias("rule"),
-        *[F.lit(None).cast("string").alias(name) for name in ("column", "value")],
-    )
-    names = [*site, *PLACE, "rule", "column", "value", "text"]
-    return Checked(rows.drop("_cells"), unread.select(names).unionByName(broken.select(names)))
-
-
-__all__ = ["FILE", "ROW", "Checked", "check_cells", "check_sales", "check_transactions", "read_text_cells", "split"]
+    faults = F.when(F.col(_TEXT).isNotNull(), _malformed()).otherwise(F.array_compact(F.array(*lost)))
+    rejected = read.select(*site, *PLACE, "text", F.inline(faults))
+    rows = read.where(F.col(_TEXT).isNull()).select(*site, *PLACE, *S.INTERMEDIATE.names)
+    return Checked(rows, rejected.select(*site, *PLACE, "rule", "column", "value", "text"))

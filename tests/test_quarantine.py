@@ -116,7 +116,7 @@ def test_cells_and_violations_name_their_rows(spark, tmp_path):
     found = check_cells(spark, path)
     assert rows_of(found.rejected.orderBy("row"), "row", "rule", "column", "value") == [(4, "malformed_row", None, None), (5, "unreadable_cell", "Time", "noon")]
     bad = validate.violations(found.rows).orderBy("row", "rule")
-    assert rows_of(bad, "row", "rule") == [(3, "invalid_topic"), (5, "miti_without_owner")]
+    assert rows_of(bad, "row", "rule") == [(3, "invalid_topic"), (3, "owner_not_allowed"), (5, "miti_without_owner")]
     store = str(tmp_path / "store")
     with pytest.raises(jobs.BookkeepingError, match="malformed rows"):
         jobs.run_reread(spark, path, store)
