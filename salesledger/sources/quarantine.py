@@ -88,6 +88,11 @@ def _row_text(cells: DataFrame) -> Column:
     return F.coalesce(F.col(_TEXT), F.to_csv(F.struct(*own), {"escape": '"'}))
 
 
+def _with_text(faults: Column, text: Column) -> Column:
+    """A row per fault, each with the row's text inside: Spark 4.1 loses a column beside the generator when it prunes."""
+    return F.explode(F.transform(faults, lambda f: F.struct(f.rule.alias("rule"), f.column.alias("column"), f.value.alias("value"), text.alias("text"))))
+
+
 def split(cells: DataFrame, columns: dict, impossible: dict[str, Column]) -> Checked:
     """Typed rows under internal names, and the rejected ones, from cells as ``read_text_cells`` gives them.
 
@@ -99,8 +104,8 @@ def split(cells: DataFrame, columns: dict, impossible: dict[str, Column]) -> Che
     marked = cells.withColumn("_faults", _faults(typed, unread))
     good = marked.where(F.size("_faults") == 0)
     rows = good.select(*PLACE, *site, *[typed[outer].alias(inner) for outer, (inner, _) in columns.items()])
-    bad = marked.where(F.size("_faults") > 0).select(*site, *PLACE, _row_text(cells).alias("text"), F.inline("_faults"))
-    return Checked(rows, bad.select(*site, *PLACE, "rule", "column", "value", "text"))
+    bad = marked.where(F.size("_faults") > 0).select(*site, *PLACE, _with_text(F.col("_faults"), _row_text(cells)).alias("fault"))
+    return Checked(rows, bad.select(*site, *PLACE, "fault.*"))
 
 
 def check_sales(
@@ -156,6 +161,6 @@ def check_cells(
         for name in fields
     ]
     faults = F.when(F.col(_TEXT).isNotNull(), _malformed()).otherwise(F.array_compact(F.array(*lost)))
-    rejected = read.select(*site, *PLACE, "text", F.inline(faults))
+    rejected = read.select(*site, *PLACE, _with_text(faults, F.col("text")).alias("fault"))
     rows = read.where(F.col(_TEXT).isNull()).select(*site, *PLACE, *S.INTERMEDIATE.names)
-    return Checked(rows, rejected.select(*site, *PLACE, "rule", "column", "value", "text"))
+    return Checked(rows, rejected.select(*site, *PLACE, "fault.*"))
