@@ -9,16 +9,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+"""Folders made for sessions in one process, by application."""
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Where it is unset, a session in one process gets a folder of its own."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, a session in one process gets a folder of its own;
+    the session's settings stay as they are."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not re.fullmatch(r"local(\[[^,\]]*(,[^,\]]*)?\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = tempfile.mkdtemp(prefix="llm-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _own:
+        _own[application] = tempfile.mkdtemp(prefix="llm-")
+    return _own[application]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
