@@ -80,7 +80,7 @@ def fit(docs: DataFrame, size: int = PROFILE, train_rows: int = TRAIN_ROWS) -> d
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     picked = labelled.select(F.xxhash64(F.col("doc_id").cast("string")).alias("_order"), "doc_id")
     picked = picked.orderBy("_order", "doc_id").limit(train_rows).select("doc_id").distinct()
-    # No more rows than train_rows, by the limit.
+    # No more keys than train_rows, by the limit; rows that repeat a key are all read.
     sample = labelled.join(F.broadcast(picked), "doc_id", "left_semi").selectExpr("CAST(lang AS STRING) AS lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,13 +125,15 @@ class _Nearest:
         return self.names[best], 1 - float(total[best]) / (self.size * len(listed))
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, 1 less the distance over the greatest one.
+def predict(
+    docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE, names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``, or other ``names``; the score is 1 less the distance over the greatest one.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text where there is no profile. Ties go to
     the language first by name. Whole texts count; other columns pass through, existing ones of these names are replaced.
     """
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    columns = [c for c in docs.columns if c not in names]
     kept = docs.select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +148,10 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE
                 scores.append(score)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                [*columns, "lang_pred", "score"],
+                [*columns, *names],
             )
 
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    added = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
     schema = T.StructType([*kept.schema.fields, *added])
     return kept.mapInArrow(run, schema)
 

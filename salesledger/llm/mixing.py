@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from salesledger.llm.columns import fresh
 from salesledger.llm.staging import staged
 
 WEIGHTS = (3, 1, 2)
@@ -108,13 +109,14 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix") ->
 
     Documents that are not taken are left out, documents without words come once per epoch of their source.
     """
-    copies = mixed(docs, quality, seed).selectExpr("doc_id", "epochs + int(sampled) AS _copies")
-    copies = copies.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
+    often, copy = fresh("copies", docs.columns), fresh("copy", docs.columns)
+    copies = mixed(docs, quality, seed).selectExpr("doc_id", f"epochs + int(sampled) AS {often}")
+    copies = copies.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(often).alias(often))
     joined = docs.join(copies, "doc_id", "left")
-    often = joined.where("coalesce(_copies, 1) > 0").selectExpr(
-        *[f"`{c}`" for c in docs.columns], "explode(sequence(1, coalesce(_copies, 1))) AS _copy"
+    often = joined.where(f"coalesce({often}, 1) > 0").selectExpr(
+        *[f"`{c}`" for c in docs.columns], f"explode(sequence(1, coalesce({often}, 1))) AS {copy}"
     )
-    return often.select(*docs.columns)
+    return often.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle_sql() -> str:

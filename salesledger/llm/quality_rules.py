@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from salesledger.llm.columns import fresh
+
 SPACES = r"\x20\x09-\x0D"
 _QUOTED = SPACES.replace("\\", "\\\\")
 """The same inside a string of Spark's SQL."""
@@ -69,38 +71,39 @@ def measures(docs: DataFrame, stop_words: dict[str, str] = STOP_WORDS) -> DataFr
     Columns of ``docs`` with the name of a measure are replaced.
     """
     text = "coalesce(CAST(text AS STRING), '')"
+    w, l, h = (fresh(name, docs.columns) for name in ("words", "lines", "hashes"))
     split = docs.selectExpr(
         "*",
-        f"filter(split({text}, '[{_QUOTED}]+'), x -> x <> '') AS _w",
-        rf"filter(split({text}, '\n'), x -> x RLIKE '[^{_QUOTED}]') AS _l",
+        f"filter(split({text}, '[{_QUOTED}]+'), x -> x <> '') AS {w}",
+        rf"filter(split({text}, '\n'), x -> x RLIKE '[^{_QUOTED}]') AS {l}",
     )
     # A window of 5 words as a 64-bit hash, by its first word.
     hashed = split.selectExpr(
         "*",
-        """if(size(_w) < 5, CAST(array() AS ARRAY<BIGINT>), transform(sequence(0, size(_w) - 5),
-             i -> xxhash64(_w[i], _w[i + 1], _w[i + 2], _w[i + 3], _w[i + 4]))) AS _h""",
+        f"""if(size({w}) < 5, CAST(array() AS ARRAY<BIGINT>), transform(sequence(0, size({w}) - 5),
+             i -> xxhash64({w}[i], {w}[i + 1], {w}[i + 2], {w}[i + 3], {w}[i + 4]))) AS {h}""",
     )
     # Where all windows differ, which a hash set tells, no more is done. Else equal windows are neighbours once sorted; each
     # first word of such a window adds the words up to the next such, 5 at most, so no word counts twice.
-    starts = """sort_array(transform(
-        transform(array(sort_array(transform(_h, (h, i) -> struct(h AS h, i AS i)))),
+    starts = f"""sort_array(transform(
+        transform(array(sort_array(transform({h}, (h, i) -> struct(h AS h, i AS i)))),
                   s -> filter(s, (p, k) -> coalesce(p.h = get(s, k - 1).h, false) OR coalesce(p.h = get(s, k + 1).h, false)))[0],
         p -> p.i))"""
     measured = {
-        "n_words": "size(_w)",
+        "n_words": f"size({w})",
         "word_chars": f"length(regexp_replace({text}, '[{_QUOTED}]+', ''))",
         "n_symbols": f"length({text}) - length(translate({text}, '{SYMBOLS}', ''))",
-        "n_lines": "size(_l)",
-        "n_dup_lines": "size(_l) - size(array_distinct(_l))",
-        "n_repeat_words": f"""CASE WHEN size(array_distinct(_h)) = size(_h) THEN 0 ELSE
+        "n_lines": f"size({l})",
+        "n_dup_lines": f"size({l}) - size(array_distinct({l}))",
+        "n_repeat_words": f"""CASE WHEN size(array_distinct({h})) = size({h}) THEN 0 ELSE
             aggregate({starts}, named_struct('n', 0, 'at', -5),
                       (s, i) -> named_struct('n', s.n + least(5, i - s.at), 'at', i), s -> s.n) END""",
-        "n_stop_words": f"size(filter(_w, x -> lower(x) IN ({stop_list(stop_words)})))",
-        "n_bullet_lines": f"size(filter(_l, x -> x RLIKE '^[{_QUOTED}]*[-*•]'))",
-        "n_ellipsis_lines": f"size(filter(_l, x -> x RLIKE '([.][.][.]|…)[{_QUOTED}]*$'))",
+        "n_stop_words": f"size(filter({w}, x -> lower(x) IN ({stop_list(stop_words)})))",
+        "n_bullet_lines": f"size(filter({l}, x -> x RLIKE '^[{_QUOTED}]*[-*•]'))",
+        "n_ellipsis_lines": f"size(filter({l}, x -> x RLIKE '([.][.][.]|…)[{_QUOTED}]*$'))",
     }
     return hashed.withColumns({name: F.expr(f"CAST({sql} AS BIGINT)") for name, sql in measured.items()}).drop(
-        "_w", "_l", "_h"
+        w, l, h
     )
 
 

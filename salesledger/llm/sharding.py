@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salesledger.llm.columns import fresh
+
 BLOCKS = 256
 """Parts of a shard that are numbered on their own; one holds 1 / (shards * BLOCKS) of the rows."""
 
@@ -45,20 +47,23 @@ def with_shards(docs: DataFrame, shards: int, key: str = "doc_id", blocks: int =
 
     A shard's rows are numbered in blocks of keys by another hash of the key: the rows of each block are counted from the key
     column alone, running sums over the few thousand blocks give their first slots, and rows are ordered
-    inside blocks only. Rows that repeat a key share shard and block and get different slots; null is a key. Other columns
-    pass through; existing columns of these names are replaced.
+    inside blocks only. Rows that repeat a key share shard and block and get different slots, in the order of ``text_crc32`` and
+    ``size`` where there are such columns, so rows of one key and other texts keep theirs; null is a key. Other columns pass
+    through; existing columns of these names are replaced.
     """
+    ties = [c for c in ("text_crc32", "size") if c in docs.columns]
+    names = [c for c in docs.columns if c not in ("shard", "grown_shard", "slot")]
+    part, first_slot = fresh("block", names), fresh("first", names)
     block = F.pmod(F.xxhash64(F.lit("block"), F.col(key)), F.lit(blocks)).cast("int")
-    counts = docs.select(shard_of(shards, key).alias("shard"), block.alias("_block")).groupBy("shard", "_block").count()
+    counts = docs.select(shard_of(shards, key).alias("shard"), block.alias(part)).groupBy("shard", part).count()
     # At most shards * blocks rows, whatever the input.
     first = counts.selectExpr(
-        "shard", "_block", "sum(count) OVER (PARTITION BY shard ORDER BY _block) - count AS _first"
+        "shard", part, f"sum(count) OVER (PARTITION BY shard ORDER BY {part}) - count AS {first_slot}"
     )
-    names = [c for c in docs.columns if c not in ("shard", "grown_shard", "slot")]
-    placed = docs.select(*names, shard_of(shards, key).alias("shard"), block.alias("_block"))
-    placed = placed.join(F.broadcast(first), ["shard", "_block"])
+    placed = docs.select(*names, shard_of(shards, key).alias("shard"), block.alias(part))
+    placed = placed.join(F.broadcast(first), ["shard", part])
     numbered = placed.withColumn(
-        "slot", F.expr(f"_first + row_number() OVER (PARTITION BY shard, _block ORDER BY {key}) - 1")
+        "slot", F.expr(f"{first_slot} + row_number() OVER (PARTITION BY shard, {part} ORDER BY {', '.join([key, *ties])}) - 1")
     )
     return numbered.select(*names, "shard", "slot", shard_of(shards + 1, key).alias("grown_shard"))
 

@@ -48,6 +48,7 @@ def odd_documents(spark):
         (10, "word" * 400_000, "de", "c", "x"),
     ]
     names = ["size", "weight", "seed", "key", "shard", "bin", "band", "home", "h", "w", "label", "score", "slot"]
+    names += ["lang_pred", "_block", "_first", "_w", "_l", "_h", "_words", "_lines", "_hashes", "_copies", "_copy", "_spans", "_cut"]
     schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names)
     return spark.createDataFrame([row + (row[4],) * (len(names) - 1) for row in rows], schema)
 
