@@ -27,8 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[application]
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` and read it back: its lineage ends, readers get pruned columns, a lost executor costs nothing."""
+def staged(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write ``df`` and read it back: its lineage ends, readers get pruned columns, a lost executor costs nothing.
+
+    ``release`` asks the driver to collect its garbage afterwards: Spark deletes the shuffle files behind ``df`` when the driver
+    no longer knows them, which else happens whenever its memory fills.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if release:
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)

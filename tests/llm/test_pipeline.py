@@ -6,6 +6,7 @@ import sys
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from salesledger.llm import packing
 from llm.conftest import ROOT, SMALL
 from llm.test_near_dedup import brute
@@ -55,6 +56,20 @@ def test_stages_one_by_one(spark, documents, tmp_path):
     assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, SMALL).collect()) == last
 
 
+def test_columns_of_other_names_keep_their_values(spark, odd_documents):
+    """All stages but the last on a table whose columns have names that operators use, some of them with a value per row."""
+    docs = odd_documents.withColumns({"score": F.expr("doc_id * 1.5D"), "lang_pred": F.expr("concat('mine ', doc_id)")})
+    docs = docs.withColumn("_cut", F.expr("concat('cut ', doc_id)"))
+    own = [c for c in docs.columns if c not in ("text", "lang")]
+    given = {tuple(r) for r in docs.select(own).collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and {tuple(r[c] for c in own) for r in rows} <= given, name
+        docs = spark.createDataFrame(rows, docs.schema)
+
+
 def test_unlabelled_documents_stay(spark):
     rows = [(1, "some words", None), (2, "123 ...", None), (3, None, None), (4, "", None), (5, "é", None), (6, None, "en"), (7, "9", "fr")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

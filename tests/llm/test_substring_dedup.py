@@ -155,10 +155,62 @@ def test_seeds_of_equal_runs_meet():
     shared = rng.integers(0, 1 << 60, 17, dtype=np.uint64)
     for _ in range(50):
         texts = [np.concatenate([rng.integers(0, 1 << 60, int(n), dtype=np.uint64), shared, rng.integers(0, 1 << 60, 30, dtype=np.uint64)]) for n in rng.integers(0, 40, 2)]
-        one, two = (set(substring_dedup.seeds_of(t)[0].tolist()) for t in texts)
+        one, two = (set(substring_dedup.seeds_of(t, np.array([len(t)]))[0].tolist()) for t in texts)
         assert one & two
 
 
+def test_texts_together_have_the_seeds_and_blocks_of_each_alone():
+    rng = np.random.default_rng(9)
+    sizes = [0, 5, 6, 16, 17, 18, 49, 50, 51, 74, 75, 300, 0, 90]
+    texts = [rng.integers(0, 1 << 60, n, dtype=np.uint64) for n in sizes]
+    texts += [np.resize(rng.integers(0, 1 << 60, k, dtype=np.uint64), 120) for k in (1, 3, 12, 13)]
+    lengths = np.array([len(t) for t in texts])
+    words, starts = np.concatenate(texts), np.cumsum(lengths) - lengths
+    for find in (lambda w, n: substring_dedup.seeds_of(w, n), lambda w, n: substring_dedup.blocks_of(w, n, 50)):
+        hashes, *places, = find(words, lengths)
+        got = [(int(h), *(int(p[i]) for p in places)) for i, h in enumerate(hashes)]
+        alone = []
+        for text, start in zip(texts, starts.tolist()):
+            own, *at = find(text, np.array([len(text)]))
+            plain = len(at) > 1  # the last column of a block is a hash, the others are places
+            alone += [(int(h), *(int(p[i]) + (0 if plain and p is at[-1] else start) for p in at)) for i, h in enumerate(own)]
+        assert sorted(got) == sorted(alone) and got
+
+
+def test_only_words_between_passages_of_one_home_are_cut(spark):
+    rng = np.random.default_rng(2)
+    one, two, new = prose(rng, 30), prose(rng, 30), [f"new{i}" for i in range(8)]
+    long = prose(rng, 90)
+    docs = [prose(rng, 20) + one + prose(rng, 20), prose(rng, 20) + two + prose(rng, 20), ["a", *one, *new, *two, "b"]]
+    docs += [long, long[:45] + new + long[45:], one + two[:0] + long[:26], one[4:] + long[:26] + new]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    spans = {r.doc_id: (r.start, r.end) for r in substring_dedup.repeated_passages(df).collect()}
+    assert spans.pop(5, (0, 56)) == (0, 56)  # 30 words of one home and 26 of another, side by side
+    assert spans == {4: (0, 98), 6: (0, 52)}
+    cut = {r.doc_id: r.text.split() for r in substring_dedup.drop_repeated_passages(df).collect()}
+    assert cut[2] == docs[2] and 4 not in cut and cut[6] == new
+
+
+def test_merged_spans():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(1, 12))
+        start = rng.integers(0, 60, n)
+        end, home = start + rng.integers(1, 20, n), rng.integers(0, 3, n)
+        matched, at = rng.integers(1, 50, n), rng.integers(0, 9, n)
+        covered = set()
+        for h in set(home.tolist()):
+            own = sorted((int(s), int(e)) for s, e, x in zip(start, end, home) if x == h)
+            reach = own[0][0]
+            for s, e in own:
+                covered |= set(range(s if s > reach + substring_dedup.MAX_GAP else min(s, reach), e))
+                reach = max(reach, e)
+        got = substring_dedup.merged(start, end, matched, home, at)
+        assert {p for s, e in zip(got[0], got[1]) for p in range(s, e)} == covered
+        assert all(b > a for a, b in zip(got[1], got[0][1:]))
+        assert int(got[4].max()) == int(matched.max())
+
+
 def test_cut_out_keeps_the_rest():
     text = " a b\tc\n\nd  e "
     assert substring_dedup.cut_out(text, [(1, 3)]) == " a d  e "
