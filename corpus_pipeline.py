@@ -6,8 +6,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from salesledger.llm import language_id, mixing, near_dedup, packing, substring_dedup
+from salesledger.llm.columns import fresh
 from salesledger.llm.staging import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,12 +29,14 @@ def _short_batches(stage: Stage) -> Stage:
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language, which replaces ``lang``; those without a letter go.
 
-    Where no document has both a language and letters, nothing can be recognised: ``lang`` stays as it is.
+    All other columns keep their values, whatever their names. Where no document has both a language and letters, nothing can be recognised: ``lang`` stays as it is.
     """
     profiles = language_id.fit(docs)
+    lang, score = fresh("lang", docs.columns), fresh("score", docs.columns)
     # Any profile tells the texts with a letter from those without.
-    known = language_id.predict(docs, profiles or {"any": [0]}).where(f"lang_pred <> '{language_id.UNKNOWN}'")
-    return (known.withColumn("lang", known.lang_pred) if profiles else known).select(*docs.columns)
+    known = language_id.predict(docs, profiles or {"any": [0]}, names=(lang, score))
+    known = known.where(F.col(lang) != language_id.UNKNOWN)
+    return (known.withColumn("lang", F.col(lang)) if profiles else known).select(*docs.columns)
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
