@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,7 @@ def staged(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if release:
-        gc.collect()  # Python's side of what the driver knows
+        gc.collect()  # Python's side of what the driver knows; its thread tells the driver every tenth of a second
+        time.sleep(0.5)
         df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
