@@ -48,6 +48,11 @@ def _accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.accounting(star.intermediate(spark, sf_dir))
 
 
+def _ledger(rows: DataFrame) -> DataFrame:
+    """Postings from the rows, which the reports and the details read."""
+    return postings.ledger(export.accounting(rows), rows)
+
+
 def _invalid_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = star.edited(spark, sf_dir, faulty=True)
     found = [validate.invalid_values(df, field).withColumn("field", F.lit(field)) for field in validate.ALLOWED]
@@ -93,12 +98,12 @@ def _two_sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _sites_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intermediate table of two sites that number their transactions alike, from one call; the same manual labels for both."""
-    return redact.apply_overrides(prepare(*_two_sites(spark, sf_dir)), star.overrides(spark, sf_dir), on=("description",))
+    rows = prepare(*_two_sites(spark, sf_dir), stage=star.staging(spark))
+    return redact.apply_overrides(rows, star.overrides(spark, sf_dir), on=("description",))
 
 
 def _sites_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sites_edited(spark, sf_dir)
-    return postings.ledger(export.accounting(rows), rows)
+    return _ledger(star.stored(_sites_edited(spark, sf_dir)))
 
 
 def _sites_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +164,7 @@ def catalog() -> dict[str, Query]:
         "rounding_correction": lambda s, d: postings.rounding_correction(_accounting(s, d)),
         "posting_summary": lambda s, d: postings.posting_summary(_accounting(s, d)),
         "posting_details": lambda s, d: postings.posting_details(intermediate(s, d)),
-        "banana_ledger": lambda s, d: postings.ledger(_accounting(s, d), intermediate(s, d)),
+        "banana_ledger": lambda s, d: _ledger(intermediate(s, d)),
         "journal_movements": lambda s, d: closing.journal_movements(star.journal(s, d), CLOSING_MONTH),
         "account_balances": _balances,
         "account_balances_since_new_year": lambda s, d: _balances(s, d, since_new_year=True),

@@ -14,6 +14,7 @@ from salesledger import schema as S
 from salesledger.operators.closing import Budget
 from salesledger.operators.redact import apply_overrides
 from salesledger.plans.prepare import prepare
+from salesledger.plans.staging import Staging
 
 # --- fixed values: part size -> description; every other size keeps the part's name ------------------
 DESCRIPTIONS = {
@@ -182,8 +183,19 @@ def overrides(spark: SparkSession, sf_dir: str, faulty: bool = False) -> DataFra
     ).where("topic IS NOT NULL")
 
 
+def staging(spark: SparkSession) -> Staging | None:
+    """Storage for tables that several steps read, as the jobs have it; none where the session names no shared folder."""
+    return Staging(spark) if spark.conf.get("spark.checkpoint.dir", None) else None
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` stored and read back, or as it is where there is no shared folder."""
+    stage = staging(df.sparkSession)
+    return stage(df) if stage else df
+
+
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare(sales(spark, sf_dir), transactions(spark, sf_dir))
+    return prepare(sales(spark, sf_dir), transactions(spark, sf_dir), stage=staging(spark))
 
 
 def edited(spark: SparkSession, sf_dir: str, faulty: bool = False) -> DataFrame:
@@ -192,8 +204,8 @@ def edited(spark: SparkSession, sf_dir: str, faulty: bool = False) -> DataFrame:
 
 
 def intermediate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edited table that the export starts from."""
-    return edited(spark, sf_dir)
+    """The edited table that the export starts from, stored as the job stores it."""
+    return stored(edited(spark, sf_dir))
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
