@@ -14,6 +14,7 @@ from salesledger.operators.redact import add_rows, apply_overrides, duplicate_ov
 from salesledger.operators.skew import hot_keys
 from salesledger.plans.export import details_with_totals, partner_transactions, reports
 from salesledger.plans.prepare import prepare, transaction_facts
+from salesledger.plans.publish import publication
 from salesledger.plans.staging import staging
 from salesledger.sources import sinks
 from salesledger.sources.intermediate import read_intermediate
@@ -90,7 +91,8 @@ def run_prepare(
     Rows that cannot be read stop the job, which names their files and rows. With ``quarantine``, a folder, they are stored
     there as ``sales`` and ``transactions``, and the job goes on with the others. ``in_row_order``: see ``prepare``.
 
-    With ``site_pattern`` (see ``read_sales``) the files of several sites are worked on in one call.
+    With ``site_pattern`` (see ``read_sales``) the files of several sites are worked on in one call. ``mode`` may be
+    ``overwrite``, or ``months`` to replace the months of these files and leave the others; the table changes when it is complete.
 
     A failing check stores its rows under ``<target>_violations``. Tables in between are kept in ``staging_folder``, by
     default ``spark.checkpoint.dir``, and deleted at the end.
@@ -130,7 +132,8 @@ def run_prepare(
             twice = duplicate_overrides(overrides)
             fail_on(twice, "overrides that name a row more than once", f"{found}/duplicate_overrides")
             prepared = apply_overrides(prepared, overrides)
-        sinks.write_intermediate(prepared, target, mode)
+        with publication(spark, target, mode) as run:
+            sinks.write_intermediate(prepared, run)
     return validate.zero_value_rows(read_intermediate(spark, target, sites=bool(site_pattern)))
 
 
@@ -158,7 +161,8 @@ def run_reread(
             broken = checked.rejected.where("rule = 'malformed_row'")
             fail_on(broken, "malformed rows in the edited table", f"{target.rstrip('/')}_violations/malformed")
         rows = checked.rows if extra is None else add_rows(checked.rows, extra)
-        sinks.write_intermediate(rows, target, mode)
+        with publication(spark, target, mode) as run:
+            sinks.write_intermediate(rows, run)
 
 
 def run_export(
@@ -173,6 +177,8 @@ def run_export(
 
     ``sites`` says that the table was stored with a site; the reports then have one as well.
 
+    The six tables appear together or not at all; see ``publication`` for ``mode``.
+
     The table is read for the validation, for the daily sums, for the few rows that are posted in detail, and to
     write the rows and those of the partner. Everything else follows from the daily table.
     """
@@ -180,17 +186,17 @@ def run_export(
     rows = read_intermediate(spark, source, sites)
     invalid = validate.violations(read_intermediate(spark, source, sites, places=True))
     fail_on(invalid, "invalid rows in the intermediate table", f"{found}/rows")
-    with staging(spark, staging_folder) as stage:
+    with staging(spark, staging_folder) as stage, publication(spark, target, mode) as run:
         details = stage(details_with_totals(rows))
         made = reports(details, stage(postings.detail_rows(rows)))
         errors = postings.balance_violations(made.accounting).where(F.col("severity") == "error")
         fail_on(errors, "transitory accounts that do not net to zero", f"{found}/balances")
-        sinks.write_report(made.details, f"{target}/details", S.DETAILS_REPORT, ["date"], mode)
-        sinks.write_report(made.partner, f"{target}/mittagstisch", S.PARTNER_REPORT, ["date"], mode)
-        sinks.write_report(made.accounting, f"{target}/accounting", S.ACCOUNTING_REPORT, ["date"], mode)
-        sinks.write_report(made.ledger, f"{target}/banana", S.LEDGER_REPORT, ["datum", "beschreibung"], mode)
-    sinks.write_intermediate(rows.drop("month"), f"{target}/transactions", mode)
-    sinks.write_intermediate(partner_transactions(rows).drop("month"), f"{target}/mittagstisch/transactions", mode)
+        sinks.write_report(made.details, f"{run}/details", S.DETAILS_REPORT, ["date"])
+        sinks.write_report(made.partner, f"{run}/mittagstisch", S.PARTNER_REPORT, ["date"])
+        sinks.write_report(made.accounting, f"{run}/accounting", S.ACCOUNTING_REPORT, ["date"])
+        sinks.write_report(made.ledger, f"{run}/banana", S.LEDGER_REPORT, ["datum", "beschreibung"])
+        sinks.write_intermediate(rows.drop("month"), f"{run}/transactions")
+        sinks.write_intermediate(partner_transactions(rows).drop("month"), f"{run}/mittagstisch/transactions")
 
 
 def run_close(

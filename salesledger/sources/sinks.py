@@ -1,5 +1,6 @@
-"""Writers. ``rebalance`` lets AQE cut large months into several files and join small ones, instead of one task
-per month. Rows are sorted within each file: a global sort of all months would serve nobody."""
+"""Writers. Rows are dealt to files by ranges of (month, order), so a month's files in the order of their names hold its rows in
+whole order, a large month has several files and small ones share a task. Ranges come from a sample of the keys, which Spark
+takes in a pass of its own; a hash of the whole row ends the key, so that rows which agree in the order can be parted."""
 
 from __future__ import annotations
 
@@ -15,9 +16,10 @@ ROW_ORDER = ["date", "time", "transaction_id", "description"]
 
 def _by_month(df: DataFrame, path: str, order: list[str], mode: str) -> None:
     folders = [*site_of(df), "month"]
-    even = df.hint("rebalance", *folders)
-    sort = [F.col(f"`{name}`").asc_nulls_last() for name in order]
-    even.sortWithinPartitions(*folders, *sort).write.mode(mode).partitionBy(*folders).parquet(path)
+    sort = [*folders, *[F.col(f"`{name}`").asc_nulls_last() for name in order]]
+    whole = F.xxhash64(*[F.col(f"`{name}`") for name in df.columns])
+    ranges = df.repartitionByRange(*sort, whole)
+    ranges.sortWithinPartitions(*sort).write.mode(mode).partitionBy(*folders).parquet(path)
 
 
 def write_intermediate(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
