@@ -76,6 +76,39 @@ def test_odd_rows(spark):
     assert nearest.nearest(df.limit(0)).count() == 0
 
 
+def test_scaled_copies_go_by_id(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(8)
+    rows = [(i, (base * 2.0 ** ((i * 7) % 40 - 20)).tolist()) for i in range(1, 61)]
+    rows += [(i, rng.standard_normal(8).tolist()) for i in range(61, 99)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = by_query(nearest.nearest(df))
+    assert [i for i, _ in got[50]] == [1, 2, 3, 4, 5]
+    # Other factors leave rounding errors: the least ids count as well.
+    uneven = [(i, (base * (1 + i / 7)).tolist()) for i in range(1, 61)]
+    got = by_query(nearest.nearest(spark.createDataFrame(uneven, "vec_id long, embedding array<double>")))
+    assert {i for i, _ in got[50]} <= {1, 2, 3, 4, 5, 6}
+
+
+def test_queries_alone_in_their_list_are_searched_again(spark):
+    rng = np.random.default_rng(4)
+    tight = [(i, (np.eye(16)[i % 4] + 0.01 * rng.standard_normal(16)).tolist()) for i in range(1, 400) if i % 50]
+    lone = [(50 * (i + 1), (np.eye(16)[8 + i] + 0.01 * rng.standard_normal(16)).tolist()) for i in range(7)]
+    df = spark.createDataFrame(tight + lone, "vec_id long, embedding array<double>")
+    got = by_query(nearest.nearest(df, per_list=20, recall=0.5))
+    assert len(got) == 7 and all(len(near) == 5 for near in got.values())
+
+
+def test_recall_of_the_registered_settings(spark):
+    rng = np.random.default_rng(5)
+    groups = rng.standard_normal((300, 32))
+    vectors = groups[rng.integers(0, 300, 30_000)] + 0.7 * rng.standard_normal((30_000, 32))
+    assert len(vectors) // nearest.PER_LIST >= 50
+    rows = [(i + 1, v) for i, v in enumerate(vectors.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert recall(by_query(nearest.nearest(df)), exact(rows)) >= 0.9
+
+
 def test_scan_finds_the_nearest():
     rng = np.random.default_rng(2)
     block = rng.standard_normal((5000, 64))
