@@ -69,7 +69,7 @@ def tip_lines(
     headers = sales.where(F.col("transaction_id").isNotNull()).select(*site, *TIP_HEADER)
     tips = base.where(F.col("tip") > 0).select(*keys, "tip").distinct()
     # Most transactions have no tip: theirs go before anything is made distinct.
-    tipped = spread_join(headers, tips, keys, "inner", hot)
+    tipped = spread_join(headers, tips, keys, "inner", hot, hashed=True)
     if grain == "line":
         tipped = tipped.distinct()
     else:

@@ -73,13 +73,15 @@ def spread_join(
     how: str,
     hot: DataFrame | None = None,
     null_safe: bool = False,
+    hashed: bool = False,
 ) -> DataFrame:
     """Join on ``key`` with the rows of heavy keys on the left spread over several partitions.
 
     ``how`` is inner, left, left_semi or left_anti. ``hot`` is a table of heavy keys, with their ``rows`` if known;
     without it they are looked up in ``left``. Each heavy key gets one salt per ROWS_PER_SALT of its rows, and the right
     side is repeated once per salt. With ``null_safe`` a missing key equals a missing key. Keys below the thresholds of
-    ``hot_keys`` are left to adaptive execution, which should be on.
+    ``hot_keys`` are left to adaptive execution, which should be on. With ``hashed`` the rows on the right are hashed by partition
+    instead of sorting both sides; it is for a right side with few rows per key, so that a partition of it fits in a task.
     """
     keys = _listed(key)
     name = _item_name(keys)
@@ -107,6 +109,8 @@ def spread_join(
     )
     if not null_safe:
         spread_right = spread_right.where(" AND ".join(f"_key{i} IS NOT NULL" for i in range(len(keys))))
+    if hashed:
+        spread_right = spread_right.hint("shuffle_hash")
     same = "<=>" if null_safe else "="
     equal = " AND ".join(f"{k} {same} _key{i}" for i, k in enumerate(keys))
     joined = spread_left.join(spread_right, F.expr(f"{equal} AND _salt = _salt_r"), how)

@@ -103,7 +103,9 @@ def prepare(
     tips = tip_lines(sales, facts.where("NOT refunded"), tip_grain, hot)
 
     lines = sales.select(*site, *LINE).unionByName(tips.select(*site, *LINE))
-    with_facts = spread_join(lines, facts, keys, "left", hot).where(~F.coalesce("refunded", F.lit(False)))
+    # A transaction has several lines and about one fact: the facts are hashed, and the shares of its fee start from doubles.
+    shares = facts.withColumns({name: F.col(name).cast("double") for name in ("commissioned_total", "fee")})
+    with_facts = spread_join(lines, shares, keys, "left", hot, hashed=True).where(~F.coalesce("refunded", F.lit(False)))
     trimmed = with_facts.withColumn("description", strip(F.col("description")))
     marks_shift = F.col("description") == S.SHIFT_CHANGE
     priced = trimmed.withColumns(

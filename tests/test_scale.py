@@ -166,3 +166,24 @@ def test_no_cross_join_no_window_no_python(spark):
         for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Window [", "BatchEvalPython", "ArrowEvalPython"):
             assert node not in text
     assert S.INTERMEDIATE.names == prepare(sales, booked).columns
+
+
+def test_facts_meet_the_lines_hashed(spark):
+    sales, booked = heavy_reports(spark)
+    facts, hot = Staging(spark)(transaction_facts(sales, booked)), Staging(spark)(hot_keys(sales, "transaction_id"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(prepare(sales, booked, hot, facts=facts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "ShuffledHashJoin [transaction_id" in text
+
+
+def test_spread_join_hashed_equals_join(spark):
+    left = skewed(spark)
+    right = left.select("k").distinct().select("k", F.length("k").alias("n")).where("k IS NULL OR n <> 3 OR k = 'hot'")
+    for how in ("inner", "left"):
+        plain = left.join(right, "k", how).groupBy("k", "v").count()
+        spread = spread_join(left, right, "k", how, hashed=True).groupBy("k", "v").count()
+        assert plain.exceptAll(spread).count() == 0 and spread.exceptAll(plain).count() == 0

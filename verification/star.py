@@ -68,6 +68,7 @@ def _orders(spark: SparkSession, sf_dir: str, sites: int = 1) -> DataFrame:
         "o_orderpriority",
         "o_totalprice",
         "CAST(o_orderdate AS DATE) AS day",
+        f"concat(date_format(CAST(o_orderdate AS DATE), 'dd.MM.yyyy'), ', ', left(concat({clock}), 5)) AS sold_at",
         f"concat('T', o_orderkey div {sites}) AS order_id",
         f"concat('s', o_orderkey % {sites}) AS site",
         "concat('c', o_custkey, '@b.ch') AS account",
@@ -84,32 +85,49 @@ def _site(sites: int) -> list[str]:
 def sales(spark: SparkSession, sf_dir: str, sites: int = 1) -> DataFrame:
     """Sales report: the line items, and for refunded orders a second line per item that takes it back.
 
-    What is taken back of large orders is one too little, so their refund does not balance.
+    What is taken back of large orders is one too little, so their refund does not balance. What follows from the order or the
+    part alone is made there, before the lines meet them.
     """
+    money = "DECIMAL(18, 2)"
+    orders = _orders(spark, sf_dir, sites).selectExpr(
+        *_site(sites),
+        "o_orderkey",
+        "sold_at",
+        "order_id",
+        "payment",
+        "account",
+        "refunded",
+        "year(day) < 1998 AS early",
+        "o_totalprice > 400000 AS large",
+    )
+    parts = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey",
+        f"{DESCRIPTION} AS description",
+        """CASE WHEN p_type = 'ECONOMY' THEN 'Mittagstisch'
+                WHEN p_type = 'PROMO' AND p_brand IN ('Brand#7', 'Brand#8') THEN 'Kultur Essen (PO)'
+                ELSE lower(p_type) END AS category""",
+    )
     lines = (
         table(spark, sf_dir, "lineitem")
-        .join(_orders(spark, sf_dir, sites), F.expr("l_orderkey = o_orderkey"))
-        .join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
+        .join(orders.hint("shuffle_hash"), F.expr("l_orderkey = o_orderkey"))
+        .join(parts, F.expr("l_partkey = p_partkey"))
         .selectExpr(
             *_site(sites),
-            "concat(date_format(day, 'dd.MM.yyyy'), ', ', left(clock, 5)) AS sold_at",
+            "sold_at",
             "CASE WHEN l_discount = 0 AND l_tax = 0 THEN NULL ELSE order_id END AS transaction_id",
             "payment",
             "CAST(l_quantity AS BIGINT) AS quantity",
-            f"{DESCRIPTION} AS description",
-            """CASE WHEN p_type = 'ECONOMY' THEN 'Mittagstisch'
-                    WHEN p_type = 'PROMO' AND p_brand IN ('Brand#7', 'Brand#8') THEN 'Kultur Essen (PO)'
-                    ELSE lower(p_type) END AS category""",
+            "description",
+            "category",
             """CAST(CASE WHEN l_discount = 0.1 AND l_tax = 0.08 THEN 0 WHEN l_linenumber = 7 THEN l_quantity
                          ELSE l_extendedprice END AS DECIMAL(18, 2)) AS price""",
             "l_linestatus = 'O' AND l_returnflag = 'A' AS no_net",
             "account",
             "CASE WHEN refunded THEN array(false, true) ELSE array(false) END AS sides",
-            "CASE WHEN year(day) < 1998 THEN 'Refund' ELSE 'Rückerstattung' END AS refund_kind",
-            "CAST(CASE WHEN o_totalprice > 400000 THEN 1 ELSE 0 END AS DECIMAL(18, 2)) AS too_little",
+            "CASE WHEN early THEN 'Refund' ELSE 'Rückerstattung' END AS refund_kind",
+            "CAST(CASE WHEN large THEN 1 ELSE 0 END AS DECIMAL(18, 2)) AS too_little",
         )
     )
-    money = "DECIMAL(18, 2)"
     sides = lines.selectExpr("*", "explode(sides) AS back").selectExpr(
         "*", f"CAST(CASE WHEN back THEN too_little - price ELSE price END AS {money}) AS amount"
     )
