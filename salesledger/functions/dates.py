@@ -36,7 +36,8 @@ def sale_date(sold_at: Column) -> Column:
 
 def impossible_sale_date(sold_at: Column) -> Column:
     """Whether the text has the form of a date but the day does not exist, such as 31.02.2024."""
-    return _sale_day(sold_at).isNotNull() & _sale_day(sold_at).try_cast("date").isNull()
+    # A day that exists decides at once, so the pattern is tried once for it.
+    return _sale_day(sold_at).try_cast("date").isNull() & _sale_day(sold_at).isNotNull()
 
 
 def booking_date(booked_at: Column) -> Column:
@@ -45,7 +46,7 @@ def booking_date(booked_at: Column) -> Column:
 
 def impossible_booking_date(booked_at: Column) -> Column:
     day = group_or_null(booked_at, BOOKING_DATE)
-    return day.isNotNull() & day.try_cast("date").isNull()
+    return day.try_cast("date").isNull() & day.isNotNull()
 
 
 def booking_time(booked_at: Column) -> Column:

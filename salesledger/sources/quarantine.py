@@ -100,11 +100,13 @@ def split(cells: DataFrame, columns: dict, impossible: dict[str, Column]) -> Che
     """
     site = [name for name in cells.columns if name == "site"]
     typed = {outer: F.col(f"`{outer}`").try_cast(kind) for outer, (_, kind) in columns.items()}
-    unread = {outer: value.isNull() | impossible.get(outer, F.lit(False)) for outer, value in typed.items()}
-    marked = cells.withColumn("_faults", _faults(typed, unread))
-    good = marked.where(F.size("_faults") == 0)
-    rows = good.select(*PLACE, *site, *[typed[outer].alias(inner) for outer, (inner, _) in columns.items()])
-    bad = marked.where(F.size("_faults") > 0).select(*site, *PLACE, _with_text(F.col("_faults"), _row_text(cells)).alias("fault"))
+    unread = {outer: value.isNull() | impossible[outer] if outer in impossible else value.isNull() for outer, value in typed.items()}
+    # Most rows are good: the list of faults is made for the others alone.
+    good = F.col(_TEXT).isNull()
+    for outer in columns:
+        good &= F.col(f"`{outer}`").isNull() | ~unread[outer]
+    rows = cells.where(good).select(*PLACE, *site, *[typed[outer].alias(inner) for outer, (inner, _) in columns.items()])
+    bad = cells.where(~good).select(*site, *PLACE, _with_text(_faults(typed, unread), _row_text(cells)).alias("fault"))
     return Checked(rows, bad.select(*site, *PLACE, "fault.*"))
 
 

@@ -43,5 +43,6 @@ def numbered(raw: DataFrame, first: int = 1, stage: Stage | None = None) -> Data
     before = stretches.selectExpr(
         FILE, "_block", f"{first} + sum(_n) OVER (PARTITION BY {FILE} ORDER BY _block) - _n - _first AS _shift"
     )
-    met = rows.join(before, [FILE, "_block"]).withColumn(ROW, F.col("_at") + F.col("_shift"))
+    # Their number is that of the stretches the reader plans, so every task can hold them and no row of the files is shuffled.
+    met = rows.join(F.broadcast(before), [FILE, "_block"]).withColumn(ROW, F.col("_at") + F.col("_shift"))
     return met.select(*PLACE, *[F.col(f"`{name}`") for name in raw.columns])

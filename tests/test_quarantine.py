@@ -127,3 +127,17 @@ def test_cells_and_violations_name_their_rows(spark, tmp_path):
         jobs.run_export(spark, store, str(tmp_path / "out"))
     assert "edited.csv', 'row': 3" in str(error.value) and "'row': None" in str(error.value)
     assert read_intermediate(spark, store).columns == S.STORED_INTERMEDIATE.names
+
+
+def test_rows_are_numbered_without_a_shuffle_of_them(spark, tmp_path):
+    for name in ("a.csv", "b.csv"):
+        sales_file(tmp_path, GOOD, GOOD.replace(",1,", ",one,"), name=name)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = check_sales(spark, str(tmp_path)).rows
+        text = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in text and "array_compact" not in text
+    assert [r.row for r in rows.collect()] == [2, 2]
