@@ -6,7 +6,7 @@ Law: ``key``. When a shard is added, a key either stays or moves to the new shar
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +30,31 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return at
 
 
+def shards_of(shards: int, *keys: str) -> Column:
+    """Struct of ``shard`` and, with one shard more, ``grown_shard`` of the columns named ``keys``; see ``shard_of``."""
+    if shards < 1:
+        raise ValueError("there is at least one shard")
+
+    @F.arrow_udf("shard int, grown_shard int")
+    def both(key: pa.Array) -> pa.Array:
+        hashes = key.to_numpy(zero_copy_only=False)
+        now, grown = (pa.array(jump(hashes, n).astype(np.int32)) for n in (shards, shards + 1))
+        return pa.StructArray.from_arrays([now, grown], ["shard", "grown_shard"])
+
+    return both.asNondeterministic()(F.xxhash64(*keys))
+
+
 def shard_of(shards: int, *keys: str) -> Column:
     """Shard of the columns named ``keys``, of any type; nulls are a value of their own."""
     if shards < 1:
         raise ValueError("there is at least one shard")
 
-    @F.pandas_udf("int")
-    def shard(key: pd.Series) -> pd.Series:
-        return pd.Series(jump(key.to_numpy(), shards).astype(np.int32))
+    @F.arrow_udf("int")
+    def shard(key: pa.Array) -> pa.Array:
+        return pa.array(jump(key.to_numpy(zero_copy_only=False), shards).astype(np.int32))
 
-    return shard(F.xxhash64(*keys))
+    # Said not to repeat, so that Spark makes no second call, and Python worker, for a filter on its result.
+    return shard.asNondeterministic()(F.xxhash64(*keys))
 
 
 def with_shards(docs: DataFrame, shards: int, key: str = "doc_id", blocks: int = BLOCKS) -> DataFrame:
@@ -60,12 +75,14 @@ def with_shards(docs: DataFrame, shards: int, key: str = "doc_id", blocks: int =
     first = counts.selectExpr(
         "shard", part, f"sum(count) OVER (PARTITION BY shard ORDER BY {part}) - count AS {first_slot}"
     )
-    placed = docs.select(*names, shard_of(shards, key).alias("shard"), block.alias(part))
+    both = fresh("both", names)
+    placed = docs.select(*names, shards_of(shards, key).alias(both), block.alias(part))
+    placed = placed.select(*names, part, f"{both}.shard", f"{both}.grown_shard")
     placed = placed.join(F.broadcast(first), ["shard", part])
     numbered = placed.withColumn(
         "slot", F.expr(f"{first_slot} + row_number() OVER (PARTITION BY shard, {part} ORDER BY {', '.join([key, *ties])}) - 1")
     )
-    return numbered.select(*names, "shard", "slot", shard_of(shards + 1, key).alias("grown_shard"))
+    return numbered.select(*names, "shard", "slot", "grown_shard")
 
 
 def sizes(docs: DataFrame) -> DataFrame:

@@ -58,3 +58,10 @@ def test_a_new_shard_takes_its_share_only(spark):
     placed = sharding.with_shards(ids, 16).collect()
     moved = sum(r.shard != r.grown_shard for r in placed)
     assert abs(moved - 20_000 / 17) < 150
+
+
+def test_shards_are_found_in_one_pass_beside_the_counts(spark):
+    docs = spark.range(100).selectExpr("id AS doc_id")
+    text = sharding.with_shards(docs, 4)._jdf.queryExecution().executedPlan().toString()
+    # One for the counts, one for both numbers of shards; the test's plan shows each once, before it runs.
+    assert len([line for line in text.splitlines() if "ArrowEvalPython" in line]) == 2
