@@ -325,8 +325,10 @@ def matches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = texts.mapInArrow(
         lambda batches: _seed(batches, min_words), "seed long, doc long, pos int, first int, last int, block long"
     )
+    # Dealt by seed once, for the homes and for the join: both read all columns, so Spark makes one shuffle of them.
+    found = found.repartition("seed")
     homes = found.groupBy("seed").agg(
-        F.expr("min(struct(doc, pos)) AS home"), F.max("doc").alias("latest"), F.expr("min(block) < max(block) AS many")
+        F.expr("min(struct(doc, pos, first, last)) AS home"), F.max("doc").alias("latest"), F.expr("min(block) < max(block) AS many")
     )
     homes = homes.where("latest > home.doc").select("seed", "home", "many")
     met = found.join(homes, "seed").where("doc > home.doc OR pos < 0")
@@ -357,7 +359,7 @@ def exact_repeats(texts: DataFrame, blocks: DataFrame, min_words: int) -> DataFr
     runs = texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(
         lambda batches: _packed(_run(batches, min_words)), "run long, doc long, pos int"
     )
-    runs = staged(runs, "runs", release=True)
+    runs = staged(runs, "runs", release=True).repartition("run")
     homes = runs.groupBy("run").agg(F.expr("min(struct(doc, pos)) AS home"), F.max("doc").alias("latest"))
     homes = homes.where("latest > home.doc").select("run", "home")
     single = runs.join(homes, "run").where("doc > home.doc").selectExpr(

@@ -216,3 +216,11 @@ def test_cut_out_keeps_the_rest():
     assert substring_dedup.cut_out(text, [(1, 3)]) == " a d  e "
     assert substring_dedup.cut_out(text, [(0, 1), (4, 5)]) == " b\tc\n\nd  "
     assert substring_dedup.cut_out(text, [(0, 5)]) == " "
+
+
+def test_seeds_are_shuffled_once(spark):
+    docs = spark.range(40).selectExpr("id AS doc_id", "repeat(concat('w', id % 20, ' x y z a b c d '), 12) AS text")
+    found = substring_dedup.matches(docs)
+    assert found.collect()
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in text
