@@ -109,7 +109,7 @@ def sales(spark: SparkSession, sf_dir: str, sites: int = 1) -> DataFrame:
     )
     lines = (
         table(spark, sf_dir, "lineitem")
-        .join(orders.hint("shuffle_hash"), F.expr("l_orderkey = o_orderkey"))
+        .join(orders, F.expr("l_orderkey = o_orderkey"))
         .join(parts, F.expr("l_partkey = p_partkey"))
         .selectExpr(
             *_site(sites),
