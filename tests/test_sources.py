@@ -220,6 +220,38 @@ def test_journal(spark, tmp_path, positions, header):
     ]
 
 
+def test_journal_plain_and_odd_workbooks_agree(spark, tmp_path):
+    """Rows in plain form are read by patterns, all others element by element; neither is read as one XML record per sheet."""
+    entries = [dict(date=f"2024-01-{day:02}", description=f"a &amp; {day} &#228;", debit="1", credit="2", amount="3") for day in range(1, 29)]
+    (tmp_path / "plain").mkdir()
+    workbook(tmp_path / "plain" / "a.xls", NEW, entries)
+    text = (tmp_path / "plain" / "a.xls").read_text()
+    odd = {
+        "comment": text.replace("<Table>", "<Table><!-- <Row> -->"),
+        "quotes": text.replace('"', "'"),
+        "blanks": text.replace("</Cell>", "\n</Cell >").replace("<Row>", "<Row >"),
+        "cdata": text.replace("a &amp; ", "<![CDATA[a & ]]>"),
+        "index": text.replace("<Cell ss:Index", "<Cell ss:StyleID='s1' ss:Index"),
+    }
+    rows = sorted(rows_of(read_journal(spark, str(tmp_path / "plain"))))
+    assert [row[1] for row in rows] == [f"a & {day} ä" for day in range(1, 29)]
+    for name, changed in odd.items():
+        assert changed != text
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.xls").write_text(changed)
+        assert sorted(rows_of(read_journal(spark, str(tmp_path / name)))) == rows, name
+    plan = read_journal(spark, str(tmp_path / "plain"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Scan xml" not in plan
+
+
+def test_journal_leaves_out_a_sheet_that_cannot_be_read(spark, tmp_path):
+    workbook(tmp_path / "a.xls", NEW, ENTRIES[:1])
+    text = (tmp_path / "a.xls").read_text()
+    sheet = text[text.index('<Worksheet ss:Protected') : text.index("</Workbook>")]
+    (tmp_path / "a.xls").write_text(text.replace("</Workbook>", sheet.replace("</Row>", "", 1) + sheet + "</Workbook>"))
+    assert read_journal(spark, str(tmp_path)).count() == 1
+
+
 def test_close_job(spark, tmp_path):
     definition = {
         "posts": {
