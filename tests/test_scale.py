@@ -14,6 +14,7 @@ from salesledger.operators.skew import LANES, ROWS_PER_SALT, SHARE, hot_keys, sp
 from salesledger.plans import export
 from salesledger.plans.prepare import prepare, transaction_facts
 from salesledger.plans.staging import Staging
+from verification import star
 
 
 def skewed(spark, rows=30000):
@@ -187,3 +188,9 @@ def test_spread_join_hashed_equals_join(spark):
         plain = left.join(right, "k", how).groupBy("k", "v").count()
         spread = spread_join(left, right, "k", how, hashed=True).groupBy("k", "v").count()
         assert plain.exceptAll(spread).count() == 0 and spread.exceptAll(plain).count() == 0
+
+
+def test_items_meet_their_parts_before_the_texts_of_their_orders(spark):
+    plan = star.sales(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert len(joins) == 2 and "l_orderkey" in joins[0] and "l_partkey" in joins[1]
