@@ -16,7 +16,7 @@ from salesledger.sources.budget import read_budget
 from salesledger.sources.intermediate import coerce_cells, read_cells, read_intermediate
 from salesledger.sources.journal_xml import read_journal
 from salesledger.sources.till_csv import read_sales, read_transactions
-from verification.files import as_cells
+from verification.files import _as_csv, as_cells
 
 SALES_HEADER = (
     "Datum,Typ,Transaktionsnummer,Zahlungsmethode,Menge,Beschreibung,Category,Sku,Währung,Preis vor Rabatt,Rabatt,"
@@ -364,3 +364,13 @@ def test_a_time_that_rounds_to_midnight_is_none(spark):
         ", ".join(f"{n} string" for n in S.INTERMEDIATE.names),
     )
     assert rows_of(coerce_cells(cells), "time") == [(None,)]
+
+
+def test_cells_are_read_from_packed_files(spark, tmp_path):
+    text = 'description "1", x'
+    cells = spark.range(2000).select(*[F.lit(text).alias(name) for name in S.INTERMEDIATE.names])
+    path = _as_csv(cells, S.INTERMEDIATE_COLUMNS, str(tmp_path / "cells"))
+    files = list((tmp_path / "cells").glob("part-*"))
+    assert files and all(file.name.endswith(".csv.gz") for file in files)
+    out = read_cells(spark, path)
+    assert out.count() == 2000 and out.select("description").distinct().collect() == [(text,)]

@@ -34,10 +34,10 @@ def _path(spark: SparkSession, name: str) -> str:
 
 
 def _as_csv(df: DataFrame, columns: dict, path: str) -> str:
-    """CSV files under the outer column names, with a further column, in reverse order."""
+    """CSV files under the outer column names, with a further column, in reverse order; packed, as text takes several times the room."""
     named = [F.col(inner).alias(outer) for outer, (inner, _) in columns.items()]
     out = df.select(F.lit("x").alias("Kartentyp"), *reversed(named))
-    out.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    out.write.option("header", True).option("escape", '"').option("emptyValue", "").option("compression", "gzip").csv(path)
     return path
 
 
