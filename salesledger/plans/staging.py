@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -12,20 +14,30 @@ from pyspark.sql import DataFrame, SparkSession
 class Staging:
     """Tables of one job under a folder of its own."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
-        """``folder`` defaults to the session's ``spark.checkpoint.dir``; there is no other fallback."""
+    def __init__(self, spark: SparkSession, folder: str | None = None, release: bool = False) -> None:
+        """``folder`` defaults to the session's ``spark.checkpoint.dir``; there is no other fallback.
+
+        ``release`` asks the driver to collect its garbage after each table: Spark deletes the shuffle files behind it when the
+        driver no longer knows them, which else happens whenever its memory fills.
+        """
         folder = folder or spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             raise ValueError("name a staging folder that all executors share, or set spark.checkpoint.dir")
         self.spark, self.path = spark, f"{folder.rstrip('/')}/salesledger-{uuid.uuid4().hex}"
-        self.count = 0
+        self.count, self.release = 0, release
 
     def __call__(self, df: DataFrame) -> DataFrame:
         """Store ``df`` and read it back: later readers get pruned columns and pushed filters, not its lineage."""
         path = f"{self.path}/{self.count}"
         self.count += 1
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
+        schema = df.schema
+        if self.release:
+            del df
+            gc.collect()  # Python's side of what the driver knows; its thread tells the driver every tenth of a second
+            time.sleep(0.5)
+            self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.schema(schema).parquet(path)
 
     def clear(self) -> None:
         """Delete the job's folder."""

@@ -59,7 +59,9 @@ def read_text_cells(
         .option("columnPruning", False)
         .csv(path)
     )
-    rows = numbered(raw, FIRST_ROW, stage)
+    # Rows are counted without taking their cells apart; their headers are compared when they are read.
+    counted = spark.read.option("header", True).option("escape", '"').schema(schema).csv(path)
+    rows = numbered(raw, FIRST_ROW, stage, None if multi_line else counted)
     if site_pattern:
         rows = rows.select(site_of_path(F.col(FILE), site_pattern).alias("site"), "*")
     return rows

@@ -30,15 +30,17 @@ def placed(raw: DataFrame) -> DataFrame:
     )
 
 
-def numbered(raw: DataFrame, first: int = 1, stage: Stage | None = None) -> DataFrame:
+def numbered(raw: DataFrame, first: int = 1, stage: Stage | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Rows of a file source with ``file`` and ``row``, their number in the file from ``first`` on.
 
     ``stage`` stores what was read; without it the files are read twice, in the same order as long as they and the session's
-    settings stay the same. Files that grow or change meanwhile need it.
+    settings stay the same. Files that grow or change meanwhile need it. ``counted`` reads the same rows for the first of the two
+    times, which needs their number only.
     """
     rows = placed(raw)
     rows = stage(rows) if stage else rows
-    stretches = rows.groupBy(FILE, "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    seen = rows if stage or counted is None else placed(counted)
+    stretches = seen.groupBy(FILE, "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     # One row per stretch of a file.
     before = stretches.selectExpr(
         FILE, "_block", f"{first} + sum(_n) OVER (PARTITION BY {FILE} ORDER BY _block) - _n - _first AS _shift"

@@ -1,0 +1,78 @@
+"""Round trips through files: what they leave on disk. The tables are made here."""
+
+from __future__ import annotations
+
+import gc
+
+import pytest
+from conftest import rows_of
+from pyspark.sql import functions as F
+
+from salesledger.plans.staging import Staging
+from verification import files, star
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """Orders of two months, among them one without a date, their items and parts."""
+    spark.range(60).selectExpr(
+        "id AS o_orderkey", "id % 7 AS o_custkey", "'O' AS o_orderstatus", "CAST(20000 + id AS DOUBLE) AS o_totalprice",
+        "CASE WHEN id <> 11 THEN CAST(date_add(DATE '1997-01-20', CAST(id % 20 AS INT)) AS TIMESTAMP) END AS o_orderdate",
+        "CASE id % 3 WHEN 0 THEN '2-HIGH' WHEN 1 THEN '5-LOW' ELSE '3-MEDIUM' END AS o_orderpriority",
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(200).selectExpr(
+        "id % 60 AS l_orderkey", "id % 12 AS l_partkey", "id % 5 AS l_suppkey", "CAST(id % 7 + 1 AS INT) AS l_linenumber",
+        "CAST(id % 9 AS DOUBLE) AS l_quantity", "CAST(10 + id AS DOUBLE) AS l_extendedprice", "0.05D AS l_discount", "0.01D AS l_tax",
+        "'N' AS l_returnflag", "'O' AS l_linestatus",
+        "CASE WHEN id <> 13 THEN CAST(date_add(DATE '1997-02-01', CAST(id % 20 AS INT)) AS TIMESTAMP) END AS l_shipdate",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    names = "element_at(array('old rod', 'new rod', 'blue rod', 'cold rod', 'big bolt'), CAST(id % 5 + 1 AS INT))"
+    spark.range(12).selectExpr(
+        "id AS p_partkey", f"{names} AS p_name", "'Brand#7' AS p_brand", "'PROMO' AS p_type", "CAST(id + 30 AS INT) AS p_size",
+        "1.0D AS p_retailprice",
+    ).write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+@pytest.fixture
+def folder(tmp_path, monkeypatch):
+    """A folder for what the round trips write."""
+    monkeypatch.setattr(files, "_path", lambda spark, name: f"{tmp_path}/shared/{name}")
+    monkeypatch.setattr(star, "staging", lambda spark, release=False: Staging(spark, f"{tmp_path}/staged", release))
+    return tmp_path / "shared"
+
+
+def test_cells_of_a_month_are_one_packed_file(spark, tables, folder):
+    found = files.numbered_violations(spark, tables)
+    made = list(folder.glob("cells/month=*/part-*"))
+    assert sorted(path.parent.name for path in made) == ["month=199701", "month=199702", "month=__HIVE_DEFAULT_PARTITION__"]
+    assert all(path.name.endswith(".csv.gz") for path in made)
+    places = rows_of(found.select("month", "row").distinct())
+    assert {month for month, _ in places} == {"199701", "199702", ""} and min(row for _, row in places) == 2
+
+
+def test_rows_are_shuffled_to_their_months_sorted_and_without_the_month(spark, tables, folder, monkeypatch):
+    writer, plans = type(spark.range(1).write), []
+    csv = writer.csv
+
+    def noted(self, *args, **options):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return csv(self, *args, **options)
+
+    monkeypatch.setattr(writer, "csv", noted)
+    files.numbered_violations(spark, tables)
+    behind, before = plans[0].split("REPARTITION_BY_COL")
+    assert "AS month" in behind and "AS month" not in before and "Sort [date" in before
+
+
+def test_staging_releases_the_shuffle_files_behind_a_table(spark, tmp_path):
+    def known():
+        gc.collect()
+        return spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+
+    grouped = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    stored = Staging(spark, str(tmp_path), release=True)(grouped)
+    before = known()
+    for _ in range(3):
+        stored = Staging(spark, str(tmp_path), release=True)(stored.groupBy("k").count())
+    assert known() <= before + 1 and stored.count() == 10

@@ -10,7 +10,7 @@ from salesledger import schema as S
 from salesledger.operators import payments, validate
 from salesledger.plans import jobs
 from salesledger.plans.staging import Staging
-from salesledger.sources.quarantine import check_cells, check_sales, check_transactions
+from salesledger.sources.quarantine import check_cells, check_sales, check_transactions, read_text_cells
 from salesledger.sources.rows import numbered
 from salesledger.sources.intermediate import read_intermediate
 from test_sources import SALES_HEADER, TRANSACTIONS_HEADER, till  # noqa: F401
@@ -141,3 +141,33 @@ def test_rows_are_numbered_without_a_shuffle_of_them(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert "SortMergeJoin" not in text and "array_compact" not in text
     assert [r.row for r in rows.collect()] == [2, 2]
+
+
+def test_rows_are_counted_without_their_cells(spark, tmp_path):
+    """Of the two times that files are read the first takes no cells, with malformed rows, empty lines and many stretches of a file."""
+    lines = [GOOD, GOOD + ",more", "", GOOD.rsplit(",", 2)[0], "  ", *[GOOD.replace(",1,", f",{n},") for n in range(40)]]
+    for name in ("a.csv", "b.csv"):
+        sales_file(tmp_path, *lines, name=name)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        found = check_sales(spark, str(tmp_path))
+        text = found.rows._jdf.queryExecution().executedPlan().toString()
+        got = rows_of(found.rows, "file", "row", "quantity")
+        malformed = rows_of(found.rejected, "row", "rule")
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert "ReadSchema: struct<>" in text
+    for name in ("a.csv", "b.csv"):
+        own = sorted((row, quantity) for file, row, quantity in got if file.endswith(name))
+        assert own == [(2, 1), *[(n + 5, n) for n in range(40)]]
+    assert sorted(malformed) == [(3, "malformed_row")] * 2 + [(4, "malformed_row")] * 2
+
+
+def test_files_of_other_columns_are_an_error(spark, tmp_path):
+    sales_file(tmp_path, GOOD, name="a.csv")
+    (tmp_path / "b.csv").write_text(SALES_HEADER.replace("Menge", "Anzahl") + "\n" + GOOD + "\n")
+    with pytest.raises(Exception, match="header|Header"):
+        read_text_cells(spark, str(tmp_path)).collect()

@@ -209,9 +209,9 @@ def overrides(spark: SparkSession, sf_dir: str, faulty: bool = False) -> DataFra
     ).where("topic IS NOT NULL")
 
 
-def staging(spark: SparkSession) -> Staging | None:
+def staging(spark: SparkSession, release: bool = False) -> Staging | None:
     """Storage for tables that several steps read, as the jobs have it; none where the session names no shared folder."""
-    return Staging(spark) if spark.conf.get("spark.checkpoint.dir", None) else None
+    return Staging(spark, release=release) if spark.conf.get("spark.checkpoint.dir", None) else None
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -220,13 +220,13 @@ def stored(df: DataFrame) -> DataFrame:
     return stage(df) if stage else df
 
 
-def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare(sales(spark, sf_dir), transactions(spark, sf_dir), stage=staging(spark))
+def prepared(spark: SparkSession, sf_dir: str, release: bool = False) -> DataFrame:
+    return prepare(sales(spark, sf_dir), transactions(spark, sf_dir), stage=staging(spark, release))
 
 
-def edited(spark: SparkSession, sf_dir: str, faulty: bool = False) -> DataFrame:
-    """Prepared table with the manual labels applied."""
-    return apply_overrides(prepared(spark, sf_dir), overrides(spark, sf_dir, faulty), on=("description",))
+def edited(spark: SparkSession, sf_dir: str, faulty: bool = False, release: bool = False) -> DataFrame:
+    """Prepared table with the manual labels applied. ``release`` keeps no shuffle files behind the stored tables."""
+    return apply_overrides(prepared(spark, sf_dir, release), overrides(spark, sf_dir, faulty), on=("description",))
 
 
 def intermediate(spark: SparkSession, sf_dir: str) -> DataFrame:
