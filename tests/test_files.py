@@ -65,6 +65,23 @@ def test_rows_are_shuffled_to_their_months_sorted_and_without_the_month(spark, t
     assert "AS month" in behind and "AS month" not in before and "Sort [date" in before
 
 
+def test_workbooks_are_packed_and_their_rows_shuffled_as_columns(spark, tables, folder, monkeypatch):
+    writer, plans = type(spark.range(1).write), []
+    text = writer.text
+
+    def noted(self, *args, **options):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return text(self, *args, **options)
+
+    monkeypatch.setattr(writer, "text", noted)
+    found = files.journal_xml(spark, tables)
+    assert found.exceptAll(star.journal(spark, tables).dropna()).count() == 0 and found.count() == 199
+    made = list(folder.glob("journal/book=*/part-*"))
+    assert len(made) == 1 and made[0].name.endswith(".txt.gz")
+    behind, before = plans[0].split("REPARTITION_BY_COL")
+    assert "<Row>" in behind and "<Row>" not in before and "collect_list" not in plans[0]
+
+
 def test_staging_releases_the_shuffle_files_behind_a_table(spark, tmp_path):
     def known():
         gc.collect()

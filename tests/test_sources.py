@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 
+import pyarrow as pa
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from salesledger.plans import jobs
 from salesledger.plans.staging import staging
 from salesledger.sources.budget import read_budget
 from salesledger.sources.intermediate import coerce_cells, read_cells, read_intermediate
-from salesledger.sources.journal_xml import read_journal
+from salesledger.sources.journal_xml import HEADERS, POSITIONS, SHEET, _cells, read_journal
 from salesledger.sources.till_csv import read_sales, read_transactions
 from verification.files import _as_csv, as_cells
 
@@ -244,6 +246,29 @@ def test_journal_plain_and_odd_workbooks_agree(spark, tmp_path):
     assert "MapInArrow" in plan and "Scan xml" not in plan
 
 
+def test_packed_workbooks_are_read_by_patterns_up_to_a_size(spark, tmp_path):
+    """One batch comes from the patterns over columns; element by element each batch holds one row here."""
+    entries = [dict(date=f"2024-01-{day:02}", description="a", debit="1", credit="2", amount="3") for day in range(1, 29)]
+    workbook(tmp_path / "a.xls", NEW, entries)
+    text = (tmp_path / "a.xls").read_bytes()
+    large = text.replace(b"<Row>", b"<Row>" + b" " * (129 << 20), 1)
+    (tmp_path / "a.xls.gz").write_bytes(gzip.compress(text))
+    cells = _cells(SHEET, HEADERS, POSITIONS, by_name=True, batch=1)
+
+    def batches(name, content):
+        given = pa.RecordBatch.from_pydict({"path": [name], "content": pa.array([content], pa.binary())})
+        return [batch.to_pylist() for batch in cells(iter([given]))]
+
+    plain, packed, beyond = batches("a.xls", text), batches("a.xls.gz", gzip.compress(text)), batches("a.xls.gz", gzip.compress(large, 1))
+    assert len(plain) == 1 and packed == plain and len(beyond) > len(entries)
+    dated = [[row for batch in found for row in batch if row["date"] and row["date"][:4] == "2024"] for found in (plain, beyond)]
+    assert dated[0] == dated[1] and len(dated[0]) == len(entries)
+    with pytest.raises(OSError):
+        batches("a.xls.gz", gzip.compress(text)[:-20])
+    rows = [rows_of(read_journal(spark, str(tmp_path / name)).orderBy("date")) for name in ("a.xls", "a.xls.gz")]
+    assert rows[0] == rows[1] and len(rows[0]) == len(entries)
+
+
 def test_journal_leaves_out_a_sheet_that_cannot_be_read(spark, tmp_path):
     workbook(tmp_path / "a.xls", NEW, ENTRIES[:1])
     text = (tmp_path / "a.xls").read_text()
